@@ -7,7 +7,7 @@ language tag and its datatype (``"x"``, ``"x"@en``, ``"5"^^<...>``).
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,50 +41,58 @@ def _lookup(table: Mapping[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, so that nested rewrites do not multiply."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_brackets(term: Column) -> Column:
-    return F.when(
-        term.startswith("<") & term.endswith(">"), F.substring(term, F.lit(2), F.length(term) - 2)
-    ).otherwise(term)
+    return F.regexp_replace(term, "(?s)^<(.*)>$", "$1")
 
 
 def is_literal(term: Column) -> Column:
     return term.startswith('"')
 
 
+def _after(text: Column, head: Column, skip: int = 0) -> Column:
+    return F.substring(text, F.length(head) + skip + 1, F.length(text))
+
+
 def compact(term: Column, prefixes: Mapping[str, str]) -> Column:
     """``<namespace + name>`` becomes ``prefix__name``; the longest namespace wins.
 
     ``prefixes`` maps prefix to namespace. Literals and unknown namespaces stay as they are.
     """
-    bare = strip_brackets(term)
-    if not prefixes:
-        return F.when(is_literal(term), term).otherwise(bare)
     by_namespace = {ns: name for name, ns in prefixes.items()}
-    ns = F.regexp_extract(bare, f"^({_alternatives(list(by_namespace))})", 1)
-    return (
-        F.when(is_literal(term), term)
-        .when(
-            F.length(ns) > 0,
-            F.concat(
-                _lookup(by_namespace, ns), F.lit("__"), F.substring(bare, F.length(ns) + 1, F.length(bare))
-            ),
+    namespace = f"^({_alternatives(list(by_namespace))})" if prefixes else None
+
+    def shorten(bare: Column) -> Column:
+        return _with(
+            F.regexp_extract(bare, namespace, 1),
+            lambda ns: F.coalesce(F.concat(_lookup(by_namespace, ns), F.lit("__"), _after(bare, ns)), bare),
         )
-        .otherwise(bare)
-    )
+
+    def node(t: Column) -> Column:
+        return _with(strip_brackets(t), shorten) if namespace else strip_brackets(t)
+
+    return _with(term, lambda t: F.when(is_literal(t), t).otherwise(node(t)))
 
 
 def expand(term: Column, prefixes: Mapping[str, str], brackets: bool = True) -> Column:
     """The inverse of :func:`compact`; IRIs get their brackets back unless ``brackets`` is false."""
-    full = term
-    if prefixes:
-        name = F.regexp_extract(term, f"^({_alternatives(list(prefixes))})__", 1)
-        full = F.when(
-            F.length(name) > 0,
-            F.concat(_lookup(prefixes, name), F.substring(term, F.length(name) + 3, F.length(term))),
-        ).otherwise(term)
-    if brackets:
-        full = F.concat(F.lit("<"), full, F.lit(">"))
-    return F.when(is_literal(term) | term.startswith("_:"), term).otherwise(full)
+    pattern = f"^({_alternatives(list(prefixes))})__" if prefixes else None
+
+    def lengthen(t: Column) -> Column:
+        return _with(
+            F.regexp_extract(t, pattern, 1),
+            lambda name: F.coalesce(F.concat(_lookup(prefixes, name), _after(t, name, 2)), t),
+        )
+
+    def iri(t: Column) -> Column:
+        full = lengthen(t) if pattern else t
+        return F.concat(F.lit("<"), full, F.lit(">")) if brackets else full
+
+    return _with(term, lambda t: F.when(is_literal(t) | t.startswith("_:"), t).otherwise(iri(t)))
 
 
 def lexical(term: Column) -> Column:

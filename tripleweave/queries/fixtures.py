@@ -6,7 +6,7 @@ dates through ``yyyy-MM-dd``, which every engine spells alike.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import cache, partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,13 +73,65 @@ def _properties() -> dict[str, tuple]:
     return props
 
 
-def triples(spark: SparkSession, sf_dir: str) -> PropertyTables:
-    def one(name: str, sub: Column, obj: Column, where: Column | None = None) -> DataFrame:
-        df = table(spark, sf_dir, name)
+class TableTriples(PropertyTables):
+    """Property tables that are read once per underlying table when all are wanted."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._specs = _properties()
+        read = cache(partial(table, spark, sf_dir))
+        self._table = read
+        super().__init__({prop: partial(self._one, *spec) for prop, spec in self._specs.items()})
+
+    def _one(self, name: str, sub: Column, obj: Column, where: Column | None = None) -> DataFrame:
+        df = self._table(name)
         df = df if where is None else df.where(where)
         return df.select(sub.alias("sub"), obj.alias("obj"))
 
-    return PropertyTables({prop: partial(one, *spec) for prop, spec in _properties().items()})
+    def frame(self) -> DataFrame:
+        rows: dict[str, list[Column]] = {}
+        for prop, (name, sub, obj, *where) in self._specs.items():
+            triple = F.struct(sub.alias("sub"), F.lit(prop).alias("prop"), obj.alias("obj"))
+            rows.setdefault(name, []).append(F.when(where[0], triple) if where else triple)
+        frames = [
+            self._table(name).select(F.inline(F.array_compact(F.array(*structs)))) for name, structs in rows.items()
+        ]
+        return reduce(DataFrame.unionByName, frames)
+
+
+def triples(spark: SparkSession, sf_dir: str) -> TableTriples:
+    return TableTriples(spark, sf_dir)
+
+
+def query_patterns(spark: SparkSession, sf_dir: str, prop: Column | None = None) -> DataFrame:
+    """A workload: each order is a query, each of its lines a pattern on ``?o``.
+
+    The property is the part's brand unless given; returned parts put ``?o`` at the object end.
+    """
+    prop = F.concat(F.lit("part__"), F.col("p_brand")) if prop is None else prop
+    lines = table(spark, sf_dir, "lineitem").join(
+        table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")
+    )
+    other = F.concat(F.lit("?x"), F.col("l_linenumber").cast("string"))
+    returned = F.col("l_returnflag") == "R"
+    return lines.select(
+        F.col("l_orderkey").alias("query_id"),
+        F.when(returned, other).otherwise("?o").alias("sub"),
+        prop.alias("prop"),
+        F.when(returned, "?o").otherwise(other).alias("obj"),
+    )
+
+
+# The same workload in SQL: what each query does with each variable, as items.
+SQL_USES = """uses as (
+         select l_orderkey as q, 'part__' || p_brand as prop, l_returnflag = 'R' as ret, 'x' || l_linenumber as x
+         from lineitem join part on l_partkey = p_partkey),
+       items as (
+         select q, 'o' as var, prop || case when ret then '_TRPO' else '_TRPS' end as item from uses
+         union all select q, x, prop || case when ret then '_TRPS' else '_TRPO' end from uses),
+       joins as (
+         select q, var, item, count(*) as n, sum(count(*)) over (partition by q, var) as total
+         from items group by q, var, item),
+       txn as (select q, var, item from joins where total > 1)"""
 
 
 # The same in SQL, for the oracles that count triples: table and condition of each property.

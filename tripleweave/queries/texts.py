@@ -1,0 +1,145 @@
+"""Sources and cleaning jobs, on text that Spark renders from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tripleweave.functions import prefixes, terms
+from tripleweave.operators import workload as w
+from tripleweave.queries import query
+from tripleweave.queries.fixtures import SQL_COUNTS, table, triples
+from tripleweave.sources import text
+
+ORDER = "http://db.uwaterloo.ca/~galuc/wsdbm/Order"
+OFFERS = "http://purl.org/goodrelations/"
+NAMES = {"kind": "http://example.org/kind/", "user": "http://example.org/kind/user/", "prop": "http://example.org/prop/"}
+
+
+def _iri(namespace: str, key: Column) -> Column:
+    return F.concat(F.lit(f"<{namespace}"), key, F.lit(">"))
+
+
+@query(SQL_COUNTS.replace("as n from", "as rows from").join(["select prop, rows from (", ") where rows > 0"]))
+def nt_parse(spark, sf):
+    """All triples as N-Triples text, parsed back and counted."""
+    frame = triples(spark, sf).frame()
+    lines = text.render(
+        frame.select(
+            _iri(NAMES["kind"], F.col("sub")).alias("sub"),
+            _iri(NAMES["prop"], F.col("prop")).alias("prop"),
+            F.when(terms.is_literal(F.col("obj")), F.col("obj"))
+            .otherwise(_iri(NAMES["kind"], F.col("obj")))
+            .alias("obj"),
+        )
+    )
+    parsed = text.parse_triples(lines, None, NAMES)
+    return parsed.groupBy(F.substring_index("prop", "__", -2).alias("prop")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    """select 'user__' || user_id as sub, 'prop__' || event_type as prop, 'kind__event/' || event_id as obj
+       from events"""
+)
+def prefix_compact(spark, sf):
+    """The longest of two overlapping namespaces wins."""
+    events = table(spark, sf, "events").select(
+        _iri(NAMES["user"], F.col("user_id").cast("string")).alias("sub"),
+        _iri(NAMES["prop"], F.col("event_type")).alias("prop"),
+        _iri(NAMES["kind"], F.concat(F.lit("event/"), F.col("event_id").cast("string"))).alias("obj"),
+    )
+    return events.select(*[terms.compact(F.col(c), NAMES).alias(c) for c in events.columns])
+
+
+@query("select page_id, '<' || url || '>' as iri, true as same from pages")
+def prefix_roundtrip(spark, sf):
+    iri = F.concat(F.lit("<"), "url", F.lit(">"))
+    table_ = prefixes.DBPEDIA | {"ex": "http://", "exs": "https://", "blog": "https://blog."}
+    back = terms.expand(terms.compact(iri, table_), table_)
+    shorter = F.length(terms.compact(iri, table_)) < F.length(iri)
+    return table(spark, sf, "pages").select("page_id", back.alias("iri"), ((back == iri) & shorter).alias("same"))
+
+
+@query(
+    """select 'wsdbm__Order' || o_orderkey || ' gr__price "' || cast(cast(o_totalprice as decimal(15,2)) as varchar)
+       || ' EUR" .' as value from orders"""
+)
+def convert_prefixes(spark, sf):
+    price = F.col("o_totalprice").cast("decimal(15,2)").cast("string")
+    lines = table(spark, sf, "orders").select(
+        F.concat(_iri(ORDER, F.col("o_orderkey").cast("string")), F.lit(f" <{OFFERS}price> \""), price, F.lit(' EUR" .')).alias(
+            "value"
+        )
+    )
+    unfinished = table(spark, sf, "region").select(F.concat(F.lit("<a> <b> "), "r_name").alias("value"))
+    return text.convert_prefixes(lines.unionByName(unfinished), prefixes.WATDIV)
+
+
+@query(
+    """select 'dbr__Doc' || doc_id || ' dbo__language "' || lang || '"@en' as value from documents"""
+)
+def clean_comments(spark, sf):
+    docs = table(spark, sf, "documents")
+    lines = docs.select(
+        F.format_string(
+            '<http://dbpedia.org/resource/Doc%d> <http://dbpedia.org/ontology/language> "%s"@en .', "doc_id", "lang"
+        ).alias("value")
+    )
+    comments = docs.select(F.concat(F.lit("# "), "source").alias("value"))
+    return text.clean_dbpedia(lines.unionByName(comments))
+
+
+@query(
+    """select 'yago__Customer_' || c_custkey || ' rdf__type dbr__' || c_mktsegment || ' .' as value from customer"""
+)
+def yago_clean(spark, sf):
+    customers = table(spark, sf, "customer")
+    lines = customers.select(
+        F.format_string(
+            "<Customer_%d>\trdf:type\t<http://dbpedia.org/resource/%s> .", "c_custkey", "c_mktsegment"
+        ).alias("value")
+    )
+    skipped = customers.select(F.concat(F.lit("@base "), "c_name").alias("value"))
+    short = customers.select(F.concat("c_name", F.lit("\tonly two")).alias("value"))
+    return text.clean_yago(lines.unionByName(skipped).unionByName(short))
+
+
+def _log_lines(spark, sf):
+    """An access log: each page was asked for by a query that names its URL, twice."""
+    pages = table(spark, sf, "pages")
+    asked = F.concat(
+        F.lit("SELECT ?s ?o WHERE {\n?s <http://xmlns.com/foaf/0.1/page> <"),
+        "url",
+        F.lit("> .  ?s a ?o }"),
+    )
+    line = F.concat(
+        F.lit("10.0.0."), (F.col("page_id") % 256).cast("string"), F.lit(' - - [t] z "GET /sparql?query='),
+        F.url_encode(asked), F.lit('&format=json"'),
+    )
+    other = F.concat(F.lit('10.0.0.1 - - [t] z "GET /'), F.url_encode("url"), F.lit('"'))
+    lines = pages.select(line.alias("value"))
+    return lines.unionByName(lines).unionByName(pages.select(other.alias("value")))
+
+
+HEAD = "".join(f"PREFIX {name}: <{ns}> " for name, ns in text.LOG_PREFIXES)
+
+
+@query(
+    f"""select distinct '10.0.0.' || page_id % 256 as client, '{HEAD}SELECT * WHERE {{ ?s <http://xmlns.com/foaf/0.1/page> <'
+        || case when position('&' in url) > 0 then left(url, position('&' in url) - 1) else url || '> . ?s a ?o }}' end as query
+        from pages"""
+)
+def url_query_extract(spark, sf):
+    """A decoded ``&`` ends the query, as in the log format."""
+    return text.log_queries(_log_lines(spark, sf))
+
+
+@query(
+    """select distinct '10.0.0.' || page_id % 256 as query_id, '?s' as sub, 'foaf__page' as prop, url as obj from pages
+       where position('&' in url) = 0
+       union all select distinct '10.0.0.' || page_id % 256, '?s', 'rdf__type', '?o' from
+         (select distinct page_id % 256 as page_id, url from pages) where position('&' in url) = 0"""
+)
+def triple_patterns(spark, sf):
+    queries = text.log_queries(_log_lines(spark, sf)).select(F.col("client").alias("query_id"), "query")
+    return w.triple_patterns(queries, prefixes.DBPEDIA)
