@@ -148,27 +148,29 @@ def semi(source, left: tuple[str, str], right: tuple[str, str], filter_: Bloom |
     return rows.join(found, F.col(column) == F.col("value"), "left_semi")
 
 
-def pair_type(left_side: str, right_side: str) -> str:
-    return left_side[-1] + right_side[-1]
-
-
 def pair_stats(source, pairs: Sequence[tuple[tuple[str, str], tuple[str, str]]]) -> DataFrame:
-    """``prop, type, other, rows, vp_rows, scale`` of two-item reductions."""
-    src = as_triples(source)
-
-    def one(left, right):
-        flags = pattern_flags(src, left[0], [[item(*left), item(*right)]])
-        name = canonical(left[0], [item(*left), item(*right)])[0]
-        return flags.agg(F.count(F.col(f"`{name}`")).alias("rows"), F.count(F.lit(1)).alias("vp_rows")).select(
-            F.lit(left[0]).alias("prop"),
-            F.lit(pair_type(left[1], right[1])).alias("type"),
-            F.lit(right[0]).alias("other"),
-            "rows",
-            "vp_rows",
-            F.when(F.col("vp_rows") > 0, F.col("rows") / F.col("vp_rows")).alias("scale"),
-        )
+    """``prop, type, other, rows, vp_rows, scale`` of two-item reductions, all in one job.
 
-    return reduce(DataFrame.unionByName, [one(*pair) for pair in pairs])
+    The type names the two sides: ``SS``, ``SO``, ``OS`` or ``OO``.
+    """
+    src = as_triples(source)
+    rows: dict[str, list] = {}
+    for (prop, side), right in pairs:
+        of_prop = rows.setdefault(prop, [])
+        name = JOIN.join([item(prop, side), item(*right)])
+        of_prop.append((prop, len(of_prop), name, side, [item(*right)], 2))
+    props = {p for pair in pairs for p, _ in pair}
+    frame = src.frame_of(props)
+    catalog = frame.sparkSession.createDataFrame([r for of_prop in rows.values() for r in of_prop], CATALOG)
+    other = F.get("members", F.lit(0))
+    return slot_stats(flag_all(frame, catalog), catalog).select(
+        "prop",
+        F.concat(F.right("head", F.lit(1)), F.right(other, F.lit(1))).alias("type"),
+        item_prop(other).alias("other"),
+        "rows",
+        "vp_rows",
+        F.col("ratio").alias("scale"),
+    )
 
 
 # -- Flags -----------------------------------------------------------------------------------
@@ -252,12 +254,10 @@ def pattern_flags(
     """
     src = as_triples(source)
     if filters is None:
-        spark = src.scan(prop).sparkSession
-        catalog = catalog_of(spark, prop, patterns, max_cols)
+        catalog = catalog_of(src.scan(prop).sparkSession, prop, patterns, max_cols)
         rows = catalog.collect()
         wanted = {prop, *(split_item(m)[0] for r in rows for m in r.members)}
-        tables = [src.scan(p).select("sub", F.lit(p).alias("prop"), "obj") for p in sorted(wanted)]
-        flags = flag_all(reduce(DataFrame.unionByName, tables), catalog)
+        flags = flag_all(src.frame_of(wanted), catalog)
         return flags.select("sub", "obj", *[F.col(f"m{r.slot}").alias(r.pattern) for r in rows])
 
     named = {name: (head, rest) for name, head, rest in (canonical(prop, p) for p in patterns)}

@@ -1,0 +1,358 @@
+"""The store on disk, Bloom filters, semi-join reductions and the queries that read them."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tripleweave.operators import reductions as red
+from tripleweave.operators import workload as w
+from tripleweave.plans import access
+from tripleweave.plans.pattern import match
+from tripleweave.queries import query
+from tripleweave.queries.fixtures import SQL_COUNTS, triples
+from tripleweave.sources import scratch
+from tripleweave.sources.store import Store
+
+SUB, OBJ = red.SUBJECT, red.OBJECT
+
+# The patterns the reduced tables are built for: property, then its own and the other items.
+PATTERNS = {
+    "ord__customer": [
+        ["ord__customer_TRPS", "ord__big_TRPS"],
+        ["ord__customer_TRPS", "ord__returnedPart_TRPS"],
+        ["ord__customer_TRPS", "ord__big_TRPS", "ord__returnedPart_TRPS"],
+        ["ord__customer_TRPO", "cust__segment_TRPS"],
+    ],
+    "ord__part": [
+        ["ord__part_TRPS", "ord__big_TRPS"],
+        ["ord__part_TRPO", "ord__returnedPart_TRPO"],
+    ],
+    "ord__price": [["ord__price_TRPS", "ord__big_TRPS"]],
+    "doc__lang": [
+        ["doc__lang_TRPS", "doc__quality_TRPS"],
+        ["doc__lang_TRPS", "doc__quality_TRPS", "doc__toxic_TRPS"],
+    ],
+    "supp__nation": [
+        ["supp__nation_TRPS", "supp__lead_TRPO"],
+        ["supp__nation_TRPO", "cust__nation_TRPO"],
+    ],
+}
+
+_STORES: dict[tuple, Store] = {}
+
+
+def catalog(spark) -> DataFrame:
+    return reduce(DataFrame.unionByName, [red.catalog_of(spark, p, items) for p, items in PATTERNS.items()])
+
+
+def store(spark, sf: str, mode: str = "exact") -> Store:
+    """The store of all fixture triples in the shared folder, written once per session and mode."""
+    key = (spark.sparkContext.applicationId, sf, mode)
+    if key not in _STORES:
+        built = Store.build(triples(spark, sf).frame(), scratch.new_path(spark, f"store-{mode}"))
+        built.add_reductions(catalog(spark), mode)
+        _STORES[key] = built
+    return _STORES[key]
+
+
+# -- The store -------------------------------------------------------------------------------
+
+
+@query(f"select prop, n as rows from ({SQL_COUNTS}) where n > 0")
+def store_scan(spark, sf):
+    return store(spark, sf).frame().groupBy("prop").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("select 'order/' || o_orderkey as o from orders where o_custkey = 7")
+def store_pruned_scan(spark, sf):
+    return match(store(spark, sf), [("?o", "ord__customer", "customer/7")]).df
+
+
+@query(f"select prop, n as rows, round(n / sum(n) over (), 6) as ratio from ({SQL_COUNTS}) where n > 0")
+def store_stats(spark, sf):
+    return store(spark, sf).stats().select("prop", "rows", F.round("ratio", 6).alias("ratio"))
+
+
+@query(
+    f"""select cast(sum(n) as bigint) as num_triples, count(*) as num_properties, count(*) - 5 as num_vp_tables,
+        cast(5 as bigint) as num_reduced_tables, cast(sum(n) as bigint) as num_tuples
+        from ({SQL_COUNTS}) where n > 0"""
+)
+def store_db_stats(spark, sf):
+    return store(spark, sf).db_stats()
+
+
+@query(
+    f"""with s as ({SQL_COUNTS}), m(prop, members, cols) as (values
+          ('ord__customer', 'cust__segment,ord__big,ord__customer,ord__returnedPart', 4),
+          ('ord__part', 'ord__big,ord__part,ord__returnedPart', 2),
+          ('ord__price', 'ord__big,ord__price', 1),
+          ('doc__lang', 'doc__lang,doc__quality,doc__toxic', 2),
+          ('supp__nation', 'cust__nation,supp__lead,supp__nation', 2))
+        select 'REDUCED_' || prop as table_name, n as rows, round(n / (select sum(n) from s), 6) as ratio, members, cols
+        from s join m using (prop)"""
+)
+def partition_catalog(spark, sf):
+    return store(spark, sf).reduced_tables().select(
+        "table_name",
+        "rows",
+        F.round("ratio", 6).alias("ratio"),
+        F.array_join("members", ",").alias("members"),
+        F.size("columns").alias("cols"),
+    )
+
+
+# -- Semi-joins ------------------------------------------------------------------------------
+
+
+@query("select 'doc/' || doc_id as sub, '\"' || lang || '\"' as obj from documents where doc_id in (select doc_id from labels)")
+def semi_ss(spark, sf):
+    return red.semi(triples(spark, sf), ("doc__lang", SUB), ("doc__quality", SUB))
+
+
+@query(
+    """select 'supplier/' || s_suppkey as sub, 'nation/' || s_nationkey as obj from supplier
+       where s_suppkey in (select s_suppkey - s_suppkey % 10 from supplier)"""
+)
+def semi_so(spark, sf):
+    return red.semi(triples(spark, sf), ("supp__nation", SUB), ("supp__lead", OBJ))
+
+
+@query(
+    """select 'user/' || user_id as sub, 'event/' || event_id as obj from events
+       where event_type = 'purchase' and event_id in (select event_id from events)"""
+)
+def semi_os(spark, sf):
+    return red.semi(triples(spark, sf), ("user__purchase", OBJ), ("evt__value", SUB))
+
+
+@query(
+    """select 'order/' || l_orderkey as sub, 'part/' || l_partkey as obj from lineitem
+       where l_partkey in (select l_partkey from lineitem where l_returnflag = 'R')"""
+)
+def semi_oo(spark, sf):
+    return red.semi(triples(spark, sf), ("ord__part", OBJ), ("ord__returnedPart", OBJ))
+
+
+SQL_CUSTOMER_FLAGS = """with big as (select o_orderkey as k from orders where o_totalprice > 450000),
+       ret as (select distinct l_orderkey as k from lineitem where l_returnflag = 'R'),
+       flags as (
+         select o_orderkey in (select k from big) as b, o_orderkey in (select k from ret) as r,
+           o_custkey in (select c_custkey from customer) as s from orders)"""
+
+
+@query(
+    f"""{SQL_CUSTOMER_FLAGS}
+        select 'ord__customer_TRPS_JOIN_ord__big_TRPS' as pattern, count(*) filter (where b) as rows from flags
+        union all select 'ord__customer_TRPS_JOIN_ord__returnedPart_TRPS', count(*) filter (where r) from flags
+        union all select 'ord__customer_TRPS_JOIN_ord__big_TRPS_JOIN_ord__returnedPart_TRPS',
+          count(*) filter (where b and r) from flags
+        union all select 'ord__customer_TRPO_JOIN_cust__segment_TRPS', count(*) filter (where s) from flags"""
+)
+def reduced_table_counts(spark, sf):
+    return red.pattern_stats(red.pattern_flags(triples(spark, sf), "ord__customer", PATTERNS["ord__customer"]))
+
+
+SQL_PAIRS = """with pairs as (
+         select 'doc__lang' as prop, 'SS' as type, 'doc__quality' as other,
+           (select count(*) from documents where doc_id in (select doc_id from labels)) as rows,
+           (select count(*) from documents) as vp_rows
+         union all select 'supp__nation', 'SO', 'supp__lead',
+           (select count(*) from supplier where s_suppkey in (select s_suppkey - s_suppkey % 10 from supplier)),
+           (select count(*) from supplier)
+         union all select 'ord__customer', 'OS', 'cust__segment',
+           (select count(*) from orders where o_custkey in (select c_custkey from customer)),
+           (select count(*) from orders)
+         union all select 'ord__part', 'OO', 'ord__returnedPart',
+           (select count(*) from lineitem where l_partkey in (select l_partkey from lineitem where l_returnflag = 'R')),
+           (select count(*) from lineitem))"""
+
+PAIRS = [
+    (("doc__lang", SUB), ("doc__quality", SUB)),
+    (("supp__nation", SUB), ("supp__lead", OBJ)),
+    (("ord__customer", OBJ), ("cust__segment", SUB)),
+    (("ord__part", OBJ), ("ord__returnedPart", OBJ)),
+]
+
+
+@query(f"{SQL_PAIRS} select prop, type, other, rows, vp_rows, round(rows / vp_rows, 6) as scale from pairs")
+def pair_selectivity(spark, sf):
+    sizes = red.pair_stats(triples(spark, sf), PAIRS)
+    return sizes.withColumn("scale", F.round("scale", 6))
+
+
+@query(
+    f"""{SQL_PAIRS},
+        tables as (
+          select prop, type, other, rows from pairs where rows < vp_rows
+          union all select prop, 'VP', '', vp_rows from pairs)
+        select * from tables qualify row_number() over (partition by prop order by rows, type, other) = 1"""
+)
+def smallest_table(spark, sf):
+    return access.smallest_table(red.pair_stats(triples(spark, sf), PAIRS))
+
+
+# -- Which table a scan reads, and how much that saves ---------------------------------------
+
+# Three queries as scans and what their join variables demand.
+SCANS = [
+    ("big", "big.customer", "ord__customer"),
+    ("big", "big.big", "ord__big"),
+    ("big", "big.part", "ord__part"),
+    ("returned", "returned.customer", "ord__customer"),
+    ("returned", "returned.part", "ord__returnedPart"),
+    ("plain", "plain.customer", "ord__customer"),
+]
+NEEDS = [
+    ("big.customer", "ord__customer", SUB, ["ord__big_TRPS", "ord__customer_TRPS", "ord__part_TRPS"]),
+    ("big.part", "ord__part", SUB, ["ord__big_TRPS", "ord__customer_TRPS", "ord__part_TRPS"]),
+    ("returned.customer", "ord__customer", SUB, ["ord__customer_TRPS", "ord__returnedPart_TRPS"]),
+    ("plain.customer", "ord__customer", OBJ, ["cust__nation_TRPS", "ord__customer_TRPO"]),
+]
+SQL_SIZES = """with big as (select o_orderkey as k from orders where o_totalprice > 450000),
+       ret as (select distinct l_orderkey as k from lineitem where l_returnflag = 'R'),
+       n as (select (select count(*) from orders) as ords, (select count(*) from lineitem) as lines,
+         (select count(*) from lineitem where l_returnflag = 'R') as rets, (select count(*) from big) as bigs,
+         (select count(*) from lineitem where l_orderkey in (select k from big)) as big_lines,
+         (select count(*) from orders where o_orderkey in (select k from ret)) as ret_ords)"""
+
+
+@query(
+    f"""{SQL_SIZES}
+        select 'big.customer' as scan_id, 'ord__customer_TRPS_JOIN_ord__big_TRPS' as pattern, bigs as rows, ords as vp_rows from n
+        union all select 'big.part', 'ord__part_TRPS_JOIN_ord__big_TRPS', big_lines, lines from n
+        union all select 'returned.customer', 'ord__customer_TRPS_JOIN_ord__returnedPart_TRPS', ret_ords, ords from n"""
+)
+def best_pattern(spark, sf):
+    needs = spark.createDataFrame(NEEDS, access.NEEDS)
+    return access.best_pattern(store(spark, sf).patterns(), needs).select("scan_id", "pattern", "rows", "vp_rows")
+
+
+@query(
+    f"""{SQL_SIZES},
+        r as (
+          select 'big' as query_id, 3 as scans, ords + bigs + lines as vp_rows, bigs + bigs + big_lines as reduced_rows from n
+          union all select 'returned', 2, ords + rets, ret_ords + rets from n
+          union all select 'plain', 1, ords, ords from n)
+        select query_id, cast(scans as bigint) as scans, vp_rows, reduced_rows, round(reduced_rows / vp_rows, 6) as ratio from r"""
+)
+def reduction_report(spark, sf):
+    st = store(spark, sf)
+    scans = spark.createDataFrame(SCANS, "query_id string, scan_id string, prop string")
+    needs = spark.createDataFrame(NEEDS, access.NEEDS)
+    report = access.reduction_report(scans, needs, st.patterns(), st.stats())
+    return report.withColumn("ratio", F.round("ratio", 6))
+
+
+SQL_BIG_PARTS = """select 'order/' || o_orderkey as o, 'customer/' || o_custkey as c, 'part/' || l_partkey as p
+       from orders join lineitem on l_orderkey = o_orderkey where o_totalprice > 450000"""
+
+
+def _big_parts(source, reductions=None) -> DataFrame:
+    group = [("?o", "ord__big", '"true"'), ("?o", "ord__customer", "?c"), ("?o", "ord__part", "?p")]
+    return match(source, group, reductions).project("?o", "?c", "?p").df
+
+
+@query(SQL_BIG_PARTS)
+def bgp_plain(spark, sf):
+    return _big_parts(store(spark, sf))
+
+
+@query(SQL_BIG_PARTS)
+def bgp_reduced(spark, sf):
+    st = store(spark, sf)
+    return _big_parts(st, st.reductions())
+
+
+@query(SQL_BIG_PARTS)
+def bloom_reduced_answer(spark, sf):
+    st = store(spark, sf, "bloom")
+    return _big_parts(st, st.reductions())
+
+
+@query(
+    """select 'order/' || o_orderkey as o, 'customer/' || o_custkey as c,
+       case when o_totalprice > 450000 then '"true"' end as b from orders"""
+)
+def reduced_optional(spark, sf):
+    """A pattern in an optional part must not reduce the scan outside of it."""
+    st = store(spark, sf)
+    orders = match(st, [("?o", "ord__customer", "?c")], st.reductions())
+    return orders.optional(match(st, [("?o", "ord__big", "?b")], st.reductions())).df
+
+
+# -- Bloom filters ---------------------------------------------------------------------------
+
+
+@query("select count(*) as probes, cast(0 as bigint) as lost, true as within_bound from orders")
+def bloom_filter(spark, sf):
+    """Customers with big orders in a filter, all orders probed: none lost, few extra."""
+    src = triples(spark, sf)
+    orders = src.scan("ord__customer")
+    members = match(src, [("?o", "ord__big", "?b"), ("?o", "ord__customer", "?c")]).project("?c").distinct().df
+    filter_ = red.bloom_build(members, members.count())
+    probed = red.bloom_flag(orders, "obj", filter_, "maybe").join(
+        members.select(F.col("c").alias("obj"), F.lit(True).alias("member")), "obj", "left"
+    )
+    outside = F.col("member").isNull()
+    extra = F.count_if(outside & F.col("maybe").isNotNull())
+    return probed.agg(
+        F.count(F.lit(1)).alias("probes"),
+        F.count_if(~outside & F.col("maybe").isNull()).alias("lost"),
+        (extra <= F.lit(2 * red.FPP) * F.count_if(outside) + 10).alias("within_bound"),
+    )
+
+
+@query("select true as same")
+def bloom_union(spark, sf):
+    """The union of the filters of two halves is the filter of the whole, bit by bit."""
+    parts = triples(spark, sf).scan("ord__part").select("obj", "sub")
+    n = parts.select("obj").distinct().count()
+    whole = red.bloom_build(parts.select("obj"), n)
+    returned = red.bloom_build(triples(spark, sf).scan("ord__returnedPart").select("obj"), n)
+    merged = red.bloom_union([whole, returned])
+    differs = merged.table.exceptAll(whole.table)
+    return differs.agg((F.count(F.lit(1)) == 0).alias("same"))
+
+
+@query(
+    """select 'order/' || o_orderkey as sub from orders
+       where o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R')"""
+)
+def bloom_semi(spark, sf):
+    """Through the stored filter, then through the exact keys: the filter has lost nothing."""
+    st = store(spark, sf)
+    maybe = red.semi(st, ("ord__customer", SUB), ("ord__returnedPart", SUB), st.filter("ord__returnedPart", SUB))
+    return maybe.join(red.keys(st, "ord__returnedPart", SUB), F.col("sub") == F.col("value"), "left_semi").select("sub")
+
+
+# -- From a workload to reduced tables -------------------------------------------------------
+
+# Logged queries over the orders, as patterns.
+LOGGED = [
+    [("?o", "ord__big", "?b"), ("?o", "ord__customer", "?c"), ("?o", "ord__price", "?p")],
+    [("?o", "ord__big", "?b"), ("?o", "ord__customer", "?c"), ("?c", "cust__segment", "?s")],
+    [("?d", "doc__quality", "?q"), ("?d", "doc__lang", "?l")],
+]
+
+
+@query(
+    f"""{SQL_SIZES}
+        select 'ord__customer' as prop, 'ord__customer_TRPS_JOIN_ord__big_TRPS' as pattern, bigs as rows from n
+        union all select 'ord__customer', 'ord__customer_TRPS_JOIN_ord__big_TRPS_JOIN_ord__price_TRPS', bigs from n
+        union all select 'ord__customer', 'ord__customer_TRPS_JOIN_ord__price_TRPS', ords from n
+        union all select 'ord__customer', 'ord__customer_TRPO_JOIN_cust__segment_TRPS', ords from n"""
+)
+def reductions_from_workload(spark, sf):
+    """Mine the log, propose by co-occurrence, build the reduced tables, read their statistics."""
+    rows = [(i, *triple) for i, group in enumerate(LOGGED) for triple in group]
+    log = spark.createDataFrame(rows, "query_id int, sub string, prop string, obj string")
+    txns = w.transactions(w.join_patterns(log))
+    matching = w.matching_patterns(w.frequent(txns, 0.0), w.propose_cooccurrence(txns))
+    props = ["ord__big", "ord__customer", "ord__price", "cust__segment", "doc__quality", "doc__lang"]
+    st = Store.build(triples(spark, sf).frame_of(props), scratch.new_path(spark, "mined"))
+    st.add_reductions(red.number_slots(matching))
+    return st.patterns().where(F.col("prop") == "ord__customer").select("prop", "pattern", "rows")

@@ -28,6 +28,10 @@ class Triples:
         """``sub, obj`` of several properties in one scan, as a bag."""
         return self._frame.where(F.col("prop").isin(*props)).select("sub", "obj")
 
+    def frame_of(self, props: Iterable[str]) -> DataFrame:
+        """``sub, prop, obj`` of some properties."""
+        return self._frame.where(F.col("prop").isin(sorted(set(props))))
+
     def rows(self, props: Iterable[str]) -> dict[str, int] | None:
         """Known row counts, if there is a catalog."""
         return None
@@ -46,10 +50,11 @@ class PropertyTables(Triples):
         return reduce(DataFrame.unionByName, [self.scan(p) for p in dict.fromkeys(props)])
 
     def frame(self) -> DataFrame:
-        return reduce(
-            DataFrame.unionByName,
-            [self.scan(p).select("sub", F.lit(p).alias("prop"), "obj") for p in self._tables],
-        )
+        return self.frame_of(self._tables)
+
+    def frame_of(self, props: Iterable[str]) -> DataFrame:
+        tables = [self.scan(p).select("sub", F.lit(p).alias("prop"), "obj") for p in sorted(set(props))]
+        return reduce(DataFrame.unionByName, tables)
 
 
 def as_triples(source) -> Triples:
