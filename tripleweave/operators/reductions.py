@@ -22,6 +22,8 @@ SUBJECT, OBJECT = "TRPS", "TRPO"
 SIDES = {SUBJECT: "sub", OBJECT: "obj"}
 JOIN = "_JOIN_"
 MAX_COLUMNS = 100
+# Catalog rows that may be broadcast; a larger catalog is joined as any other table.
+BROADCAST_ROWS = 100_000
 FPP = 0.001
 
 CATALOG = "prop string, slot int, pattern string, head string, members array<string>, size int"
@@ -182,8 +184,9 @@ def number_slots(patterns: DataFrame, max_cols: int = MAX_COLUMNS) -> DataFrame:
     ``max_cols`` is the width of a reduced table; scans without a column read the plain table.
     """
     order = Window.partitionBy("prop").orderBy("size", "pattern")
-    numbered = patterns.withColumn("slot", F.row_number().over(order) - 1)
-    return numbered.where(F.col("slot") < max_cols).select("prop", "slot", "pattern", "head", "members", "size")
+    # The bound on the rank itself lets Spark keep max_cols rows per task before the shuffle.
+    first = patterns.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_cols)
+    return first.select("prop", (F.col("rank") - 1).alias("slot"), "pattern", "head", "members", "size")
 
 
 def catalog_of(spark, prop: str, patterns: Iterable[Iterable[str]], max_cols: int = MAX_COLUMNS) -> DataFrame:
@@ -215,7 +218,14 @@ def flag_all(triples: DataFrame, catalog: DataFrame) -> DataFrame:
         .groupBy("value")
         .agg(F.collect_set("item").alias("items"))
     )
-    per_prop = catalog.groupBy("prop").agg(F.sort_array(F.collect_list(F.struct("slot", "head", "members"))).alias("patterns"))
+    by_prop: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r.prop, r.slot)):
+        by_prop.setdefault(r.prop, []).append((r.head, r.members))
+    per_prop = triples.sparkSession.createDataFrame(
+        list(by_prop.items()), "prop string, patterns array<struct<head string, members array<string>>>"
+    )
+    if len(rows) <= BROADCAST_ROWS:
+        per_prop = F.broadcast(per_prop)
 
     df = triples.where(F.col("prop").isin(props))
     nothing = F.array().cast("array<string>")

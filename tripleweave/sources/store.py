@@ -46,6 +46,7 @@ class Store(Triples):
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._rows: dict[str, int] = {}
         super().__init__(self._read("triples", TRIPLES).select("sub", "prop", "obj"))
 
     @classmethod
@@ -107,8 +108,11 @@ class Store(Triples):
         return counts.db_stats(self.stats(), self.patterns().select("prop").distinct().count())
 
     def rows(self, props: Iterable[str]) -> dict[str, int]:
-        wanted = self.stats().where(F.col("prop").isin(sorted(set(props))))
-        return {r["prop"]: r["rows"] for r in wanted.select("prop", "rows").collect()}
+        new = sorted(set(props) - self._rows.keys())
+        if new:
+            wanted = self.stats().where(F.col("prop").isin(new))
+            self._rows |= {p: 0 for p in new} | {r["prop"]: r["rows"] for r in wanted.select("prop", "rows").collect()}
+        return {p: self._rows[p] for p in props}
 
     def filter(self, prop: str, side: str) -> red.Bloom:
         """The stored Bloom filter of one side of a property."""
