@@ -41,13 +41,14 @@ def _lookup(table: Mapping[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, so that nested rewrites do not multiply."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip_brackets(term: Column) -> Column:
-    return F.regexp_replace(term, "(?s)^<(.*)>$", "$1")
+    inside = F.substring(term, F.lit(2), F.length(term) - 2)
+    return F.when(term.startswith("<") & term.endswith(">"), inside).otherwise(term)
 
 
 def is_literal(term: Column) -> Column:
@@ -63,19 +64,18 @@ def compact(term: Column, prefixes: Mapping[str, str]) -> Column:
 
     ``prefixes`` maps prefix to namespace. Literals and unknown namespaces stay as they are.
     """
-    by_namespace = {ns: name for name, ns in prefixes.items()}
-    namespace = f"^({_alternatives(list(by_namespace))})" if prefixes else None
-
-    def shorten(bare: Column) -> Column:
-        return _with(
-            F.regexp_extract(bare, namespace, 1),
-            lambda ns: F.coalesce(F.concat(_lookup(by_namespace, ns), F.lit("__"), _after(bare, ns)), bare),
-        )
+    return let(term, lambda t: compact_column(t, prefixes))
 
-    def node(t: Column) -> Column:
-        return _with(strip_brackets(t), shorten) if namespace else strip_brackets(t)
 
-    return _with(term, lambda t: F.when(is_literal(t), t).otherwise(node(t)))
+def compact_column(term: Column, prefixes: Mapping[str, str]) -> Column:
+    """:func:`compact` of a plain column, which costs nothing to mention several times."""
+    bare = strip_brackets(term)
+    if not prefixes:
+        return F.when(is_literal(term), term).otherwise(bare)
+    by_namespace = {ns: name for name, ns in prefixes.items()}
+    ns = F.regexp_extract(term, f"^<?({_alternatives(list(by_namespace))})", 1)
+    short = let(ns, lambda n: F.concat(_lookup(by_namespace, n), F.lit("__"), _after(bare, n)))
+    return F.when(is_literal(term), term).otherwise(F.coalesce(short, bare))
 
 
 def expand(term: Column, prefixes: Mapping[str, str], brackets: bool = True) -> Column:
@@ -83,7 +83,7 @@ def expand(term: Column, prefixes: Mapping[str, str], brackets: bool = True) ->
     pattern = f"^({_alternatives(list(prefixes))})__" if prefixes else None
 
     def lengthen(t: Column) -> Column:
-        return _with(
+        return let(
             F.regexp_extract(t, pattern, 1),
             lambda name: F.coalesce(F.concat(_lookup(prefixes, name), _after(t, name, 2)), t),
         )
@@ -92,7 +92,7 @@ def expand(term: Column, prefixes: Mapping[str, str], brackets: bool = True) ->
         full = lengthen(t) if pattern else t
         return F.concat(F.lit("<"), full, F.lit(">")) if brackets else full
 
-    return _with(term, lambda t: F.when(is_literal(t) | t.startswith("_:"), t).otherwise(iri(t)))
+    return let(term, lambda t: F.when(is_literal(t) | t.startswith("_:"), t).otherwise(iri(t)))
 
 
 def lexical(term: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tripleweave.functions import prefixes as tables
 from tripleweave.functions import terms
 from tripleweave.operators.reductions import JOIN, OBJECT, SUBJECT, item_prop
+from tripleweave.sources.scratch import checkpoint
 
 # The spelling of terms in query text.
 VARIABLE = r"[?$]\w+"
@@ -119,12 +120,15 @@ def transactions(joins: DataFrame) -> DataFrame:
 
 
 def frequent(txns: DataFrame, min_support: float = 0.001) -> DataFrame:
-    """``items, freq, size``: itemsets of two or more items in at least that share of transactions."""
-    model = FPGrowth(itemsCol="items", minSupport=min_support).fit(txns.select("items"))
+    """``items, freq, size``: itemsets of two or more items in at least that share of transactions.
+
+    Mining passes over the transactions several times and its result is read by several
+    steps, so both are checkpointed: the log is parsed and the trees are grown once.
+    """
+    model = FPGrowth(itemsCol="items", minSupport=min_support).fit(checkpoint(txns.select("items")))
     size = F.size("items")
-    return model.freqItemsets.where(size > 1).select(
-        F.sort_array("items").alias("items"), "freq", size.alias("size")
-    )
+    itemsets = model.freqItemsets.where(size > 1)
+    return checkpoint(itemsets.select(F.sort_array("items").alias("items"), "freq", size.alias("size")))
 
 
 def with_cost(itemsets: DataFrame, n_queries: int, n_props: int, alpha: float = 0.5) -> DataFrame:

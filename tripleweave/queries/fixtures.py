@@ -6,7 +6,7 @@ dates through ``yyyy-MM-dd``, which every engine spells alike.
 
 from __future__ import annotations
 
-from functools import cache, partial, reduce
+from functools import cache, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,29 +74,17 @@ def _properties() -> dict[str, tuple]:
 
 
 class TableTriples(PropertyTables):
-    """Property tables that are read once per underlying table when all are wanted."""
+    """Property tables over the given ones; a table's schema is looked up once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self._specs = _properties()
-        read = cache(partial(table, spark, sf_dir))
-        self._table = read
-        super().__init__({prop: partial(self._one, *spec) for prop, spec in self._specs.items()})
+        self._table = cache(partial(table, spark, sf_dir))
+        super().__init__({prop: partial(self._one, *spec) for prop, spec in _properties().items()})
 
     def _one(self, name: str, sub: Column, obj: Column, where: Column | None = None) -> DataFrame:
         df = self._table(name)
         df = df if where is None else df.where(where)
         return df.select(sub.alias("sub"), obj.alias("obj"))
 
-    def frame(self) -> DataFrame:
-        rows: dict[str, list[Column]] = {}
-        for prop, (name, sub, obj, *where) in self._specs.items():
-            triple = F.struct(sub.alias("sub"), F.lit(prop).alias("prop"), obj.alias("obj"))
-            rows.setdefault(name, []).append(F.when(where[0], triple) if where else triple)
-        frames = [
-            self._table(name).select(F.inline(F.array_compact(F.array(*structs)))) for name, structs in rows.items()
-        ]
-        return reduce(DataFrame.unionByName, frames)
-
 
 def triples(spark: SparkSession, sf_dir: str) -> TableTriples:
     return TableTriples(spark, sf_dir)

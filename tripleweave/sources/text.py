@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from tripleweave.functions import prefixes as tables
 from tripleweave.functions import terms
 
-# The end of a triple: a dot of its own, or one right after a bracket or quote.
-END = r'(?:\s+\.|(?<=[>"])\.)$'
-
 # Fixed value: the query parameter of an access-log line.
 LOG_QUERY = r'^(.+?)query=(.+?)(&.*?)?"$'
 
@@ -38,16 +35,27 @@ LOG_PREFIXES = [
 ]
 
 
-def _is_comment(line: Column) -> Column:
-    return F.ltrim(line).startswith("#")
+BLANK = " \t\r"
+
+
+def _fields(lines: DataFrame, sep: str | None) -> DataFrame:
+    """``value, sub, prop, obj``: a line's first two fields and the rest, which may hold spaces."""
+    line = F.ltrim(F.col("value"), F.lit(BLANK))
+    parts = lines.select("value", F.split(line, sep or r"\s+", 3).alias("parts"))
+    get = [F.get("parts", F.lit(i)) for i in range(3)]
+    return parts.select("value", get[0].alias("sub"), get[1].alias("prop"), _without_dot(get[2]).alias("obj"))
+
+
+def _without_dot(field: Column) -> Column:
+    """Drop the closing dot: one that stands alone, or follows a bracket or quote."""
+    rest = F.rtrim(field, F.lit(BLANK))
+    closed = rest.endswith(".") & F.substring(rest, -2, 1).isin(" ", "\t", ">", '"')
+    return F.when(closed, F.rtrim(F.left(rest, F.length(rest) - 1), F.lit(BLANK))).otherwise(rest)
 
 
-def _split(lines: DataFrame, sep: str | None) -> DataFrame:
-    """``value`` and ``parts``: subject, property and the rest of the line, null where it is no triple."""
-    body = F.regexp_replace(F.trim("value"), END, "")
-    split = lines.select("value", F.split(body, sep or r"\s+", 3).alias("parts"))
-    ok = (F.size("parts") == 3) & (F.get("parts", F.lit(2)) != "") & ~_is_comment(F.col("value"))
-    return split.select("value", F.when(ok, F.col("parts")).alias("parts"))
+def _is_triple() -> Column:
+    obj = F.col("obj")
+    return obj.isNotNull() & (obj != "") & (obj != ".") & ~F.col("sub").startswith("#")
 
 
 def parse_triples(
@@ -57,15 +65,19 @@ def parse_triples(
 
     Comments, blank lines and lines that are no triple give no row (see :func:`rejected`).
     """
-    fields = _split(lines, sep).where(F.col("parts").isNotNull())
-    term = [F.trim(F.get("parts", F.lit(i))) for i in range(3)]
-    return fields.select(*[terms.compact(t, prefixes).alias(c) for t, c in zip(term, ("sub", "prop", "obj"))])
+    names = ("sub", "prop", "obj")
+    terms_ = [F.trim(n) if sep else F.col(n) for n in names]
+    triple = F.struct(*[t.alias(n) for t, n in zip(terms_, names)])
+    # As a generator of no or one row: a filter would be pushed down and split the line again.
+    found = _fields(lines, sep).select(F.inline(F.when(_is_triple(), F.array(triple))))
+    return found.select(*[terms.compact_column(F.col(n), prefixes).alias(n) for n in names])
 
 
 def rejected(lines: DataFrame, sep: str | None = None) -> DataFrame:
     """The lines :func:`parse_triples` leaves out, comments and blank lines aside."""
-    fields = _split(lines, sep).where(F.col("parts").isNull())
-    return fields.where(~_is_comment(F.col("value")) & (F.trim("value") != "")).select("value")
+    line = F.trim(F.col("value"), F.lit(BLANK))
+    fields = _fields(lines.where(~line.startswith("#") & (line != "")), sep)
+    return fields.where(~F.coalesce(_is_triple(), F.lit(False))).select("value")
 
 
 def read_triples(
