@@ -9,6 +9,7 @@ from tripleweave.operators import layouts, stats
 from tripleweave.operators import reductions as red
 from tripleweave.plans import access
 from tripleweave.plans.pattern import match
+from tripleweave.sources import store as store_module
 from tripleweave.sources.store import Store
 
 rng = random.Random(7)
@@ -224,3 +225,39 @@ def test_report(spark, source, tmp_path):
     best = len([1 for s, p, o in TRIPLES if p == "p" and s in side("q", "TRPS")])
     assert (got["1"].vp_rows, got["1"].reduced_rows) == (n["p"] + n["q"], best + n["q"])
     assert (got["2"].vp_rows, got["2"].ratio) == (0, None)
+
+
+def test_hot_property_is_split_over_files(spark, tmp_path, monkeypatch):
+    rows = spark.range(0, 60_000, 1, 6).select(
+        F.lit("one subject").alias("sub"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), (F.col("id") % 20).cast("string"))).alias("prop"),
+        F.concat(F.lit("o"), "id").alias("obj"),
+    )
+    monkeypatch.setattr(store_module, "FILE_ROWS", 2_500)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "10KB")
+    try:
+        st = Store.build(rows, str(tmp_path / "s"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "s" / "triples").iterdir() if p.is_dir()}
+    assert files["prop=hot"] >= 4  # four reducers here
+    assert st.frame().count() == 60_000
+
+
+def test_rare_properties_stay_in_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "FILE_ROWS", 5_000)
+    rows = spark.range(0, 60_000, 1, 6).select(
+        F.col("id").cast("string").alias("sub"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), (F.col("id") % 20).cast("string"))).alias("prop"),
+        F.lit("same").alias("obj"),
+    )
+    Store.build(rows, str(tmp_path / "s"))
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "s" / "triples").iterdir() if p.is_dir()}
+    assert all(n == 1 for name, n in files.items() if name != "prop=hot")
+
+
+def test_long_name_lists_join_instead(source, monkeypatch, spark):
+    want = sorted(map(str, red.pattern_flags(source, "p", PATTERNS).collect()))
+    monkeypatch.setattr(red, "PUSHED_VALUES", 0)
+    monkeypatch.setattr(red, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, red.pattern_flags(source, "p", PATTERNS).collect())) == want

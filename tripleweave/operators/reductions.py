@@ -22,8 +22,10 @@ SUBJECT, OBJECT = "TRPS", "TRPO"
 SIDES = {SUBJECT: "sub", OBJECT: "obj"}
 JOIN = "_JOIN_"
 MAX_COLUMNS = 100
-# Catalog rows that may be broadcast; a larger catalog is joined as any other table.
+# Rows of names and patterns that may be broadcast; more are joined as any other table.
 BROADCAST_ROWS = 100_000
+# Names that may be listed in a scan's filter.
+PUSHED_VALUES = 1_000
 FPP = 0.001
 
 CATALOG = "prop string, slot int, pattern string, head string, members array<string>, size int"
@@ -198,43 +200,48 @@ def catalog_of(spark, prop: str, patterns: Iterable[Iterable[str]], max_cols: in
     )
 
 
+def _among(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """Rows with one of the values: a pushed-down list, or a semi-join for a long one."""
+    if len(values) <= PUSHED_VALUES:
+        return df.where(F.col(column).isin(values))
+    wanted = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
+    return df.join(small(wanted, len(values)), column, "left_semi")
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint for a table of known, limited length."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def flag_all(triples: DataFrame, catalog: DataFrame) -> DataFrame:
     """``sub, prop, obj, m0..``: the exact flags of all properties of a catalog in one job.
 
     The members any pattern asks for are looked up once, as one row per term listing the
-    items it occurs under; flags are then array tests on at most two joins. The catalog is
-    read to the driver: it has ``max_cols`` rows per property at most.
+    items it occurs under; flags are then array tests on at most two joins. Only names come
+    to the driver: the properties and items the catalog mentions.
     """
-    rows = catalog.select("prop", "slot", "head", "members").collect()
-    needed = sorted({m for r in rows for m in r.members})
-    props = sorted({r.prop for r in rows})
-    n_slots = max((r.slot for r in rows), default=-1) + 1
+    about = catalog.agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("slot"), F.collect_set("head").alias("heads"))
+    n_rows, last_slot, heads = about.first()
+    needed = sorted(r[0] for r in catalog.select(F.explode("members")).distinct().collect())
+    props = sorted(r[0] for r in catalog.select("prop").distinct().collect())
 
     sides = [F.struct(F.concat_ws("_", "prop", F.lit(s)).alias("item"), F.col(c).alias("value")) for s, c in SIDES.items()]
+    members = _among(triples, "prop", sorted({split_item(m)[0] for m in needed}))
     presence = (
-        triples.where(F.col("prop").isin(sorted({split_item(m)[0] for m in needed})))
-        .select(F.inline(F.array(*sides)))
-        .where(F.col("item").isin(needed))
+        _among(members.select(F.inline(F.array(*sides))), "item", needed)
         .groupBy("value")
         .agg(F.collect_set("item").alias("items"))
     )
-    by_prop: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.prop, r.slot)):
-        by_prop.setdefault(r.prop, []).append((r.head, r.members))
-    per_prop = triples.sparkSession.createDataFrame(
-        list(by_prop.items()), "prop string, patterns array<struct<head string, members array<string>>>"
-    )
-    if len(rows) <= BROADCAST_ROWS:
-        per_prop = F.broadcast(per_prop)
+    patterns = F.sort_array(F.collect_list(F.struct("slot", "head", "members"))).alias("patterns")
+    per_prop = small(catalog.groupBy("prop").agg(patterns), n_rows)
 
-    df = triples.where(F.col("prop").isin(props))
+    df = _among(triples, "prop", props)
     nothing = F.array().cast("array<string>")
     found = {}
     for side, column in SIDES.items():
-        if any(r.head == side for r in rows):
-            df = df.join(
-                presence.select(F.col("value").alias(column), F.col("items").alias(side)), column, "left"
-            )
+        if side in heads:
+            items = presence.select(F.col("value").alias(column), F.col("items").alias(side))
+            df = df.join(items, column, "left")
             found[side] = F.coalesce(F.col(side), nothing)
         else:
             found[side] = nothing
@@ -247,7 +254,7 @@ def flag_all(triples: DataFrame, catalog: DataFrame) -> DataFrame:
         ),
     )
     df = df.select("sub", "prop", "obj", in_all.alias("flags"))
-    slots = [F.when(F.get("flags", F.lit(i)), True).alias(f"m{i}") for i in range(n_slots)]
+    slots = [F.when(F.get("flags", F.lit(i)), True).alias(f"m{i}") for i in range((last_slot or 0) + 1)]
     return df.select("sub", "prop", "obj", *slots)
 
 
@@ -265,7 +272,7 @@ def pattern_flags(
     src = as_triples(source)
     if filters is None:
         catalog = catalog_of(src.scan(prop).sparkSession, prop, patterns, max_cols)
-        rows = catalog.collect()
+        rows = catalog.collect()  # max_cols rows
         wanted = {prop, *(split_item(m)[0] for r in rows for m in r.members)}
         flags = flag_all(src.frame_of(wanted), catalog)
         return flags.select("sub", "obj", *[F.col(f"m{r.slot}").alias(r.pattern) for r in rows])

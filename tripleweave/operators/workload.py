@@ -125,7 +125,9 @@ def frequent(txns: DataFrame, min_support: float = 0.001) -> DataFrame:
     Mining passes over the transactions several times and its result is read by several
     steps, so both are checkpointed: the log is parsed and the trees are grown once.
     """
-    model = FPGrowth(itemsCol="items", minSupport=min_support).fit(checkpoint(txns.select("items")))
+    tasks = txns.sparkSession.sparkContext.defaultParallelism
+    growth = FPGrowth(itemsCol="items", minSupport=min_support, numPartitions=tasks)
+    model = growth.fit(checkpoint(txns.select("items")))
     size = F.size("items")
     itemsets = model.freqItemsets.where(size > 1)
     return checkpoint(itemsets.select(F.sort_array("items").alias("items"), "freq", size.alias("size")))

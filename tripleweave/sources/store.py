@@ -18,6 +18,7 @@ from pyspark.sql.utils import AnalysisException
 from tripleweave.operators import reductions as red
 from tripleweave.operators import stats as counts
 from tripleweave.plans.access import Reductions
+from tripleweave.sources.scratch import checkpoint
 from tripleweave.sources.triples import Triples
 
 TRIPLES = "sub string, obj string, prop string"
@@ -26,15 +27,31 @@ FILTERS = "prop string, side string, n_blocks bigint, block bigint, " + ", ".joi
 REDUCED = "sub string, obj string, " + ", ".join(f"m{i} boolean" for i in range(red.MAX_COLUMNS)) + ", prop string"
 PATTERNS = red.CATALOG + ", rows bigint, vp_rows bigint, ratio double"
 
+# Rows a file should hold: some hundred megabytes of terms.
+FILE_ROWS = 5_000_000
 # Reduced tables written by one Bloom job; each adds its joins to the plan.
 BLOOM_BATCH = 16
 
 
-def write_by_property(df: DataFrame, path: str, dynamic: bool = False) -> None:
-    """One folder per property. Rebalancing splits a hot property over tasks and merges rare ones."""
+def write_by_property(df: DataFrame, path: str, sizes: DataFrame, dynamic: bool = False) -> None:
+    """One folder per property, a file per ``FILE_ROWS`` rows; ``sizes`` is ``(prop, rows)``.
+
+    Large properties are hashed into as many pieces as they need before the shuffle, so a hot
+    one is written by many tasks and never drags the rare ones along into many small files.
+    """
+    pieces = F.ceil(F.col("rows") / FILE_ROWS).alias("pieces")
+    # At most one row per FILE_ROWS rows of data.
+    large = sizes.where(F.col("rows") > FILE_ROWS).select("prop", pieces).collect()
+    piece = F.lit(0)
+    if large:
+        table = df.sparkSession.createDataFrame(large, "prop string, pieces bigint")
+        df = df.join(red.small(table, len(large)), "prop", "left")
+        piece = F.coalesce(F.pmod(F.xxhash64("sub", "obj"), "pieces"), F.lit(0))
     (
-        df.hint("rebalance", "prop")
+        df.withColumn("piece", piece)
+        .hint("rebalance", "prop", "piece")
         .sortWithinPartitions("prop", "sub")
+        .drop("pieces", "piece")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
         .partitionBy("prop")
@@ -53,7 +70,8 @@ class Store(Triples):
     def build(cls, triples: DataFrame, path: str, dedupe: bool = False, fpp: float = red.FPP) -> Store:
         """Write triples, statistics and filters. Repeated triples stay unless ``dedupe``."""
         rows = triples.select("sub", "prop", "obj")
-        write_by_property(rows.dropDuplicates() if dedupe else rows, f"{path.rstrip('/')}/triples")
+        sizes = rows.groupBy("prop").agg(F.count(F.lit(1)).alias("rows"))
+        write_by_property(rows.dropDuplicates() if dedupe else rows, f"{path.rstrip('/')}/triples", sizes)
         store = cls(triples.sparkSession, path)
         distinct = store.frame().groupBy("prop").agg(
             F.count(F.lit(1)).alias("rows"),
@@ -127,34 +145,34 @@ class Store(Triples):
         catalog rows appear, and a repeated run overwrites what an interrupted one left.
         """
         have = self.patterns().select("prop").distinct()
-        new = catalog.join(have, "prop", "left_anti")
-        # Bounded: at most 100 rows a property, and no data.
-        rows = new.select("prop", "slot", "pattern", "head", "members", "size").collect()
-        if not rows:
+        columns = ["prop", "slot", "pattern", "head", "members", "size"]
+        # Read several times below, and usually the end of a mining job.
+        new = checkpoint(catalog.join(have, "prop", "left_anti").select(*columns))
+        props = sorted(r["prop"] for r in new.select("prop").distinct().collect())
+        if not props:
             return
-        new = self.spark.createDataFrame(rows, red.CATALOG)
         path = f"{self.path}/reduced"
         if mode == "exact":
-            write_by_property(red.flag_all(self.frame(), new), path, dynamic=True)
+            write_by_property(red.flag_all(self.frame(), new), path, self.stats(), dynamic=True)
         else:
-            props = sorted({r["prop"] for r in rows})
             for i in range(0, len(props), BLOOM_BATCH):
-                write_by_property(self._bloom_flags(props[i : i + BLOOM_BATCH], rows), path, dynamic=True)
-        wanted = sorted({r["prop"] for r in rows})
-        width = max(r["slot"] for r in rows) + 1
-        written = self._read("reduced", REDUCED).where(F.col("prop").isin(wanted))
+                batch = props[i : i + BLOOM_BATCH]
+                flags = self._bloom_flags(batch, new.where(F.col("prop").isin(batch)).collect())
+                write_by_property(flags, path, self.stats(), dynamic=True)
+        width = new.agg(F.max("slot")).first()[0] + 1
+        wanted = red.small(new.select("prop").distinct(), len(props))
+        written = self._read("reduced", REDUCED).join(wanted, "prop", "left_semi")
         flags = written.select("prop", "sub", "obj", *[f"m{i}" for i in range(width)])
-        red.slot_stats(flags, new).coalesce(1).write.mode("append").parquet(f"{self.path}/patterns")
+        red.slot_stats(flags, new).write.mode("append").parquet(f"{self.path}/patterns")
 
     def _bloom_flags(self, props: list[str], rows: list) -> DataFrame:
-        mine = [r for r in rows if r["prop"] in props]
-        filters = {m: self.filter(*red.split_item(m)) for m in sorted({m for r in mine for m in r["members"]})}
+        filters = {m: self.filter(*red.split_item(m)) for m in sorted({m for r in rows for m in r["members"]})}
         tables = []
         for prop in props:
-            slots = {r["pattern"]: r["slot"] for r in mine if r["prop"] == prop}
-            items = [[red.item(prop, r["head"]), *r["members"]] for r in mine if r["prop"] == prop]
+            mine = [r for r in rows if r["prop"] == prop]
+            items = [[red.item(prop, r["head"]), *r["members"]] for r in mine]
             flags = red.pattern_flags(self, prop, items, filters)
-            cols = [F.col(f"`{name}`").alias(f"m{slot}") for name, slot in slots.items()]
+            cols = [F.col(f"`{r['pattern']}`").alias(f"m{r['slot']}") for r in mine]
             tables.append(flags.select("sub", F.lit(prop).alias("prop"), "obj", *cols))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
