@@ -9,8 +9,10 @@ from tripleweave.operators import layouts, stats
 from tripleweave.operators import reductions as red
 from tripleweave.plans import access
 from tripleweave.plans.pattern import match
+from tripleweave.sources import scratch
 from tripleweave.sources import store as store_module
 from tripleweave.sources.store import Store
+from tripleweave.sources.triples import PropertyTables
 
 rng = random.Random(7)
 # A third of all rows share one subject, another third one object.
@@ -261,3 +263,28 @@ def test_long_name_lists_join_instead(source, monkeypatch, spark):
     monkeypatch.setattr(red, "PUSHED_VALUES", 0)
     monkeypatch.setattr(red, "BROADCAST_ROWS", 0)
     assert sorted(map(str, red.pattern_flags(source, "p", PATTERNS).collect())) == want
+
+
+def test_rebuilding_voids_old_reductions(source, frame, tmp_path, spark):
+    path = str(tmp_path / "again")
+    st = Store.build(source, path)
+    st.add_reductions(red.catalog_of(spark, "p", [["p_TRPS", "q_TRPS"]]))
+    st = Store.build(frame([("x", "p", "y"), ("x", "q", "z"), ("w", "q", "z")]), path)
+    group = [("?a", "p", "?b"), ("?a", "q", "?c")]
+    assert [tuple(r) for r in match(st, group, st.reductions()).project("?a", "?b", "?c").df.collect()] == [("x", "y", "z")]
+    assert st.patterns().count() == 0
+    st.add_reductions(red.catalog_of(spark, "q", [["q_TRPS", "p_TRPS"]]))
+    assert st.reductions().choose([("0", "q", "TRPS", ["p_TRPS", "q_TRPS"])])["0"].rows == 1
+
+
+def test_unknown_properties_match_nothing(source, spark):
+    assert match(source, [("?a", "none", "?b")]).df.count() == 0
+    tables = PropertyTables({"p": lambda: source.where("prop = 'p'").select("sub", "obj")})
+    assert match(tables, [("?a", "none", "?b")]).df.count() == 0
+
+
+def test_scratch_folder(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "SETTING", "spark.no.such.dir")
+    folder = scratch.shared_folder(spark)
+    assert folder.startswith("/tmp/run-") and scratch.shared_folder(spark) == folder
+    assert scratch.new_path(spark, "x").startswith(folder + "/x-")

@@ -110,9 +110,10 @@ def bloom_flag(df: DataFrame, column: str, filter_: Bloom, name: str) -> DataFra
 def build_filters(triples: DataFrame, stats: DataFrame, fpp: float = FPP) -> DataFrame:
     """``prop, side, n_blocks, block, w0..w7``: the filters of all properties, both sides, one job.
 
-    ``stats`` gives the number of distinct ``subjects`` and ``objects`` of each property.
+    ``stats`` gives the approximate number of distinct ``subjects`` and ``objects`` of each
+    property; a tenth is added for what the approximation may miss.
     """
-    per_block = bloom.BLOCK_BITS / bloom.bits_per_value(fpp)
+    per_block = bloom.BLOCK_BITS / bloom.bits_per_value(fpp) / 1.1
 
     def blocks(n: str) -> Column:
         return F.greatest(F.lit(1), F.ceil(F.col(n) / per_block)).cast("bigint")

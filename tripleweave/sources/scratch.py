@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
+_LOCAL: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` as configured; a new folder under /tmp only for a local session."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {SETTING} to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set(SETTING, folder)
-    return folder
+    if folder:
+        return folder
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError(f"set {SETTING} to a folder all executors can reach")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _LOCAL[sc.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -13,7 +13,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tripleweave.operators import reductions as red
 from tripleweave.operators import stats as counts
@@ -70,6 +69,10 @@ class Store(Triples):
     def build(cls, triples: DataFrame, path: str, dedupe: bool = False, fpp: float = red.FPP) -> Store:
         """Write triples, statistics and filters. Repeated triples stay unless ``dedupe``."""
         rows = triples.select("sub", "prop", "obj")
+        # What an earlier build left is void from here on, even if this one is cut short.
+        for name, schema in (("patterns", PATTERNS), ("filters", FILTERS), ("stats", STATS)):
+            empty = triples.sparkSession.createDataFrame([], schema)
+            empty.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
         sizes = rows.groupBy("prop").agg(F.count(F.lit(1)).alias("rows"))
         write_by_property(rows.dropDuplicates() if dedupe else rows, f"{path.rstrip('/')}/triples", sizes)
         store = cls(triples.sparkSession, path)
@@ -92,20 +95,12 @@ class Store(Triples):
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
-    def _maybe(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self._read(name, schema)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], schema)
-
     def stats(self) -> DataFrame:
         return self._read("stats", STATS)
 
     def patterns(self) -> DataFrame:
         """Catalog of the reduced tables: a row per pattern column, with its number of rows."""
-        return self._maybe("patterns", PATTERNS)
+        return self._read("patterns", PATTERNS)
 
     def reduced_tables(self) -> DataFrame:
         """``table_name, prop, rows, ratio, members, columns``: an entry per reduced table."""

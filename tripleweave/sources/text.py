@@ -103,7 +103,11 @@ def clean_dbpedia(lines: DataFrame, prefixes: Mapping[str, str] = tables.DBPEDIA
 
 
 def clean_yago(lines: DataFrame, prefixes: Mapping[str, str] = tables.YAGO) -> DataFrame:
-    """Tab-separated lines to ``sub prop obj .``; only lines of exactly three fields stay."""
+    """Tab-separated lines to ``sub prop obj .``; only lines of exactly three fields stay.
+
+    ``<http...>`` is compacted, ``<x>`` becomes ``yago__x``, ``a:b`` becomes ``a__b`` (not
+    inside a literal, which would lose what follows a second colon).
+    """
     value = F.col("value")
     fields = F.split(F.replace(F.trim(value), F.lit(" ."), F.lit("")), "\t")
 

@@ -44,6 +44,8 @@ class PropertyTables(Triples):
         self._tables = tables
 
     def scan(self, prop: str) -> DataFrame:
+        if prop not in self._tables:
+            return next(iter(self._tables.values()))().where(F.lit(False))
         return self._tables[prop]()
 
     def scan_any(self, props: Iterable[str]) -> DataFrame:
