@@ -288,3 +288,17 @@ def test_scratch_folder(spark, monkeypatch):
     folder = scratch.shared_folder(spark)
     assert folder.startswith("/tmp/run-") and scratch.shared_folder(spark) == folder
     assert scratch.new_path(spark, "x").startswith(folder + "/x-")
+
+
+def test_many_items_take_several_words_and_jobs(source, monkeypatch, spark, tmp_path):
+    want = sorted(map(str, red.pattern_flags(source, "p", PATTERNS).collect()))
+    monkeypatch.setattr(red, "WORD_BITS", 2)
+    assert sorted(map(str, red.pattern_flags(source, "p", PATTERNS).collect())) == want
+    monkeypatch.setattr(store_module, "JOB_ITEMS", 1)
+    st = Store.build(source, str(tmp_path / "jobs"))
+    catalog = red.catalog_of(spark, "p", PATTERNS).unionByName(red.catalog_of(spark, "r", [["r_TRPS", "p_TRPO"]]))
+    assert st._batches(catalog) == [["p"], ["r"]]
+    st.add_reductions(catalog)
+    got = {r.pattern: r["rows"] for r in st.patterns().where("prop = 'p'").collect()}
+    assert got == {n: sum(x[2] is True for x in rows) for n, rows in expected_flags("p", PATTERNS).items()}
+    assert st.patterns().where("prop = 'r'").count() == 1

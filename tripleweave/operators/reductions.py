@@ -24,6 +24,8 @@ JOIN = "_JOIN_"
 MAX_COLUMNS = 100
 # Rows of names and patterns that may be broadcast; more are joined as any other table.
 BROADCAST_ROWS = 100_000
+# Items to a word of an exact lookup.
+WORD_BITS = 63
 # Names that may be listed in a scan's filter.
 PUSHED_VALUES = 1_000
 FPP = 0.001
@@ -214,47 +216,67 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _item_index(spark, items: list[str]) -> DataFrame:
+    """``item, prop, side, word, mask``: a bit for each item, 63 to a word."""
+    rows = [(m, *split_item(m), i // WORD_BITS, 1 << i % WORD_BITS) for i, m in enumerate(items)]
+    return small(spark.createDataFrame(rows, "item string, prop string, side string, word int, mask bigint"), len(rows))
+
+
+def _words(n: int) -> list[Column]:
+    """One bit set per word, or-ed together from ``word`` and ``mask``."""
+    return [F.bit_or(F.when(F.col("word") == j, F.col("mask")).otherwise(F.lit(0))) for j in range(n)]
+
+
 def flag_all(triples: DataFrame, catalog: DataFrame) -> DataFrame:
     """``sub, prop, obj, m0..``: the exact flags of all properties of a catalog in one job.
 
-    The members any pattern asks for are looked up once, as one row per term listing the
-    items it occurs under; flags are then array tests on at most two joins. Only names come
-    to the driver: the properties and items the catalog mentions.
+    Every item any pattern asks for is a bit. One aggregate gives each term the bits of the
+    items it occurs under, at most two joins bring them to the rows, and a flag is a mask test:
+    eight bytes travel with a row where lists of names would. Slots count from 0 without gaps.
+    Only names come to the driver: the properties and items the catalog mentions.
     """
     about = catalog.agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("slot"), F.collect_set("head").alias("heads"))
     n_rows, last_slot, heads = about.first()
     needed = sorted(r[0] for r in catalog.select(F.explode("members")).distinct().collect())
     props = sorted(r[0] for r in catalog.select("prop").distinct().collect())
+    n_words = max(1, -(-len(needed) // WORD_BITS))
+    index = _item_index(triples.sparkSession, needed)
 
-    sides = [F.struct(F.concat_ws("_", "prop", F.lit(s)).alias("item"), F.col(c).alias("value")) for s, c in SIDES.items()]
-    members = _among(triples, "prop", sorted({split_item(m)[0] for m in needed}))
+    value = F.when(F.col("side") == SUBJECT, F.col("sub")).otherwise(F.col("obj")).alias("value")
     presence = (
-        _among(members.select(F.inline(F.array(*sides))), "item", needed)
+        _among(triples, "prop", sorted({split_item(m)[0] for m in needed}))
+        .join(index, "prop")
+        .select(value, "word", "mask")
         .groupBy("value")
-        .agg(F.collect_set("item").alias("items"))
+        .agg(*[w.alias(f"w{j}") for j, w in enumerate(_words(n_words))])
     )
-    patterns = F.sort_array(F.collect_list(F.struct("slot", "head", "members"))).alias("patterns")
-    per_prop = small(catalog.groupBy("prop").agg(patterns), n_rows)
+    masks = (
+        catalog.select("prop", "slot", "head", F.explode_outer("members").alias("item"))
+        .join(index.select("item", "word", "mask"), "item", "left")
+        .groupBy("prop", "slot", "head")
+        .agg(F.array(*_words(n_words)).alias("masks"))
+    )
+    patterns = F.sort_array(F.collect_list(F.struct("slot", "head", "masks"))).alias("patterns")
+    per_prop = small(masks.groupBy("prop").agg(patterns), n_rows)
 
     df = _among(triples, "prop", props)
-    nothing = F.array().cast("array<string>")
-    found = {}
+    found = {side: [F.lit(0)] * n_words for side in SIDES}
     for side, column in SIDES.items():
         if side in heads:
-            items = presence.select(F.col("value").alias(column), F.col("items").alias(side))
-            df = df.join(items, column, "left")
-            found[side] = F.coalesce(F.col(side), nothing)
-        else:
-            found[side] = nothing
+            bits = [F.col(f"w{j}").alias(f"{side}{j}") for j in range(n_words)]
+            df = df.join(presence.select(F.col("value").alias(column), *bits), column, "left")
+            found[side] = [F.coalesce(f"{side}{j}", F.lit(0)) for j in range(n_words)]
     df = df.join(per_prop, "prop")
-    in_all = F.transform(
-        "patterns",
-        lambda p: F.forall(
-            p["members"],
-            lambda m: F.array_contains(F.when(p["head"] == SUBJECT, found[SUBJECT]).otherwise(found[OBJECT]), m),
-        ),
-    )
-    df = df.select("sub", "prop", "obj", in_all.alias("flags"))
+
+    def in_all(pattern: Column) -> Column:
+        tests = []
+        for j in range(n_words):
+            have = F.when(pattern["head"] == SUBJECT, found[SUBJECT][j]).otherwise(found[OBJECT][j])
+            mask = F.get(pattern["masks"], F.lit(j))
+            tests.append(have.bitwiseAND(mask) == mask)
+        return reduce(lambda a, b: a & b, tests)
+
+    df = df.select("sub", "prop", "obj", F.transform("patterns", in_all).alias("flags"))
     slots = [F.when(F.get("flags", F.lit(i)), True).alias(f"m{i}") for i in range((last_slot or 0) + 1)]
     return df.select("sub", "prop", "obj", *slots)
 

@@ -28,6 +28,8 @@ PATTERNS = red.CATALOG + ", rows bigint, vp_rows bigint, ratio double"
 
 # Rows a file should hold: some hundred megabytes of terms.
 FILE_ROWS = 5_000_000
+# Items one exact job looks up, 63 to a column; nearly always all of them.
+JOB_ITEMS = 1_000
 # Reduced tables written by one Bloom job; each adds its joins to the plan.
 BLOOM_BATCH = 16
 
@@ -148,7 +150,9 @@ class Store(Triples):
             return
         path = f"{self.path}/reduced"
         if mode == "exact":
-            write_by_property(red.flag_all(self.frame(), new), path, self.stats(), dynamic=True)
+            for batch in self._batches(new):
+                flags = red.flag_all(self.frame(), new.where(F.col("prop").isin(batch)))
+                write_by_property(flags, path, self.stats(), dynamic=True)
         else:
             for i in range(0, len(props), BLOOM_BATCH):
                 batch = props[i : i + BLOOM_BATCH]
@@ -160,6 +164,20 @@ class Store(Triples):
         flags = written.select("prop", "sub", "obj", *[f"m{i}" for i in range(width)])
         red.slot_stats(flags, new).write.mode("append").parquet(f"{self.path}/patterns")
 
+    @staticmethod
+    def _batches(catalog: DataFrame) -> list[list[str]]:
+        """Properties whose patterns fit one exact job: ``JOB_ITEMS`` items, or one property."""
+        asked = catalog.groupBy("prop").agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("items"))
+        batches: list[list[str]] = []
+        items: set[str] = set()
+        for r in asked.orderBy("prop").collect():
+            if not batches or len(items | set(r["items"])) > JOB_ITEMS:
+                batches.append([])
+                items = set()
+            batches[-1].append(r["prop"])
+            items |= set(r["items"])
+        return batches
+
     def _bloom_flags(self, props: list[str], rows: list) -> DataFrame:
         filters = {m: self.filter(*red.split_item(m)) for m in sorted({m for r in rows for m in r["members"]})}
         tables = []
