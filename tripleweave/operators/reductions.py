@@ -227,6 +227,19 @@ def _words(n: int) -> list[Column]:
     return [F.bit_or(F.when(F.col("word") == j, F.col("mask")).otherwise(F.lit(0))) for j in range(n)]
 
 
+def _names(catalog: DataFrame) -> dict[str, list[str]]:
+    """The distinct items, properties, heads and slots of a catalog, in one job."""
+
+    def pairs(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("name")))
+
+    own = [pairs(c, F.array(c)) for c in ("prop", "head", "slot")]
+    found: dict[str, list[str]] = {kind: [] for kind in ("item", "prop", "head", "slot")}
+    for r in catalog.select(F.inline(F.concat(pairs("item", F.col("members")), *own))).distinct().collect():
+        found[r["kind"]].append(r["name"])
+    return {kind: sorted(values) for kind, values in found.items()}
+
+
 def flag_all(triples: DataFrame, catalog: DataFrame) -> DataFrame:
     """``sub, prop, obj, m0..``: the exact flags of all properties of a catalog in one job.
 
@@ -235,10 +248,9 @@ def flag_all(triples: DataFrame, catalog: DataFrame) -> DataFrame:
     eight bytes travel with a row where lists of names would. Slots count from 0 without gaps.
     Only names come to the driver: the properties and items the catalog mentions.
     """
-    about = catalog.agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("slot"), F.collect_set("head").alias("heads"))
-    n_rows, last_slot, heads = about.first()
-    needed = sorted(r[0] for r in catalog.select(F.explode("members")).distinct().collect())
-    props = sorted(r[0] for r in catalog.select("prop").distinct().collect())
+    names = _names(catalog)
+    needed, props, heads = names["item"], names["prop"], names["head"]
+    n_slots = max((int(x) for x in names["slot"]), default=-1) + 1
     n_words = max(1, -(-len(needed) // WORD_BITS))
     index = _item_index(triples.sparkSession, needed)
 
@@ -257,7 +269,7 @@ def flag_all(triples: DataFrame, catalog: DataFrame) -> DataFrame:
         .agg(F.array(*_words(n_words)).alias("masks"))
     )
     patterns = F.sort_array(F.collect_list(F.struct("slot", "head", "masks"))).alias("patterns")
-    per_prop = small(masks.groupBy("prop").agg(patterns), n_rows)
+    per_prop = small(masks.groupBy("prop").agg(patterns), len(props) * n_slots)
 
     df = _among(triples, "prop", props)
     found = {side: [F.lit(0)] * n_words for side in SIDES}
@@ -277,7 +289,7 @@ def flag_all(triples: DataFrame, catalog: DataFrame) -> DataFrame:
         return reduce(lambda a, b: a & b, tests)
 
     df = df.select("sub", "prop", "obj", F.transform("patterns", in_all).alias("flags"))
-    slots = [F.when(F.get("flags", F.lit(i)), True).alias(f"m{i}") for i in range((last_slot or 0) + 1)]
+    slots = [F.when(F.get("flags", F.lit(i)), True).alias(f"m{i}") for i in range(n_slots)]
     return df.select("sub", "prop", "obj", *slots)
 
 
