@@ -20,57 +20,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def node(kind: str, key: str | Column) -> Column:
-    return F.concat(F.lit(f"{kind}/"), (F.col(key) if isinstance(key, str) else key).cast("string"))
-
-
-def literal(value: str | Column) -> Column:
-    return F.concat(F.lit('"'), (F.col(value) if isinstance(value, str) else value).cast("string"), F.lit('"'))
-
-
-def money(column: str) -> Column:
-    return literal(F.col(column).cast("decimal(15,2)"))
-
-
-def _properties() -> dict[str, tuple]:
-    """Property: table, subject, object, and the rows it covers if not all."""
-    order, line = node("order", "o_orderkey"), node("order", "l_orderkey")
-    customer, supplier, part = node("customer", "c_custkey"), node("supplier", "s_suppkey"), node("part", "p_partkey")
-    nation, doc = node("nation", "n_nationkey"), node("doc", "doc_id")
-    label = F.concat(literal("source"), F.lit("@"), F.col("lang"))
-    lead = node("supplier", F.col("s_suppkey") - F.col("s_suppkey") % 10)
-    props = {
-        "ord__customer": ("orders", order, node("customer", "o_custkey")),
-        "ord__status": ("orders", order, literal("o_orderstatus")),
-        "ord__priority": ("orders", order, literal("o_orderpriority")),
-        "ord__price": ("orders", order, money("o_totalprice")),
-        "ord__date": ("orders", order, literal(F.date_format("o_orderdate", "yyyy-MM-dd"))),
-        "ord__big": ("orders", order, literal(F.lit("true")), F.col("o_totalprice") > 450000),
-        "ord__part": ("lineitem", line, node("part", "l_partkey")),
-        "ord__supplier": ("lineitem", line, node("supplier", "l_suppkey")),
-        "ord__returnedPart": ("lineitem", line, node("part", "l_partkey"), F.col("l_returnflag") == "R"),
-        "cust__nation": ("customer", customer, node("nation", "c_nationkey")),
-        "cust__segment": ("customer", customer, literal("c_mktsegment")),
-        "cust__name": ("customer", customer, literal("c_name")),
-        "supp__nation": ("supplier", supplier, node("nation", "s_nationkey")),
-        "supp__lead": ("supplier", supplier, lead),
-        "nat__region": ("nation", nation, node("region", "n_regionkey")),
-        "nat__name": ("nation", nation, literal("n_name")),
-        "reg__name": ("region", node("region", "r_regionkey"), literal("r_name")),
-        "part__brand": ("part", part, literal("p_brand")),
-        "part__type": ("part", part, literal("p_type")),
-        "part__name": ("part", part, literal("p_name")),
-        "doc__lang": ("documents", doc, literal("lang")),
-        "doc__label": ("documents", doc, label),
-        "doc__quality": ("labels", doc, literal("quality")),
-        "doc__toxic": ("labels", doc, literal("toxic")),
-        "evt__value": ("events", node("event", "event_id"), money("value")),
-    }
-    for kind in EVENT_TYPES:
-        props[f"user__{kind}"] = (
-            "events", node("user", "user_id"), node("event", "event_id"), F.col("event_type") == kind,
-        )
-    return props
+def node(kind: str, key: str) -> str:
+    return f"concat('{kind}/', {key})"
+
+
+def literal(value: str) -> str:
+    return f"""concat('"', {value}, '"')"""
+
+
+def money(column: str) -> str:
+    return literal(f"cast(cast({column} as decimal(15,2)) as string)")
+
+
+ORDER, LINE, CUSTOMER = node("order", "o_orderkey"), node("order", "l_orderkey"), node("customer", "c_custkey")
+SUPPLIER, PART, NATION = node("supplier", "s_suppkey"), node("part", "p_partkey"), node("nation", "n_nationkey")
+DOC, EVENT = node("doc", "doc_id"), node("event", "event_id")
+
+# Property: table, subject, object, and the rows it covers if not all.
+PROPERTIES: dict[str, tuple[str, ...]] = {
+    "ord__customer": ("orders", ORDER, node("customer", "o_custkey")),
+    "ord__status": ("orders", ORDER, literal("o_orderstatus")),
+    "ord__priority": ("orders", ORDER, literal("o_orderpriority")),
+    "ord__price": ("orders", ORDER, money("o_totalprice")),
+    "ord__date": ("orders", ORDER, literal("date_format(o_orderdate, 'yyyy-MM-dd')")),
+    "ord__big": ("orders", ORDER, literal("'true'"), "o_totalprice > 450000"),
+    "ord__part": ("lineitem", LINE, node("part", "l_partkey")),
+    "ord__supplier": ("lineitem", LINE, node("supplier", "l_suppkey")),
+    "ord__returnedPart": ("lineitem", LINE, node("part", "l_partkey"), "l_returnflag = 'R'"),
+    "cust__nation": ("customer", CUSTOMER, node("nation", "c_nationkey")),
+    "cust__segment": ("customer", CUSTOMER, literal("c_mktsegment")),
+    "cust__name": ("customer", CUSTOMER, literal("c_name")),
+    "supp__nation": ("supplier", SUPPLIER, node("nation", "s_nationkey")),
+    "supp__lead": ("supplier", SUPPLIER, node("supplier", "s_suppkey - s_suppkey % 10")),
+    "nat__region": ("nation", NATION, node("region", "n_regionkey")),
+    "nat__name": ("nation", NATION, literal("n_name")),
+    "reg__name": ("region", node("region", "r_regionkey"), literal("r_name")),
+    "part__brand": ("part", PART, literal("p_brand")),
+    "part__type": ("part", PART, literal("p_type")),
+    "part__name": ("part", PART, literal("p_name")),
+    "doc__lang": ("documents", DOC, literal("lang")),
+    "doc__label": ("documents", DOC, f"concat({literal('source')}, '@', lang)"),
+    "doc__quality": ("labels", DOC, literal("quality")),
+    "doc__toxic": ("labels", DOC, literal("toxic")),
+    "evt__value": ("events", EVENT, money("value")),
+} | {f"user__{kind}": ("events", node("user", "user_id"), EVENT, f"event_type = '{kind}'") for kind in EVENT_TYPES}
 
 
 class TableTriples(PropertyTables):
@@ -78,16 +71,20 @@ class TableTriples(PropertyTables):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._table = cache(partial(table, spark, sf_dir))
-        super().__init__({prop: partial(self._one, *spec) for prop, spec in _properties().items()})
+        super().__init__({prop: partial(self._one, *spec) for prop, spec in PROPERTIES.items()})
 
-    def _one(self, name: str, sub: Column, obj: Column, where: Column | None = None) -> DataFrame:
-        df = self._table(name)
-        df = df if where is None else df.where(where)
-        return df.select(sub.alias("sub"), obj.alias("obj"))
+    def _one(self, name: str, sub: str, obj: str, where: str = "true") -> DataFrame:
+        return self._table(name).where(where).selectExpr(f"{sub} as sub", f"{obj} as obj")
+
+
+_SOURCES: dict[tuple[str, str], TableTriples] = {}
 
 
 def triples(spark: SparkSession, sf_dir: str) -> TableTriples:
-    return TableTriples(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SOURCES:
+        _SOURCES[key] = TableTriples(spark, sf_dir)
+    return _SOURCES[key]
 
 
 def query_patterns(spark: SparkSession, sf_dir: str, prop: Column | None = None) -> DataFrame:
@@ -122,23 +119,8 @@ SQL_USES = """uses as (
        txn as (select q, var, item from joins where total > 1)"""
 
 
-# The same in SQL, for the oracles that count triples: table and condition of each property.
-SQL_TABLES = {
-    **{p: ("orders", "true") for p in ("ord__customer", "ord__status", "ord__priority", "ord__price", "ord__date")},
-    "ord__big": ("orders", "o_totalprice > 450000"),
-    **{p: ("lineitem", "true") for p in ("ord__part", "ord__supplier")},
-    "ord__returnedPart": ("lineitem", "l_returnflag = 'R'"),
-    **{p: ("customer", "true") for p in ("cust__nation", "cust__segment", "cust__name")},
-    **{p: ("supplier", "true") for p in ("supp__nation", "supp__lead")},
-    **{p: ("nation", "true") for p in ("nat__region", "nat__name")},
-    "reg__name": ("region", "true"),
-    **{p: ("part", "true") for p in ("part__brand", "part__type", "part__name")},
-    **{p: ("documents", "true") for p in ("doc__lang", "doc__label")},
-    **{p: ("labels", "true") for p in ("doc__quality", "doc__toxic")},
-    "evt__value": ("events", "true"),
-    **{f"user__{kind}": ("events", f"event_type = '{kind}'") for kind in EVENT_TYPES},
-}
-
+# For the oracles that count triples; the conditions are plain SQL.
 SQL_COUNTS = " union all ".join(
-    f"select '{prop}' as prop, count(*) as n from {name} where {cond}" for prop, (name, cond) in SQL_TABLES.items()
+    f"select '{prop}' as prop, count(*) as n from {spec[0]} where {spec[3] if len(spec) > 3 else 'true'}"
+    for prop, spec in PROPERTIES.items()
 )
