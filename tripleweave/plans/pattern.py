@@ -195,7 +195,7 @@ def match(source, patterns: list[tuple], reductions: Reductions | None = None) -
     reduced table the other patterns of this group imply, which changes no answer.
     """
     src = as_triples(source)
-    choices = reductions.choose(_needs(patterns)) if reductions else {}
+    choices = reductions.choose(needs(patterns)) if reductions else {}
     plain = {p for _, p, _ in patterns if isinstance(p, str) and not is_var(p)}
     known = src.rows(plain) or {}
     scans = []
@@ -246,7 +246,7 @@ def _fold(scans: list[tuple]) -> DataFrame:
     return df
 
 
-def _needs(patterns: list[tuple]) -> list[tuple]:
+def needs(patterns: list[tuple]) -> list[tuple]:
     """What each scan could be reduced by: the items of its variables within this group."""
     uses = [
         (i, side, p, name(term))
