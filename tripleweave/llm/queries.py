@@ -5,16 +5,58 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tripleweave.llm import simhash, tokencounts, tokenfiles
+from tripleweave.llm import decontamination, quality, sharding, simhash, tokencounts, tokenfiles, urlrules
 from tripleweave.llm.registry import ORACLES, QUERIES, query
 from tripleweave.llm.tables import source
 
 __all__ = ["ORACLES", "QUERIES"]
 
+# Fixed values of the queries' contracts.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+SHARDS = 40
 END_ID = 2
 TOKEN_LIMIT = 512
 
 
+@query(
+    """with p as (
+         select page_id, coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') as raw,
+                coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+       h as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from p),
+       r(host, path, rule, verdict) as (values ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'),
+         ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')),
+       f as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict
+             from h, r where (h.host = r.host or ends_with(h.host, '.' || r.host)) and starts_with(h.path, r.path) group by page_id)
+       select h.page_id, h.host, h.path, f.rule, coalesce(f.verdict, 'allow') as verdict from h left join f on h.page_id = f.page_id"""
+)
+def op3_url_rules(spark, sf):
+    return urlrules.judge(source(spark, sf, "pages"), spark.createDataFrame(URL_RULES, "rule string, verdict string"))
+
+
+@query(
+    quality.SQL
+    + """select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, failed,
+         (failed & 3) <> 0 as base_failed, failed = 0 as kept from f"""
+)
+def op4_quality_ledger(spark, sf):
+    rows = quality.ledger(source(spark, sf, "documents"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "failed",
+        (~quality.passes(quality.BASE)).alias("base_failed"),
+        quality.passes(quality.POLICIES[quality.CURRENT]).alias("kept"),
+    )
+
+
+@query()
+def op5_decontamination(spark, sf):
+    return decontamination.leaks(source(spark, sf, "documents"), source(spark, sf, "benchmark"))
+
+
+@query()
+def op6_vector_shards(spark, sf):
+    return sharding.shard(source(spark, sf, "documents"), SHARDS)
+
+
 @query()
 def op7_token_files(spark, sf):
     index = tokenfiles.write_sequences(source(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
