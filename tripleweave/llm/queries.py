@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tripleweave.llm import decontamination, quality, sharding, simhash, tokencounts, tokenfiles, urlrules
+from tripleweave.llm import decontamination, mixing, ppm, quality, repeats, sharding, simhash, tokencounts, tokenfiles, urlrules
 from tripleweave.llm.registry import ORACLES, QUERIES, query
 from tripleweave.llm.tables import source
 
@@ -13,11 +13,22 @@ __all__ = ["ORACLES", "QUERIES"]
 
 # Fixed values of the queries' contracts.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+WEIGHTS = {"clean": 0.8, "poor": 0.2, "toxic": 0.0}
 SHARDS = 40
 END_ID = 2
 TOKEN_LIMIT = 512
 
 
+@query()
+def op1_soft_mixing(spark, sf):
+    return mixing.mix(source(spark, sf, "documents"), source(spark, sf, "labels"), WEIGHTS)
+
+
+@query()
+def op2_repeated_bytes(spark, sf):
+    return repeats.remove_repeats(source(spark, sf, "documents"))
+
+
 @query(
     """with p as (
          select page_id, coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') as raw,
@@ -69,6 +80,11 @@ def op8_token_counts(spark, sf):
     return tokencounts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
 
 
+@query()
+def op9_ppm_scores(spark, sf):
+    return ppm.score(source(spark, sf, "documents"))
+
+
 @query()
 def op10_simhash(spark, sf):
     return simhash.near_duplicates(source(spark, sf, "documents"))
