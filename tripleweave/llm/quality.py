@@ -152,13 +152,15 @@ def ablations(rows: DataFrame, names: tuple[str, ...] | list[str]) -> DataFrame:
 def kept(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows of ``docs`` that pass a policy, columns as they are."""
     rows = measured(docs)
-    failing = None
-    conditions = rules()
-    for name in POLICIES[policy]:
-        failing = conditions[name] if failing is None else failing | conditions[name]
-    names = [F.col("_m")[m].alias(m) for m in MEASURES]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return rows.select(row, *names).where(~failing).select("_row.*")
+    judged = rows.select(row, *[F.col("_m")[m].alias(m) for m in MEASURES])
+    conditions = rules()
+    failing = conditions[POLICIES[policy][0]]
+    for name in POLICIES[policy][1:]:
+        failing = failing | conditions[name]
+    # A filter would be pushed below the measures and compute them once per condition;
+    # an empty list gives no row and stays where it is.
+    return judged.select("_row", F.explode(F.when(~failing, F.array(F.lit(0))))).select("_row.*")
 
 
 SQL = r"""
