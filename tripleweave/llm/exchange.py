@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tripleweave.llm.tables import portions, shuffle_tasks, texts, written
 
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 DOCUMENTS = "documents"
 
 ROW = "kind string, bucket int, block long, a binary, b binary"
@@ -106,11 +106,11 @@ def by_value(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
 
 
-def ask(docs: DataFrame, questions: Callable[[Documents, int], list[tuple]], name: str) -> DataFrame:
-    """Cut ``docs`` into blocks; a written table of the blocks' documents and their questions."""
+def ask(docs: DataFrame, questions: Callable[[Documents, int], list[tuple]], name: str, size: int = BLOCK) -> DataFrame:
+    """Cut ``docs`` into blocks of ``size`` bytes; a written table of the blocks' documents and their questions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, BLOCK):
+        for batch in portions(batches, size):
             ids = batch.column("doc_id").to_pylist()
             part = Documents(ids, [t.as_buffer().to_pybytes() for t in batch.column("text")])
             # The number need only be unlike those of other blocks, and is written with it.

@@ -4,9 +4,9 @@ A suffix counts up to LENGTH bytes: two suffixes tie if their first LENGTH bytes
 byte is removed if a tied suffix covers it. Sorting every suffix of a corpus is out of reach, so
 
 * a cover sample is ranked first. The sample is content-defined: of each LENGTH-byte string the
-  16 bytes with the least hash. Like a difference cover it holds, for any two equal strings of
+  64 bytes with the least hash. Like a difference cover it holds, for any two equal strings of
   LENGTH bytes, a position at the same place in both; unlike residues of the position it needs
-  one position in about 93 instead of one in 13;
+  one position in about 69 instead of one in 13;
 * suffixes whose sample has a rank of its own have no tie and are never sorted. A run of suffixes
   with the same sample whose whole text has an equal elsewhere is a long tie, settled by the rank
   of that text as a whole;
@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 
 from tripleweave.llm.decontamination import _mix, _powers
 from tripleweave.llm.exchange import DOCUMENTS, ROW, Documents, answer, ask, by_value, count_seen, gathered, per_block, rows, spread
-from tripleweave.llm.tables import shuffle_tasks, written
+from tripleweave.llm.tables import shuffle_tasks
 
 LENGTH = 200
-SAMPLE = 16
+SAMPLE = 64
 
 _BASE = 0xD1342543DE82EF95
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -154,8 +154,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         block = answers[0][2] if answers else 0
         return pa.Table.from_batches([rows(spread("suffix", block, every, n, by_value(every, buckets), buckets))])
 
-    suffixes = written(per_block([blocks, ranked], ROW, sort), "suffixes")
-    sorted_ = answer(suffixes, ["suffix"], count_seen, "ties")
+    sorted_ = answer(per_block([blocks, ranked], ROW, sort), ["suffix"], count_seen, "ties")
 
     def cut(part: Documents, answers: list[tuple]) -> pa.Table:
         cover = Cover(part)
@@ -164,10 +163,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         every, _, where, _ = distinct(cover.prints.of(at, at + LENGTH))
         tied = gathered("suffix", answers, by_value(every, buckets), np.uint8)[where] > 0
         starts = np.concatenate([at[tied], _suffixes(cover, repeated)])
-        edge = np.zeros(len(cover.data) + 1, np.int64)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + LENGTH, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        edge = np.zeros(len(cover.data), np.int32)
+        edge[starts] = 1
+        before = np.cumsum(edge, dtype=np.int32)
+        gone = before > 0  # a byte goes if a tied suffix starts at it or less than LENGTH before
+        gone[LENGTH:] = before[LENGTH:] > before[:-LENGTH]
         removed, spans, sums = [], [], []
         for content, begin, end in zip(part.contents, cover.begins.tolist(), cover.ends.tolist(), strict=True):
             mine = gone[begin:end]
