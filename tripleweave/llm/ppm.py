@@ -17,6 +17,7 @@ from tripleweave.llm.repeats import Prints
 from tripleweave.llm.tables import shuffle_tasks
 
 ORDER = 4  # bytes of context
+BLOCK = 2 << 20  # a block's steps take some 100 bytes of memory for each byte of text
 END = 256  # the symbol after a document's last byte
 SYMBOLS = 257
 _SPACE = np.zeros(256, bool)
@@ -165,7 +166,7 @@ def score(docs: DataFrame) -> DataFrame:
             first,
         ]
 
-    asked = ask(docs, questions, "symbols")
+    asked = ask(docs, questions, "symbols", BLOCK)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << 17, np.int64)
