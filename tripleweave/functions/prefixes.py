@@ -39,15 +39,7 @@ LUBM = {
     "ub": "http://www.lehigh.edu/~zhp2/2004/0401/univ-bench.owl#",
 }
 
-# The language editions, ``dbpedia-<code>`` for ``http://<code>.dbpedia.org/resource/``.
-DBPEDIA_LANGUAGES = """
-    af als an ar az bar be be-x-old bg br ca commons cs cy da de dsb el eo es et eu fa fi fr
-    frr fy ga gd gl he hr hsb hu id ie io is it ja ka kk ko ku la lb lmo lt lv mk mr ms nah
-    nds nl nn no nov oc os pam pl pms pnb pt ro ru sh simple sk sl sq sr sv sw th tr ug uk vi
-    vo war wikidata yo zh zh-min-nan
-""".split()
-
-# The other namespaces of the same table.
+# One table, in its own order.
 DBPEDIA = {
     "a": "http://www.w3.org/2005/Atom",
     "address": "http://schemas.talis.com/2005/address/schema#",
@@ -71,7 +63,93 @@ DBPEDIA = {
     "dbc": "http://dbpedia.org/resource/Category:",
     "dbo": "http://dbpedia.org/ontology/",
     "dbp": "http://dbpedia.org/prop/",
+    "dbpedia-af": "http://af.dbpedia.org/resource/",
+    "dbpedia-als": "http://als.dbpedia.org/resource/",
+    "dbpedia-an": "http://an.dbpedia.org/resource/",
+    "dbpedia-ar": "http://ar.dbpedia.org/resource/",
+    "dbpedia-az": "http://az.dbpedia.org/resource/",
+    "dbpedia-bar": "http://bar.dbpedia.org/resource/",
+    "dbpedia-be": "http://be.dbpedia.org/resource/",
+    "dbpedia-be-x-old": "http://be-x-old.dbpedia.org/resource/",
+    "dbpedia-bg": "http://bg.dbpedia.org/resource/",
+    "dbpedia-br": "http://br.dbpedia.org/resource/",
+    "dbpedia-ca": "http://ca.dbpedia.org/resource/",
+    "dbpedia-commons": "http://commons.dbpedia.org/resource/",
+    "dbpedia-cs": "http://cs.dbpedia.org/resource/",
+    "dbpedia-cy": "http://cy.dbpedia.org/resource/",
+    "dbpedia-da": "http://da.dbpedia.org/resource/",
+    "dbpedia-de": "http://de.dbpedia.org/resource/",
+    "dbpedia-dsb": "http://dsb.dbpedia.org/resource/",
+    "dbpedia-el": "http://el.dbpedia.org/resource/",
+    "dbpedia-eo": "http://eo.dbpedia.org/resource/",
+    "dbpedia-es": "http://es.dbpedia.org/resource/",
+    "dbpedia-et": "http://et.dbpedia.org/resource/",
+    "dbpedia-eu": "http://eu.dbpedia.org/resource/",
+    "dbpedia-fa": "http://fa.dbpedia.org/resource/",
+    "dbpedia-fi": "http://fi.dbpedia.org/resource/",
+    "dbpedia-fr": "http://fr.dbpedia.org/resource/",
+    "dbpedia-frr": "http://frr.dbpedia.org/resource/",
+    "dbpedia-fy": "http://fy.dbpedia.org/resource/",
+    "dbpedia-ga": "http://ga.dbpedia.org/resource/",
+    "dbpedia-gd": "http://gd.dbpedia.org/resource/",
+    "dbpedia-gl": "http://gl.dbpedia.org/resource/",
+    "dbpedia-he": "http://he.dbpedia.org/resource/",
+    "dbpedia-hr": "http://hr.dbpedia.org/resource/",
+    "dbpedia-hsb": "http://hsb.dbpedia.org/resource/",
+    "dbpedia-hu": "http://hu.dbpedia.org/resource/",
+    "dbpedia-id": "http://id.dbpedia.org/resource/",
+    "dbpedia-ie": "http://ie.dbpedia.org/resource/",
+    "dbpedia-io": "http://io.dbpedia.org/resource/",
+    "dbpedia-is": "http://is.dbpedia.org/resource/",
+    "dbpedia-it": "http://it.dbpedia.org/resource/",
+    "dbpedia-ja": "http://ja.dbpedia.org/resource/",
+    "dbpedia-ka": "http://ka.dbpedia.org/resource/",
+    "dbpedia-kk": "http://kk.dbpedia.org/resource/",
+    "dbpedia-ko": "http://ko.dbpedia.org/resource/",
+    "dbpedia-ku": "http://ku.dbpedia.org/resource/",
+    "dbpedia-la": "http://la.dbpedia.org/resource/",
+    "dbpedia-lb": "http://lb.dbpedia.org/resource/",
+    "dbpedia-lmo": "http://lmo.dbpedia.org/resource/",
+    "dbpedia-lt": "http://lt.dbpedia.org/resource/as",
+    "dbpedia-lv": "http://lv.dbpedia.org/resource/a",
+    "dbpedia-mk": "http://mk.dbpedia.org/resource/",
+    "dbpedia-mr": "http://mr.dbpedia.org/resource/",
+    "dbpedia-ms": "http://ms.dbpedia.org/resource/",
+    "dbpedia-nah": "http://nah.dbpedia.org/resource/",
+    "dbpedia-nds": "http://nds.dbpedia.org/resource/",
+    "dbpedia-nl": "http://nl.dbpedia.org/resource/",
+    "dbpedia-nn": "http://nn.dbpedia.org/resource/",
+    "dbpedia-no": "http://no.dbpedia.org/resource/",
+    "dbpedia-nov": "http://nov.dbpedia.org/resource/",
+    "dbpedia-oc": "http://oc.dbpedia.org/resource/",
+    "dbpedia-os": "http://os.dbpedia.org/resource/",
+    "dbpedia-pam": "http://pam.dbpedia.org/resource/",
+    "dbpedia-pl": "http://pl.dbpedia.org/resource/",
+    "dbpedia-pms": "http://pms.dbpedia.org/resource/",
+    "dbpedia-pnb": "http://pnb.dbpedia.org/resource/",
+    "dbpedia-pt": "http://pt.dbpedia.org/resource/",
+    "dbpedia-ro": "http://ro.dbpedia.org/resource/",
+    "dbpedia-ru": "http://ru.dbpedia.org/resource/",
+    "dbpedia-sh": "http://sh.dbpedia.org/resource/",
+    "dbpedia-simple": "http://simple.dbpedia.org/resource/",
+    "dbpedia-sk": "http://sk.dbpedia.org/resource/",
+    "dbpedia-sl": "http://sl.dbpedia.org/resource/",
+    "dbpedia-sq": "http://sq.dbpedia.org/resource/",
+    "dbpedia-sr": "http://sr.dbpedia.org/resource/",
+    "dbpedia-sv": "http://sv.dbpedia.org/resource/",
+    "dbpedia-sw": "http://sw.dbpedia.org/resource/",
+    "dbpedia-th": "http://th.dbpedia.org/resource/",
+    "dbpedia-tr": "http://tr.dbpedia.org/resource/",
+    "dbpedia-ug": "http://ug.dbpedia.org/resource/",
+    "dbpedia-uk": "http://uk.dbpedia.org/resource/",
+    "dbpedia-vi": "http://vi.dbpedia.org/resource/",
+    "dbpedia-vo": "http://vo.dbpedia.org/resource/",
+    "dbpedia-war": "http://war.dbpedia.org/resource/",
     "dbpedia-wikicompany": "http://dbpedia.openlinksw.com/wikicompany/",
+    "dbpedia-wikidata": "http://wikidata.dbpedia.org/resource/",
+    "dbpedia-yo": "http://yo.dbpedia.org/resource/",
+    "dbpedia-zh": "http://zh.dbpedia.org/resource/",
+    "dbpedia-zh-min-nan": "http://zh-min-nan.dbpedia.org/resource/",
     "dbr": "http://dbpedia.org/resource/",
     "dbt": "http://dbpedia.org/resource/Template:",
     "dc": "http://purl.org/dc/elements/1.1/",
@@ -202,7 +280,7 @@ DBPEDIA = {
     "yt": "http://gdata.youtube.com/schemas/2007",
     "zem": "http://s.zemanta.com/ns#",
     "schema": "http://schema.org/",
-} | {f"dbpedia-{code}": f"http://{code}.dbpedia.org/resource/" for code in DBPEDIA_LANGUAGES}
+}
 
 # No compaction at all.
 GENERIC: dict[str, str] = {}
