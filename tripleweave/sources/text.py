@@ -98,8 +98,7 @@ def convert_prefixes(lines: DataFrame, prefixes: Mapping[str, str]) -> DataFrame
 
 def clean_dbpedia(lines: DataFrame, prefixes: Mapping[str, str] = tables.DBPEDIA) -> DataFrame:
     """``sub prop obj`` lines without comments, brackets and dots."""
-    clean = render(parse_triples(lines, None, prefixes), end="")
-    return clean.where(~F.col("value").startswith("http___"))
+    return render(parse_triples(lines, None, prefixes), end="")
 
 
 def clean_yago(lines: DataFrame, prefixes: Mapping[str, str] = tables.YAGO) -> DataFrame:
@@ -154,7 +153,7 @@ def log_queries(lines: DataFrame) -> DataFrame:
     ).where(F.col("request").isNotNull())
     entry = F.concat_ws("\t", "client", "request")
     queries = entries.dropDuplicates(["client", "request"]).select("client", extract_query(entry).alias("query"))
-    return queries.where(F.col("query").isNotNull() & ~F.col("query").contains("http___"))
+    return queries.where(F.col("query").isNotNull())
 
 
 def read_query_log(spark: SparkSession, path: str) -> DataFrame:
