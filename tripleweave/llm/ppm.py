@@ -17,7 +17,9 @@ from tripleweave.llm.repeats import Prints
 from tripleweave.llm.tables import shuffle_tasks
 
 ORDER = 4  # bytes of context
-BLOCK = 2 << 20  # a block's steps take some 100 bytes of memory for each byte of text
+BLOCK = 4 << 20
+PART = 1 << 20  # bytes of a block that are read at a time: their steps take some 50 bytes of memory each
+PIECE = 1 << 18  # steps that are scored at a time
 END = 256  # the symbol after a document's last byte
 SYMBOLS = 257
 _SPACE = np.zeros(256, bool)
@@ -37,9 +39,10 @@ def remainder(doc_id: int | None) -> int:
 
 
 class Symbols:
-    """Words and trie steps of a block, all at once."""
+    """Words and trie steps of some documents, all at once."""
 
     def __init__(self, part: Documents):
+        self.ids = part.ids
         data, begins, ends = part.joined(ORDER + 1)
         data = _LOWER[data]
         self.n = len(begins)
@@ -55,16 +58,41 @@ class Symbols:
         self.words = Prints(data).of(starts, stops)
         self.word_of = np.searchsorted(begins, starts, side="right") - 1
         # Steps: each byte of a text and its end, after the four bytes before it.
-        wide = data.astype(np.uint64)
-        where = np.flatnonzero(text)
-        spots = np.concatenate([where, ends])
-        symbol = wide[spots]
-        symbol[len(where) :] = END
-        codes = symbol
+        spots = np.concatenate([np.flatnonzero(text).astype(np.int32), ends.astype(np.int32)])
+        self.steps = data[spots].astype(np.uint64)
+        self.steps[len(spots) - self.n :] = END
         for k in range(1, ORDER + 1):
-            codes = codes | (wide[spots - k] << np.uint64(9 + 8 * (k - 1)))
-        self.steps = codes
-        self.step_of = np.concatenate([np.searchsorted(begins, where, side="right") - 1, np.arange(self.n)])
+            context = data[spots - k].astype(np.uint64)
+            context <<= np.uint64(9 + 8 * (k - 1))
+            self.steps |= context
+        sizes = ends - begins
+        self.step_of = np.concatenate([np.repeat(np.arange(self.n, dtype=np.int32), sizes), np.arange(self.n, dtype=np.int32)])
+
+
+def parts(block: Documents) -> Iterator[Symbols]:
+    """A block's symbols, PART bytes of documents at a time."""
+    ends = np.cumsum([len(c) for c in block.contents])
+    begin = 0
+    while begin < len(ends):
+        base = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, base + PART, side="right")))
+        yield Symbols(Documents(block.ids[begin:end], block.contents[begin:end]))
+        begin = end
+
+
+class Reading:
+    """A part's symbols as numbers into its distinct words and steps, for when their values are known."""
+
+    def __init__(self, symbols: Symbols):
+        self.n, self.ids, self.train = symbols.n, symbols.ids, symbols.train
+        self.words, where = np.unique(symbols.words, return_inverse=True)
+        self.word, self.word_of = where.astype(np.int32), symbols.word_of.astype(np.int32)
+        self.steps, where = np.unique(symbols.steps, return_inverse=True)
+        self.step, self.step_of = where.astype(np.int32), symbols.step_of
+
+
+def _distinct(keys: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
 def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +104,33 @@ def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return every, out
 
 
+def _least(n: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as hold the largest."""
+    return n.astype(np.min_scalar_type(int(n.max()))) if len(n) else n.astype(np.uint8)
+
+
+def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of all parts in order and the sums of their counts.
+
+    Parts are added up whenever they outgrow what is known already, so memory goes by the distinct keys.
+    """
+    known, total = np.zeros(0, np.uint64), np.zeros(0)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merge() -> tuple[np.ndarray, np.ndarray]:
+        keys, where = np.unique(np.concatenate([known, *[k for k, _ in waiting]]), return_inverse=True)
+        return keys, np.bincount(where, np.concatenate([total, *[n for _, n in waiting]]), len(keys))
+
+    held = 0
+    for keys, n in parts:
+        waiting.append((keys, n))
+        held += len(keys)
+        if held > max(PIECE, len(known)):
+            known, total = merge()
+            waiting, held = [], 0
+    return merge() if waiting else (known, total)
+
+
 def _context_bucket(steps: np.ndarray, buckets: int) -> np.ndarray:
     """All steps whose two nearest context bytes agree meet, so the contexts of order 2 to 4 do too."""
     near = (steps >> np.uint64(9)) & np.uint64(0xFFFF)
@@ -115,6 +170,12 @@ def log_probabilities(levels: list[Level], steps: np.ndarray) -> np.ndarray:
     of symbols (method C). Symbols that the longer context knows are excluded: every one of them
     is known to the shorter context as well. Below order 0 all symbols left are alike.
     """
+    held = [levels[k - 1].held_by(levels[k], _LOW[k - 1]) if k else None for k in range(ORDER + 1)]
+    pieces = [_scored(levels, held, steps[i : i + PIECE]) for i in range(0, len(steps), PIECE)]
+    return np.concatenate(pieces) if pieces else np.zeros(0)
+
+
+def _scored(levels: list[Level], held: list[np.ndarray | None], steps: np.ndarray) -> np.ndarray:
     out = np.zeros(len(steps))
     open_ = np.ones(len(steps), bool)
     less_total, less_kinds = np.zeros(len(steps)), np.zeros(len(steps))
@@ -133,8 +194,7 @@ def log_probabilities(levels: list[Level], steps: np.ndarray) -> np.ndarray:
         out[miss] += np.log10(left_kinds[miss] / (left + left_kinds)[miss])
         open_ &= ~hit
         if k:
-            excluded = _found(level.contexts, contexts, levels[k - 1].held_by(level, _LOW[k - 1]))
-            less_total, less_kinds = excluded, kinds
+            less_total, less_kinds = _found(level.contexts, contexts, held[k]), kinds
     rest = SYMBOLS - (len(levels[0].steps))
     if rest > 0:
         out[open_] -= math.log10(rest)
@@ -155,14 +215,14 @@ def score(docs: DataFrame) -> DataFrame:
     buckets = shuffle_tasks(spark)
 
     def questions(part: Documents, block: int) -> list[tuple]:
-        symbols = Symbols(part)
-        words, n = _counted(symbols.words, symbols.train[symbols.word_of])
-        steps, m = _counted(symbols.steps, symbols.train[symbols.step_of])
+        counted = [(_counted(s.words, s.train[s.word_of]), _counted(s.steps, s.train[s.step_of])) for s in parts(part)]
+        words, n = _merged(c for c, _ in counted)
+        steps, m = _merged(c for _, c in counted)
         near, where = np.unique(steps & _LOW[1], return_inverse=True)
         first = ("near", 0, block, pack(near), pack(np.bincount(where, m, len(near)).astype(np.int64)))
         return [
-            *spread("word", block, words, n, by_value(words, buckets), buckets),
-            *spread("step", block, steps, m, _context_bucket(steps, buckets), buckets),
+            *spread("word", block, words, _least(n), by_value(words, buckets), buckets),
+            *spread("step", block, steps, _least(m), _context_bucket(steps, buckets), buckets),
             first,
         ]
 
@@ -182,9 +242,7 @@ def score(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(low)
 
     def reply(kind: str, found: list[tuple]) -> list[tuple]:
-        keys, counts = [unpack(r[3]) for r in found], [unpack(r[4]) for r in found]
-        every, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(where, np.concatenate(counts), len(every))
+        every, total = _merged((unpack(r[3]), unpack(r[4])) for r in found)
         if kind == "word":
             values, more = total.astype(np.int64), pack(np.array([total.sum(), np.count_nonzero(total)], np.int64))
         else:
@@ -192,11 +250,10 @@ def score(docs: DataFrame) -> DataFrame:
             levels = [Level(shared.value[0] & _LOW[0], shared.value[1]), Level(*shared.value)]
             levels += [Level(steps & _LOW[k], n) for k in range(2, ORDER + 1)]
             values, more = log_probabilities(levels, every), None
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
         # The bucket's totals go with the answer to its first asker.
         return [
-            (kind, r[1], r[2], pack(part), more if i == 0 else None)
-            for i, (r, part) in enumerate(zip(found, np.split(values[where], cuts), strict=True))
+            (kind, r[1], r[2], pack(values[np.searchsorted(every, unpack(r[3]))]), more if i == 0 else None)
+            for i, r in enumerate(found)
         ]
 
     answered = answer(asked, ["word", "step"], reply, "answers")
@@ -213,20 +270,23 @@ def score(docs: DataFrame) -> DataFrame:
     n, v = int(n_words) + ends, int(kinds) + (ends > 0)
 
     def results(part: Documents, answers: list[tuple]) -> pa.Table:
-        symbols = Symbols(part)
-        words, where = np.unique(symbols.words, return_inverse=True)
-        counts = gathered("word", answers, by_value(words, buckets), np.int64)[where]
-        steps, at = np.unique(symbols.steps, return_inverse=True)
-        values = gathered("step", answers, _context_bucket(steps, buckets), float)[at]
-        size = symbols.n
+        read = [Reading(s) for s in parts(part)]
+        words, steps = _distinct([r.words for r in read]), _distinct([r.steps for r in read])
+        counts = gathered("word", answers, by_value(words, buckets), np.int64)
+        values = gathered("step", answers, _context_bucket(steps, buckets), float)
         bottom = math.log10(n + 0.5 * (v + 1))
-        base = np.bincount(symbols.word_of, np.log10(counts + 0.5) - bottom, size) + (math.log10(ends + 0.5) - bottom)
-        return pa.table({
-            "doc_id": pa.array(part.ids, pa.int64()), "held_out": pa.array(~symbols.train),
-            "n_tokens": pa.array(np.bincount(symbols.word_of, minlength=size) + 1, pa.int64()),
-            "n_known": pa.array(np.bincount(symbols.word_of, counts > 0, size).astype(np.int64) + (ends > 0), pa.int64()),
-            "train_tokens": pa.array(np.full(size, n), pa.int64()),
-            "base_score": pa.array(base), "score": pa.array(np.bincount(symbols.step_of, values, size)),
-        })
+        out = []
+        for r in read:
+            known = counts[np.searchsorted(words, r.words)][r.word]
+            value = values[np.searchsorted(steps, r.steps)][r.step]
+            base = np.bincount(r.word_of, np.log10(known + 0.5) - bottom, r.n) + (math.log10(ends + 0.5) - bottom)
+            out.append(pa.table({
+                "doc_id": pa.array(r.ids, pa.int64()), "held_out": pa.array(~r.train),
+                "n_tokens": pa.array(np.bincount(r.word_of, minlength=r.n) + 1, pa.int64()),
+                "n_known": pa.array(np.bincount(r.word_of, known > 0, r.n).astype(np.int64) + (ends > 0), pa.int64()),
+                "train_tokens": pa.array(np.full(r.n, n), pa.int64()),
+                "base_score": pa.array(base), "score": pa.array(np.bincount(r.step_of, value, r.n)),
+            }))
+        return pa.concat_tables(out).combine_chunks()
 
     return per_block([blocks, answered], SCHEMA, results)
