@@ -56,6 +56,9 @@ def test_lexical_lang_numeric(spark):
     ]
     assert values(df.select(terms.lang(t).alias("x"))) == ["", "en-GB", "", "", "", "", None, ""]
     assert values(df.select(terms.numeric(t).alias("x"))) == [None, None, 12.5, None, None, None, None, None]
+    spelt = ["7", "-.5", "+1.e2", '"3E-1"', "5d", "0x1p3", "Infinity", "NaN", "1 2", ".", None]
+    got = values(column(spark, spelt).select(terms.numeric(t).alias("x")))
+    assert got == [7.0, -0.5, 100.0, 0.3, None, None, None, None, None, None, None]
 
 
 def test_filters(spark):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 LITERAL = r'(?s)^"(.*)"(?:@[A-Za-z0-9-]+|\^\^.+)?$'
 LANG_TAG = r'"@([A-Za-z0-9-]+)$'
+NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
 
 
 def _alternatives(words: list[str]) -> str:
@@ -106,5 +107,8 @@ def lang(term: Column) -> Column:
 
 
 def numeric(term: Column) -> Column:
-    """The number a term spells, else null (ANSI mode would throw on a plain cast)."""
-    return lexical(term).try_cast("double")
+    """The number a term spells in decimals, with an exponent or not, else null.
+
+    The pattern keeps out what a cast alone would take: ``5d``, ``0x1p3``, ``Infinity``.
+    """
+    return let(lexical(term), lambda t: F.when(t.rlike(NUMBER), t.try_cast("double")))

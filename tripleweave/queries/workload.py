@@ -18,8 +18,8 @@ def _transactions(spark, sf):
 
 
 def _itemsets(spark, sf):
-    """Frequent pairs and triples."""
-    return w.frequent(_transactions(spark, sf), SUPPORT).where(F.col("size") <= 3)
+    """Frequent itemsets of every size."""
+    return w.frequent(_transactions(spark, sf), SUPPORT)
 
 
 def _log_size(spark, sf):
@@ -28,20 +28,17 @@ def _log_size(spark, sf):
     return patterns.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("prop").alias("p")).first()
 
 
-# Frequent pairs and triples of the same transactions, by self-joins.
+# Frequent itemsets of the same transactions: every set of two or more items of each, counted.
 SQL_FREQUENT = f"""{SQL_USES},
        least as (select ceil({SUPPORT} * count(*)) as n from (select distinct q, var from txn)),
-       pairs as (
-         select a.item as i1, b.item as i2, count(*) as freq
-         from txn a join txn b on a.q = b.q and a.var = b.var and a.item < b.item
-         group by 1, 2 having count(*) >= (select n from least)),
-       trios as (
-         select a.item as i1, b.item as i2, c.item as i3, count(*) as freq
-         from txn a join txn b on a.q = b.q and a.var = b.var and a.item < b.item
-         join txn c on a.q = c.q and a.var = c.var and b.item < c.item
-         group by 1, 2, 3 having count(*) >= (select n from least)),
+       grown(q, var, items, last) as (
+         select distinct q, var, [item], item from txn
+         union all
+         select g.q, g.var, list_append(g.items, t.item), t.item
+         from grown g join (select distinct q, var, item from txn) t on g.q = t.q and g.var = t.var and t.item > g.last),
        sets as (
-         select [i1, i2] as items, freq from pairs union all select [i1, i2, i3], freq from trios)"""
+         select items, count(*) as freq from grown where len(items) > 1
+         group by items having count(*) >= (select n from least))"""
 
 SQL_COST = f"""{SQL_FREQUENT},
        priced as (
@@ -87,19 +84,19 @@ def transactions(spark, sf):
     return _transactions(spark, sf).select("query_id", "var", F.array_join("items", " ").alias("items"))
 
 
-@query(f"with {SQL_FREQUENT} select i1 || ' ' || i2 as items, freq from pairs")
+@query(f"with recursive {SQL_FREQUENT} select array_to_string(items, ' ') as items, freq from sets where len(items) = 2")
 def freq_pairs(spark, sf):
     pairs = _itemsets(spark, sf).where(F.col("size") == 2)
     return pairs.select(F.array_join("items", " ").alias("items"), "freq")
 
 
-@query(f"with {SQL_FREQUENT} select i1 || ' ' || i2 || ' ' || i3 as items, freq from trios")
+@query(f"with recursive {SQL_FREQUENT} select array_to_string(items, ' ') as items, freq from sets where len(items) = 3")
 def freq_triples(spark, sf):
     trios = _itemsets(spark, sf).where(F.col("size") == 3)
     return trios.select(F.array_join("items", " ").alias("items"), "freq")
 
 
-@query(f"with {SQL_COST} select item, array_to_string(items, ' ') as items, freq, round(cost, 6) as cost from best")
+@query(f"with recursive {SQL_COST} select item, array_to_string(items, ' ') as items, freq, round(cost, 6) as cost from best")
 def cost_best_pattern(spark, sf):
     log = _log_size(spark, sf)
     best = w.best_by_cost(_itemsets(spark, sf), log.q, log.p, ALPHA)
@@ -117,7 +114,7 @@ SQL_PROPOSALS = f"""{SQL_COST},
 
 
 @query(
-    f"""with {SQL_PROPOSALS}
+    f"""with recursive {SQL_PROPOSALS}
         select prop, string_agg(member, ' ' order by member) as members from proposals group by prop"""
 )
 def propose_fp(spark, sf):
@@ -127,7 +124,7 @@ def propose_fp(spark, sf):
 
 
 @query(
-    f"""with {SQL_PROPOSALS},
+    f"""with recursive {SQL_PROPOSALS},
         own as (
           select distinct regexp_replace(i, '_TRP[SO]$', '') as prop, items
           from (select items, unnest(items) as i from sets)),
