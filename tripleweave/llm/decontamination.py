@@ -21,6 +21,7 @@ SIMILARITY = 0.8
 RADIUS = 19
 BLOCKS = 4
 ITEMS = 20_000  # items that are broadcast at a time
+PORTION = 1 << 20  # bytes of text that are looked at together; they take some 50 bytes of memory each
 
 _PLAIN = bytes(
     b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)
@@ -205,7 +206,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in portions(batches):
+            for batch in portions(batches, PORTION):
                 found = []
                 ids = batch.column("doc_id").to_pylist()
                 for doc, matches in zip(ids, held.value.scan(batch.column("text").to_pylist()), strict=True):
@@ -232,7 +233,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 named = pa.RecordBatch.from_arrays(batch.columns + [batch.column(at)], [*batch.schema.names, "text"])
-                for part in portions(iter([named])):
+                for part in portions(iter([named]), PORTION):
                     free = [not found for found in held.value.scan(part.column("text").to_pylist())]
                     yield part.select(batch.schema.names).filter(pa.array(free))
 
