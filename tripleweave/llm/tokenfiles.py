@@ -142,7 +142,8 @@ def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, folder: str |
                 firsts.append(writer.total)
                 writer.add(ids + end)
                 counts.append(writer.total - firsts[-1])
-            index.append((batch.column("doc_id"), firsts, counts))
+            # A copy: a column of the batch would keep its texts in memory.
+            index.append((pa.array(batch.column("doc_id").to_pylist(), pa.int64()), firsts, counts))
         if writer is None:
             return
         writer.close()
