@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,9 @@ from tripleweave.sources.scratch import new_path
 
 LENGTH = 1024  # ids in a sequence
 SEQUENCES = 256  # sequences in a record batch
-CACHED = 600_000  # words whose ids a Python worker keeps
+CACHED = 600_000  # words whose ids a Python worker keeps, and those of one portion more
+JOINED = 2_000  # new words in one call of the tokenizer
+MARK = "\x01"  # between them; words may hold it too
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -28,7 +30,8 @@ class WordEncoder:
     """Ids of words, for tokenizers whose pre-tokenizer drops white space and never joins across it.
 
     Such a tokenizer gives a text the ids of its words one after the other, so each word is
-    encoded by the library once and kept; when the store is full it starts anew.
+    encoded by the library once and kept under a number; a full store keeps its more used half.
+    New words go to the library many at a time, as one text with a mark between them.
     """
 
     def __init__(self, path: str):
@@ -37,21 +40,71 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
+        mark = self._ids(MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.numbers = _Numbers()
+        self.ids = np.zeros(0, self.dtype)  # of all known words, one word after the other
+        self.words = np.zeros((3, 0), np.int64)  # of each word: where its ids begin, how many, uses
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _joined(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row and how many each has, from one call; word by word if a word holds the mark."""
+        text = [w.decode() for w in words]
+        if self.mark is not None:
+            ids = np.array(self._ids(f" {MARK} ".join(text)), self.dtype)
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) == len(words) - 1:
+                return ids[ids != self.mark], np.diff(marks, prepend=-1, append=len(ids)) - 1
+        each = [np.array(self._ids(t), self.dtype) for t in text]
+        return np.concatenate(each), np.array([len(e) for e in each])
+
+    def _learn(self) -> None:
+        new, self.numbers.new = self.numbers.new, []
+        found = [self._joined(new[begin : begin + JOINED]) for begin in range(0, len(new), JOINED)]
+        if found:
+            counts = np.concatenate([c for _, c in found])
+            begins = len(self.ids) + np.cumsum(counts) - counts
+            self.ids = np.concatenate([self.ids, *(i for i, _ in found)])
+            self.words = np.concatenate([self.words, np.stack([begins, counts, np.zeros_like(counts)])], axis=1)
+
+    def _forget(self) -> None:
+        """Keep the more used half of the store, numbered anew; uses count half from then on."""
+        stay = np.sort(np.argsort(-self.words[2], kind="stable")[: CACHED // 2])
+        names = list(self.numbers)  # in the order of their numbers
+        self.numbers = _Numbers((names[n], i) for i, n in enumerate(stay.tolist()))
+        begins, counts, uses = self.words[:, stay]
+        stops = np.cumsum(counts)
+        self.ids = self.ids[np.arange(counts.sum()) + np.repeat(begins - stops + counts, counts)]
+        self.words = np.stack([stops - counts, counts, uses // 2])
 
     def encode(self, documents: list[bytes]) -> list[bytes]:
-        split = [d.split() for d in documents]
-        known = self.known
-        new = [w for w in set().union(*split) if w not in known]
-        if len(known) + len(new) > CACHED and known:
-            known.clear()
-            new = list(set().union(*split))
-        for begin in range(0, len(new), 20_000):
-            part = new[begin : begin + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for word, ids in zip(part, found, strict=True):
-                known[word] = np.array(ids.ids, self.dtype).tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(self.numbers) > CACHED:
+            self._forget()
+        number = self.numbers.__getitem__
+        words = [np.fromiter(map(number, d.split()), np.int64) for d in documents]
+        self._learn()
+        every = np.concatenate([np.zeros(0, np.int64), *words])
+        self.words[2] += np.bincount(every, minlength=self.words.shape[1])
+        begins, counts = self.words[0][every], self.words[1][every]
+        stops = np.cumsum(counts)
+        ids = self.ids[np.arange(counts.sum()) + np.repeat(begins - stops + counts, counts)]
+        cuts = np.concatenate([[0], stops])[np.cumsum([0, *map(len, words)])].tolist()
+        return [ids[b:e].tobytes() for b, e in zip(cuts, cuts[1:])]
+
+
+class _Numbers(dict):
+    """Numbers for words, given out as words are first looked up; ``new`` lists those."""
+
+    def __init__(self, known: Iterable[tuple[bytes, int]] = ()):
+        super().__init__(known)
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
 
 
 def encoder(path: str) -> WordEncoder:
