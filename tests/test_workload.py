@@ -147,6 +147,25 @@ def test_patterns_from_query_text(spark):
     ]
 
 
+def test_lists_in_queries(spark):
+    text = """PREFIX e: <http://e/> SELECT * WHERE { ?a e:p ?b ; e:q ?c , ?d . ?d e:r 'v' .
+        OPTIONAL { ?d a e:T ; e:s '''l"o''' } FILTER(?x > 5 && regex(?c, 'a', 'i'))
+        { SELECT ?x ?y ?z WHERE { ?x e:k/e:l ?z . ?x e:m "a ; b , c ."@en, 5.5 ; . } }
+        VALUES ?v { e:a e:b e:c } ?v e:w e:z }"""
+    df = spark.createDataFrame([(1, text), (2, ""), (3, "{}"), (4, None)], "query_id int, query string")
+    assert [tuple(r) for r in w.triple_patterns(df, {}).collect()] == [
+        (1, "?a", "http://e/p", "?b"),
+        (1, "?a", "http://e/q", "?c"),
+        (1, "?a", "http://e/q", "?d"),
+        (1, "?d", "http://e/r", '"v"'),
+        (1, "?d", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://e/T"),
+        (1, "?d", "http://e/s", r'"l\"o"'),
+        (1, "?x", "http://e/m", '"a ; b , c ."@en'),
+        (1, "?x", "http://e/m", "5.5"),
+        (1, "?v", "http://e/w", "http://e/z"),
+    ]
+
+
 def test_embeddings(spark, log, monkeypatch):
     words = {r.query_id: r.words for r in embedding.sentences(log).collect()}
     assert words == {1: ["p", "q", "r"], 2: ["p"], 3: ["p", "q", "r"], 5: ["p", "q"]}

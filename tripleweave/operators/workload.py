@@ -22,9 +22,12 @@ from tripleweave.sources.scratch import checkpoint
 VARIABLE = r"[?$]\w+"
 IRI = r"<[^<>\s]*>"
 SHORT = r"[\w-]*:[\w%-]+(?:\.[\w%-]+)*"
-LITERAL = r'"(?:[^"\\]|\\.)*"(?:@[\w-]+|\^\^[^\s.;,}]+)?'
+TAG = r"(?:@[\w-]+|\^\^[^\s.;,}]+)?"
+QUOTED = r'(?s:"{3}.*?"{3}|\'{3}.*?\'{3}|"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\')'
+LITERAL = QUOTED + TAG
 NUMBER = r"[+-]?\d+(?:\.\d+)?"
-TRIPLE = rf"({VARIABLE}|{IRI}|{SHORT})\s+({VARIABLE}|{IRI}|{SHORT}|a)\s+({VARIABLE}|{IRI}|{SHORT}|{LITERAL}|{NUMBER})"
+TOKEN = rf"{LITERAL}|{IRI}|{VARIABLE}|{SHORT}|{NUMBER}|\w+|\S"
+TRIPLES = "array<struct<sub:string,prop:string,obj:string>>"
 PREFIX = r"(?i)PREFIX\s+([\w-]*):\s*<([^>]*)>"
 BASE = r"(?i)BASE\s+<([^>]*)>"
 RDF_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
@@ -34,8 +37,61 @@ def is_variable(term: Column) -> Column:
     return term.startswith("?")
 
 
+def _written_triples(body: Column) -> Column:
+    """The triples of a query body as an array, with ``;`` and ``,`` lists written out.
+
+    One pass over the tokens: a subject and a property wait for their objects. Anything that is
+    no term (brackets, operators, keywords) ends what was begun, so expressions and paths give
+    nothing; the variables of an inner ``SELECT`` and the rows of ``VALUES`` are passed over.
+    """
+    none = F.lit(None).cast("string")
+    start = F.struct(
+        none.alias("sub"), none.alias("prop"), F.lit(False).alias("full"), F.lit("").alias("until"),
+        F.array().cast(TRIPLES).alias("found"),
+    )
+
+    def step(state: Column, token: Column) -> Column:
+        node = token.rlike(rf"^(?:{VARIABLE}|{IRI}|{SHORT})$")
+        value = node | token.rlike(rf"^(?:{LITERAL}|{NUMBER})$")
+        prop = (node | (token == "a"))
+        sub, waits, full, until = state["sub"], state["prop"], state["full"], state["until"]
+        word = F.upper(token)
+
+        def to(sub, prop, full=False, until="", found=state["found"]) -> Column:
+            return F.struct(
+                sub.alias("sub"), prop.alias("prop"), F.lit(full).alias("full"), F.lit(until).alias("until"), found.alias("found")
+            )
+
+        one = F.array(F.struct(sub.alias("sub"), waits.alias("prop"), token.alias("obj")))
+        return (
+            F.when((until != "") & (token != until), state)
+            .when(word == "SELECT", to(none, none, until="{"))
+            .when(word == "VALUES", to(none, none, until="}"))
+            .when((token == ",") & full, to(sub, waits))
+            .when((token == ";") & (full | (sub.isNotNull() & waits.isNull())), to(sub, none))
+            .when(value & sub.isNotNull() & waits.isNotNull() & ~full, to(sub, waits, True, found=F.concat(state["found"], one)))
+            .when(prop & sub.isNotNull() & waits.isNull(), to(sub, token))
+            .when(node & (sub.isNull() | full), to(token, none))
+            .otherwise(to(none, none))
+        )
+
+    tokens = F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))
+    return F.aggregate(tokens, start, step, lambda state: state["found"])
+
+
+def _plain_quotes(term: Column) -> Column:
+    """A literal between double quotes, whichever it was written with."""
+    cut = rf"^({QUOTED})({TAG})$"
+    quoted, tag = F.regexp_extract(term, cut, 1), F.regexp_extract(term, cut, 2)
+    width = F.when(quoted.rlike("^(?:\"{3}|'{3})"), 3).otherwise(1)
+    inner = F.substring(quoted, width + 1, F.length(quoted) - 2 * width)
+    # A double quote inside gets its backslash, unless it has one.
+    escaped = F.regexp_replace(inner, r'(?<!\\)"', r'\\"')
+    return F.when(term.rlike("^'|^\"{3}"), F.concat(F.lit('"'), escaped, F.lit('"'), tag)).otherwise(term)
+
+
 def triple_patterns(queries: DataFrame, prefixes: Mapping[str, str] = tables.GENERIC) -> DataFrame:
-    """``query_id, sub, prop, obj`` of every ``s p o`` written out in the text of a query.
+    """``query_id, sub, prop, obj`` of every triple in the text of a query, lists written out.
 
     The query's own ``PREFIX`` and ``BASE`` lines are applied, then terms are compacted.
     """
@@ -46,11 +102,11 @@ def triple_patterns(queries: DataFrame, prefixes: Mapping[str, str] = tables.GEN
         F.regexp_extract_all(text, F.lit(PREFIX), F.lit(1)).alias("names"),
         F.regexp_extract_all(text, F.lit(PREFIX), F.lit(2)).alias("namespaces"),
         F.regexp_extract(text, BASE, 1).alias("base"),
-        F.explode(F.regexp_extract_all(body, F.lit(TRIPLE), F.lit(0))).alias("triple"),
+        F.inline(_written_triples(body)),
     )
 
-    def full(i: int) -> Column:
-        term = F.regexp_extract("triple", TRIPLE, i)
+    def full(name: str) -> Column:
+        term = _plain_quotes(F.col(name))
         at = F.array_position("names", F.substring_index(term, ":", 1))
         local = F.substring(term, F.locate(":", term) + 1, F.length(term))
         iri = F.concat(F.lit("<"), F.try_element_at("namespaces", at.cast("int")), local, F.lit(">"))
@@ -63,11 +119,11 @@ def triple_patterns(queries: DataFrame, prefixes: Mapping[str, str] = tables.GEN
             .otherwise(iri)
         )
 
-    def compacted(i: int) -> Column:
-        term = full(i)
+    def compacted(name: str) -> Column:
+        term = full(name)
         return F.when(is_variable(term), term).otherwise(terms.compact(term, prefixes))
 
-    return read.select("query_id", *[compacted(i).alias(c) for i, c in ((1, "sub"), (2, "prop"), (3, "obj"))])
+    return read.select("query_id", *[compacted(c).alias(c) for c in ("sub", "prop", "obj")])
 
 
 def count_queries(queries: DataFrame) -> DataFrame:

@@ -143,3 +143,19 @@ def url_query_extract(spark, sf):
 def triple_patterns(spark, sf):
     queries = text.log_queries(_log_lines(spark, sf)).select(F.col("client").alias("query_id"), "query")
     return w.triple_patterns(queries, prefixes.DBPEDIA)
+
+
+@query(
+    """select c_custkey as query_id, '?c' as sub, 'kind__name' as prop, '"' || c_name || '"' as obj from customer
+       union all select c_custkey, '?c', 'kind__in', '?n' from customer
+       union all select c_custkey, '?c', 'kind__in', 'kind__' || c_nationkey from customer
+       union all select c_custkey, '?n', 'kind__seg', '"' || c_mktsegment || '"' from customer"""
+)
+def triple_pattern_lists(spark, sf):
+    """Property and object lists in a nested group, a literal in single quotes."""
+    text_ = F.format_string(
+        "PREFIX k: <http://example.org/kind/> SELECT * WHERE { { ?c k:name '%s' ; k:in ?n , k:%d . } ?n k:seg \"%s\" }",
+        "c_name", "c_nationkey", "c_mktsegment",
+    )
+    queries = table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"), text_.alias("query"))
+    return w.triple_patterns(queries, NAMES)
