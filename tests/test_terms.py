@@ -112,6 +112,25 @@ def test_parse_triples(spark):
     assert [tuple(r) for r in text.parse_triples(tabbed, "\t").collect()] == [("a b", "p q", "c d")]
 
 
+def test_ends_of_triples(spark):
+    good = {
+        "<s> <p> <o> . # note": "<o>",
+        '<s> <p> "x"@en.': '"x"@en',
+        "<s> <p> _:b1.": "_:b1",
+        r'<s> <p> "a \"b\" . # c"^^<t> .': r'"a \"b\" . # c"^^<t>',
+        f'<s> <p> "{"x" * 50_000}" .': f'"{"x" * 50_000}"',
+    }
+    bad = ["<s> <p> <o> <g> .", '<s> <p> "open .', "<s> <p> .", '<s> <p> "a" "b" .']
+    loose = {"s p o .": "o", "<s> <p> <o>": "<o>"}
+    lines = spark.createDataFrame([(x,) for x in [*good, *bad, *loose]], "value string")
+    objects = lambda strict: sorted(r.obj for r in text.parse_triples(lines, None, {}, strict).collect())
+    bare = lambda terms: sorted(t.strip("<>") if t.startswith("<") else t for t in terms)
+    assert bare(objects(False)) == bare([*good.values(), *loose.values()])
+    assert bare(objects(True)) == bare(good.values())
+    assert sorted(values(text.rejected(lines), "value")) == sorted(bad)
+    assert sorted(values(text.rejected(lines, strict=True), "value")) == sorted([*bad, *loose])
+
+
 def test_clean_jobs(spark, tmp_path):
     nt = spark.createDataFrame(
         [

@@ -36,48 +36,62 @@ LOG_PREFIXES = [
 
 
 BLANK = " \t\r"
+# An IRI, a blank node or a literal with its language or type.
+NODE = (
+    r'<[^<>]*>|_:[\w-]+(?:\.[\w-]+)*'
+    r'|"[^"\\]*+(?:\\.[^"\\]*+)*"(?:@[\w-]+|\^\^(?:<[^<>]*>|[\w-]*:[\w%-]+(?:\.[\w%-]+)*))?'
+)
+BARE = r'(?:[^\s<"#._]|\.\S|_(?!:))'  # how any other term begins
 
 
-def _fields(lines: DataFrame, sep: str | None) -> DataFrame:
-    """``value, sub, prop, obj``: a line's first two fields and the rest, which may hold spaces."""
+def _object(field: Column, sep: str | None, strict: bool) -> Column:
+    """The object at the start of the rest of a line, null unless only a dot and a comment follow.
+
+    A bare term keeps a dot that is not set apart from it; with a separator it may hold spaces.
+    """
+    node = rf"^({NODE})\s*\.{'' if strict else '?'}\s*(?:#.*)?$"
+    bare = rf"^({BARE}{'.*?' if sep else r'\S*'})(?:\s+\.)?(?:\s+#.*)?\s*$"
+    found = F.nullif(F.regexp_extract(field, node, 1), F.lit(""))
+    return found if strict else F.coalesce(found, F.nullif(F.regexp_extract(field, bare, 1), F.lit("")))
+
+
+def _fields(lines: DataFrame, sep: str | None, strict: bool) -> DataFrame:
+    """``value, sub, prop, obj``: a line's first two fields and the object after them, null if there is none."""
     line = F.ltrim(F.col("value"), F.lit(BLANK))
     parts = lines.select("value", F.split(line, sep or r"\s+", 3).alias("parts"))
     get = [F.get("parts", F.lit(i)) for i in range(3)]
-    return parts.select("value", get[0].alias("sub"), get[1].alias("prop"), _without_dot(get[2]).alias("obj"))
-
-
-def _without_dot(field: Column) -> Column:
-    """Drop the closing dot: one that stands alone, or follows a bracket or quote."""
-    rest = F.rtrim(field, F.lit(BLANK))
-    closed = rest.endswith(".") & F.substring(rest, -2, 1).isin(" ", "\t", ">", '"')
-    return F.when(closed, F.rtrim(F.left(rest, F.length(rest) - 1), F.lit(BLANK))).otherwise(rest)
+    return parts.select("value", get[0].alias("sub"), get[1].alias("prop"), _object(get[2], sep, strict).alias("obj"))
 
 
-def _is_triple() -> Column:
-    obj = F.col("obj")
-    return obj.isNotNull() & (obj != "") & (obj != ".") & ~F.col("sub").startswith("#")
+def _is_triple(strict: bool) -> Column:
+    found = F.col("obj").isNotNull() & ~F.col("sub").startswith("#")
+    if strict:
+        found &= F.col("sub").rlike(r"^(?:<[^<>]*>|_:\S+)$") & F.col("prop").rlike("^<[^<>]*>$")
+    return found
 
 
 def parse_triples(
-    lines: DataFrame, sep: str | None = None, prefixes: Mapping[str, str] = tables.GENERIC
+    lines: DataFrame, sep: str | None = None, prefixes: Mapping[str, str] = tables.GENERIC, strict: bool = False
 ) -> DataFrame:
     """``sub, prop, obj`` from lines of triple text; ``sep="\\t"`` lets terms hold spaces.
 
-    Comments, blank lines and lines that are no triple give no row (see :func:`rejected`).
+    A comment may follow the closing dot. Without ``strict`` the dot may be missing and terms
+    may be bare (compacted names, numbers). Comments, blank lines and lines that are no triple
+    give no row (see :func:`rejected`).
     """
     names = ("sub", "prop", "obj")
     terms_ = [F.trim(n) if sep else F.col(n) for n in names]
     triple = F.struct(*[t.alias(n) for t, n in zip(terms_, names)])
     # As a generator of no or one row: a filter would be pushed down and split the line again.
-    found = _fields(lines, sep).select(F.inline(F.when(_is_triple(), F.array(triple))))
+    found = _fields(lines, sep, strict).select(F.inline(F.when(_is_triple(strict), F.array(triple))))
     return found.select(*[terms.compact_column(F.col(n), prefixes).alias(n) for n in names])
 
 
-def rejected(lines: DataFrame, sep: str | None = None) -> DataFrame:
+def rejected(lines: DataFrame, sep: str | None = None, strict: bool = False) -> DataFrame:
     """The lines :func:`parse_triples` leaves out, comments and blank lines aside."""
     line = F.trim(F.col("value"), F.lit(BLANK))
-    fields = _fields(lines.where(~line.startswith("#") & (line != "")), sep)
-    return fields.where(~F.coalesce(_is_triple(), F.lit(False))).select("value")
+    fields = _fields(lines.where(~line.startswith("#") & (line != "")), sep, strict)
+    return fields.where(~F.coalesce(_is_triple(strict), F.lit(False))).select("value")
 
 
 def read_triples(
