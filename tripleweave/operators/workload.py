@@ -23,7 +23,7 @@ VARIABLE = r"[?$]\w+"
 IRI = r"<[^<>\s]*>"
 SHORT = r"[\w-]*:[\w%-]+(?:\.[\w%-]+)*"
 TAG = r"(?:@[\w-]+|\^\^[^\s.;,}]+)?"
-QUOTED = r'(?s:"{3}.*?"{3}|\'{3}.*?\'{3}|"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\')'
+QUOTED = r'(?s:"{3}.*?"{3}|\'{3}.*?\'{3}|"[^"\\]*+(?:\\.[^"\\]*+)*"|\'[^\'\\]*+(?:\\.[^\'\\]*+)*\')'
 LITERAL = QUOTED + TAG
 NUMBER = r"[+-]?\d+(?:\.\d+)?"
 TOKEN = rf"{LITERAL}|{IRI}|{VARIABLE}|{SHORT}|{NUMBER}|\w+|\S"
