@@ -155,3 +155,21 @@ def test_mixing(spark, docs, empty):
     assert len(got) == docs.count() and all(r.rate >= 0 for r in got)
     assert mixing.mix(empty, labels, weights).count() == 0
     assert mixing.mixed(docs, labels, {"clean": 1.0, "poor": 1.0, "toxic": 1.0}).columns == docs.columns
+
+
+def test_word_encoder(monkeypatch):
+    """Ids equal the library's for words that hold the mark or special strings, and after words were forgotten."""
+    import random
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode = tokenfiles.WordEncoder(path)
+    chance = random.Random(3)
+    texts = ["a\x01b \x01 c", "", " \t ", "\x01", "x y é ΣΣ é", "\x01\x01 hello", "<|endoftext|> foo<|startoftext|>bar", "a b"]
+    texts += [" ".join("".join(chance.choices("abcXYZ.,'ß9", k=chance.randint(1, 4))) for _ in range(200)) for _ in range(40)]
+    monkeypatch.setattr(tokenfiles, "CACHED", 300)
+    monkeypatch.setattr(tokenfiles, "JOINED", 7)
+    for begin in range(0, len(texts), 4):
+        part = texts[begin : begin + 4]
+        want = [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, encode.dtype).tobytes() for t in part]
+        assert encode.encode([t.encode() for t in part]) == want
+    assert len(encode.numbers) < 300 + 800
