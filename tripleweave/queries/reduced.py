@@ -12,7 +12,7 @@ from tripleweave.operators import workload as w
 from tripleweave.plans import access
 from tripleweave.plans.pattern import match
 from tripleweave.queries import query
-from tripleweave.queries.fixtures import SQL_COUNTS, triples
+from tripleweave.queries.fixtures import SQL_COUNTS, table, triples
 from tripleweave.sources import scratch
 from tripleweave.sources.store import Store
 
@@ -137,6 +137,30 @@ def semi_oo(spark, sf):
     return red.semi(triples(spark, sf), ("ord__part", OBJ), ("ord__returnedPart", OBJ))
 
 
+@query(
+    """select cast(o_orderkey as varchar) as sub, cast(o_custkey as varchar) as obj from orders
+       where o_custkey in (select c_custkey from customer where c_acctbal < 0)"""
+)
+def semi_os_sparse(spark, sf):
+    """Orders of customers in debt, from a frame of triples."""
+
+    def triple(rows, sub, prop, obj):
+        return rows.select(F.col(sub).cast("string").alias("sub"), F.lit(prop).alias("prop"), F.col(obj).cast("string").alias("obj"))
+
+    orders = triple(table(spark, sf, "orders"), "o_orderkey", "of", "o_custkey")
+    debts = triple(table(spark, sf, "customer").where("c_acctbal < 0"), "c_custkey", "owes", "c_acctbal")
+    return red.semi(orders.union(debts), ("of", OBJ), ("owes", SUB))
+
+
+@query(
+    """select 'order/' || l_orderkey as sub, 'supplier/' || l_suppkey as obj from lineitem
+       where l_suppkey in (select s_suppkey - s_suppkey % 10 from supplier)"""
+)
+def semi_oo_sparse(spark, sf):
+    """Orders from suppliers that lead others, one in ten."""
+    return red.semi(triples(spark, sf), ("ord__supplier", OBJ), ("supp__lead", OBJ))
+
+
 SQL_CUSTOMER_FLAGS = """with big as (select o_orderkey as k from orders where o_totalprice > 450000),
        ret as (select distinct l_orderkey as k from lineitem where l_returnflag = 'R'),
        flags as (
