@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact check."""
+"""Benchmark decontamination: the exact shingle similarity of all item-sized windows, rolled from hit to hit."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +15,6 @@ from tripleweave.llm.tables import portions
 
 SHINGLE = 5
 SIMILARITY = 0.8
-# At a similarity of 0.8 two fingerprints differ in 9.7 of 64 bits on average, with a deviation
-# of 2.9; 19 bits leave out one pair in some thousands.
-RADIUS = 19
-BLOCKS = 4
 ITEMS = 20_000  # items that are broadcast at a time
 PORTION = 1 << 20  # bytes of text that are looked at together; they take some 50 bytes of memory each
 
@@ -74,14 +69,6 @@ def shingles(words: list[bytes]) -> Counter:
     return Counter(b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)) if words else Counter()
 
 
-def simhash(weights: Counter) -> int:
-    """64 bits, each the sign of the weighted vote of the shingles' hashes."""
-    hashes = np.array([xxhash.xxh64_intdigest(s) for s in weights], "<u8")
-    votes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64) * 2 - 1
-    total = (votes * np.array(list(weights.values()))[:, None]).sum(axis=0)
-    return int(np.packbits(total > 0, bitorder="little").view("<u8")[0])
-
-
 def similarity(a: Counter, b: Counter) -> float:
     """Weighted Jaccard similarity: what the two multisets share, over what they hold together."""
     shared = (a & b).total()
@@ -90,19 +77,18 @@ def similarity(a: Counter, b: Counter) -> float:
 
 @dataclass
 class Index:
-    """A set of items: where their shingles occur, and their fingerprints cut into blocks.
+    """A set of items and where their shingles occur.
 
-    Two fingerprints within RADIUS bits differ in at most RADIUS // BLOCKS bits of some block;
-    each block has a table of the values that occur and the items with them.
+    ``homes`` has, for each hash of ``hashes``, the items with that shingle, the shingle's number
+    in the item and how often it stands there.
     """
 
     ids: list[int]
-    lengths: np.ndarray
+    lengths: list[int]
+    sizes: list[int]
     weights: list[Counter]
-    prints: np.ndarray
-    tables: list[tuple[np.ndarray, list[np.ndarray]]]
     hashes: dict[int, np.ndarray]
-    homes: dict[int, list[list[tuple[int, int]]]]
+    homes: dict[int, list[list[tuple[int, int, int]]]]
     filters: dict[int, np.ndarray]
 
     @classmethod
@@ -110,35 +96,46 @@ class Index:
         words = [(i, plain(t or "").split()) for i, t in items]
         words = [(i, w) for i, w in words if w]
         weights = [shingles(w) for _, w in words]
-        prints = np.array([simhash(w) for w in weights], np.uint64)
-        width = 64 // BLOCKS
-        tables = []
-        for b in range(BLOCKS):
-            part = (prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)
-            values, where = np.unique(part, return_inverse=True)
-            tables.append((values, [np.flatnonzero(where == v) for v in range(len(values))]))
-        places: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        sizes = [min(SHINGLE, len(w)) for _, w in words]
+        places: dict[int, dict[int, list[tuple[int, int, int]]]] = {}
         for number, (_, w) in enumerate(words):
-            size = min(SHINGLE, len(w))
-            for offset, h in enumerate(runs(word_hashes(np.frombuffer(b" ".join(w), np.uint8))[2], size).tolist()):
-                places.setdefault(size, {}).setdefault(h, []).append((number, offset))
+            own = Counter(runs(word_hashes(np.frombuffer(b" ".join(w), np.uint8))[2], sizes[number]).tolist())
+            for k, (h, times) in enumerate(own.items()):
+                places.setdefault(sizes[number], {}).setdefault(h, []).append((number, k, times))
         hashes = {size: np.array(sorted(p), np.uint64) for size, p in places.items()}
         filters = {}
         for size, h in hashes.items():
             filters[size] = np.zeros(1 << 20, bool)
             filters[size][h >> np.uint64(44)] = True
         homes = {size: [places[size][h] for h in hashes[size].tolist()] for size in hashes}
-        return cls([i for i, _ in words], np.array([len(w) for _, w in words]), weights, prints, tables, hashes, homes, filters)
-
-    def near(self, fingerprint: int) -> np.ndarray:
-        """Numbers of all items within RADIUS bits."""
-        width, found = 64 // BLOCKS, []
-        for b, (values, members) in enumerate(self.tables):
-            block = np.uint64(fingerprint >> (b * width) & ((1 << width) - 1))
-            close = np.flatnonzero(np.bitwise_count(values ^ block) <= RADIUS // BLOCKS)
-            found += [members[v] for v in close]
-        numbers = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return numbers[np.bitwise_count(self.prints[numbers] ^ np.uint64(fingerprint)) <= RADIUS] if len(numbers) else numbers
+        return cls([i for i, _ in words], [len(w) for _, w in words], sizes, weights, hashes, homes, filters)
+
+    def best(self, item: int, hits: list[tuple[int, int, int]], last: int, length: int) -> tuple[float, int, int] | None:
+        """The best (similarity, begin, end) of the windows of ``length`` words, or up to ``last``, that share a shingle.
+
+        ``hits`` are the places of the item's shingles in order, with number and times in the item.
+        Moved on to the next hit a window loses no shared shingle, so only windows that begin at a
+        hit are looked at; of equal ones the first counts.
+        """
+        size, whole = self.sizes[item], self.weights[item].total()
+        if min(SHINGLE, length) != size:
+            return None
+        inside: Counter = Counter()
+        shared = upto = 0
+        top, found = 0.0, None
+        for place, number, times in hits:
+            end = min(place + length, last)
+            while upto < len(hits) and hits[upto][0] + size <= end:
+                _, k, most = hits[upto]
+                inside[k] += 1
+                shared += inside[k] <= most
+                upto += 1
+            value = shared / (end - place - size + 1 + whole - shared)
+            if value > top:
+                top, found = value, (place, end)
+            shared -= inside[number] <= times
+            inside[number] -= 1
+        return (top, *found) if found and top >= SIMILARITY else None
 
     def scan(self, texts: list[str | None]) -> list[dict[int, tuple[float, int, int]]]:
         """Per text: for each item that a window of its size matches, the best (similarity, first word, words)."""
@@ -152,7 +149,7 @@ class Index:
         marks = np.flatnonzero(array[begins] == 1) if len(begins) else np.zeros(0, np.int64)
         firsts = np.concatenate([[0], marks + 1])
         lasts = np.concatenate([marks, [len(begins)]])
-        windows: set[tuple[int, int, int]] = set()
+        hits: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for size, wanted in self.hashes.items():
             seen = runs(words, size)
             maybe = np.flatnonzero(self.filters[size][seen >> np.uint64(44)])
@@ -160,16 +157,28 @@ class Index:
             hit = (at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == seen[maybe])
             for place, h in zip(maybe[hit].tolist(), at[hit].tolist(), strict=True):
                 text = int(np.searchsorted(firsts, place, side="right")) - 1
-                for item, offset in self.homes[size][h]:
-                    begin = max(int(firsts[text]), place - offset)
-                    windows.add((text, begin, min(int(lasts[text]), begin + int(self.lengths[item]))))
-        for text, begin, end in windows:
-            inside = data[begins[begin] : ends[end - 1]].split()
-            weights = shingles(inside)
-            for item in self.near(simhash(weights)).tolist():
-                value = similarity(weights, self.weights[item])
+                for item, number, times in self.homes[size][h]:
+                    hits.setdefault((text, item), []).append((place, number, times))
+        lengths: dict[int, set[int]] = {}
+        for text, item in hits:
+            lengths.setdefault(text, set()).add(self.lengths[item])
+        for (text, item), places in hits.items():
+            first, last, whole = int(firsts[text]), int(lasts[text]), self.weights[item].total()
+            # No window shares more than the text does, and it must share SIMILARITY of the item.
+            times = {number: most for _, number, most in places}
+            if sum(min(n, times[k]) for k, n in Counter(k for _, k, _ in places).items()) < SIMILARITY * whole:
+                continue
+            for length in lengths[text]:
+                window = self.best(item, places, last, length)
+                if window is None:
+                    continue
+                value, begin, end = window
+                like = lambda a: similarity(shingles(data[begins[a] : ends[min(a + length, last) - 1]].split()), self.weights[item])  # noqa: B023, E731
+                value = like(begin)
+                while begin > first and value and like(begin - 1) == value:
+                    begin -= 1
                 if value >= SIMILARITY:
-                    best = (value, -(begin - int(firsts[text])), end - begin)
+                    best = (value, -(begin - first), min(begin + length, last) - begin)
                     out[text][self.ids[item]] = max(best, out[text].get(self.ids[item], best))
         return out
 
@@ -190,10 +199,11 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, similarity, first_word, n_words)``: documents with a window like an item.
 
-    Words are lower-cased runs of letters and digits. For every item, the windows of its number
-    of words that share a shingle of five words with it are fingerprinted (a window without one
-    has similarity zero); items within the radius are found through the blocks and kept if the
-    weighted shingle similarity is 0.8 or more. One row per document and item, its best window.
+    Words are lower-cased runs of letters and digits. For every item, all windows of its number
+    of words (and of other items' that share a shingle with the document; fewer at the end of the
+    text) that share a shingle of five words with it are compared, wherever they begin; a window
+    without one has similarity zero. Those with a weighted shingle similarity of 0.8 or more are
+    matches. One row per document and item, its best window, the first of equal ones.
     Documents without a match, null and empty texts give no row. Items of fewer than five words
     are one shingle; items that are null or have no word match nothing; a repeated item id keeps
     its best match per broadcast of ``ITEMS``.
