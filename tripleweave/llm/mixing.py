@@ -12,7 +12,6 @@ from tripleweave.llm.tables import written
 
 DOMAINS = ("clean", "poor", "toxic")
 SAMPLE = 20_000  # labelled documents the classifier learns from, the first by hash of their id
-FEATURES = 1_000  # tokens the classifier looks at
 SUPPORT = 5  # labelled documents a feature occurs in, at least
 GAIN = 10.0  # log-likelihood ratio of a feature, at least; chance alone gives 1 on average
 TOKEN = r"\p{L}+|[^\p{L}\s]+"  # words and runs of signs apart
@@ -28,10 +27,11 @@ def _tokens(text: Column) -> Column:
 
 
 def classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(token, weights)``: at most FEATURES tokens with a log-odds per domain, and the row ALWAYS.
+    """``(token, weights)``: every token that tells the domains apart with a log-odds per domain, and the row ALWAYS.
 
     A naive Bayes model of which tokens a document holds, learnt from at most SAMPLE labelled
-    documents. Features are the tokens that tell the domains apart best (log-likelihood ratio).
+    documents of ``docs``. Features are all tokens over GAIN (log-likelihood ratio); the sample
+    bounds their number.
     Labels with a null are left out; of several for one document the smallest counts. Without
     labels every document gets equal posteriors.
     """
@@ -39,6 +39,7 @@ def classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
         labels.where("doc_id is not null and quality is not null and toxic is not null")
         .groupBy(F.col("doc_id").alias("_id"))
         .agg(F.min(F.struct("quality", "toxic")).alias("l"))
+        .join(docs.select(F.col("doc_id").alias("_id")), "_id", "left_semi")
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(SAMPLE)
         .select("_id", domain(F.col("l.quality"), F.col("l.toxic")).alias("domain"))
@@ -63,7 +64,7 @@ def classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
         if n[d]:
             gain = gain + term(F.col(d), all_ * share) + term(F.lit(n[d]) - F.col(d), (F.lit(total) - all_) * share)
     top = written(
-        counts.where(all_ >= SUPPORT).withColumn("gain", gain).where(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "token").limit(FEATURES), "features"
+        counts.where(all_ >= SUPPORT).withColumn("gain", gain).where(F.col("gain") >= GAIN), "features"
     )
     # Probabilities with half a document added on either side.
     held_by = {d: (F.col(d) + 0.5) / (n[d] + 1.0) for d in DOMAINS}
@@ -83,7 +84,7 @@ def posteriors(docs: DataFrame, model: DataFrame, keep: list[str] | None = None)
         "_at", "_row", F.size("_tokens").cast("long").alias("_n"),
         F.explode(F.concat(F.array(F.lit(ALWAYS)), F.array_distinct("_tokens"))).alias("_token"),
     )
-    # The model is at most FEATURES + 1 rows; tokens it doesn't know are gone before the shuffle.
+    # The model has tokens of at most SAMPLE documents; those it doesn't know are gone before the shuffle.
     scored = spread.join(F.broadcast(model), F.col("_token") == F.col("token"))
     sums = scored.groupBy("_at", "_row", "_n").agg(
         *[F.sum(F.col("weights")[i]).alias(f"_w{i}") for i in range(len(DOMAINS))]
