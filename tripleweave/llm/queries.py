@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tripleweave.llm import decontamination, mixing, ppm, quality, repeats, sharding, simhash, tokencounts, tokenfiles, urlrules
+from tripleweave.llm import (
+    decontamination,
+    mixing,
+    periodic,
+    phrases,
+    ppm,
+    quality,
+    repeats,
+    secrets,
+    sharding,
+    simhash,
+    tokencounts,
+    tokenfiles,
+    urlrules,
+)
 from tripleweave.llm.registry import ORACLES, QUERIES, query
 from tripleweave.llm.tables import source
 
@@ -88,3 +105,40 @@ def op9_ppm_scores(spark, sf):
 @query()
 def op10_simhash(spark, sf):
     return simhash.near_duplicates(source(spark, sf, "documents"))
+
+
+def planted_order(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The word numbers to read in place of a text's own: fixed by the contract for every tenth crc32."""
+    if doc_id is None:
+        return None
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    at = np.arange(n)
+    return np.where(at < start, at, start + (at - start) % period)
+
+
+@query()
+def op11_periodic_runs(spark, sf):
+    found = periodic.periodic_runs(source(spark, sf, "documents"), planted_order)
+    line = lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period",
+        # Fits in long: a length is below 2 ** 31.
+        F.call_function("div", F.lit(1000) * F.col("length"), F.col("period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query(phrases.SQL)
+def op12_collocations(spark, sf):
+    return phrases.collocations(source(spark, sf, "documents"))
+
+
+@query(secrets.SQL)
+def op13_secrets(spark, sf):
+    return secrets.digest(source(spark, sf, "documents"))
