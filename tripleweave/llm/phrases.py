@@ -32,7 +32,7 @@ from tripleweave.llm.exchange import NAMES, ROW, answer, pack, rows, unpack
 from tripleweave.llm.tables import portions, shuffle_tasks, written
 from tripleweave.llm.words import Words
 
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 PER_BUCKET = 32 << 20
 
 # Fixed values of the text model: what ends a piece, and what separates the words of a piece.
