@@ -2,8 +2,12 @@
 
 An *item* is a property with a side: ``p_TRPS`` (its subjects) or ``p_TRPO`` (its objects). A
 *pattern* of property ``p`` is one item of ``p`` (the head) and other items; a row of ``p``
-is in the reduction when its head-side value occurs under every other item. Flags are true
-or null, never false, so "in the reduction" is a pushed-down ``IS NOT NULL``.
+is in the reduction when its head-side value occurs under every other item.
+
+A row's *signature* has a bit for each pattern of its property that keeps it, however many
+patterns there are. Rows of one property with one signature are a *class*; classes are
+numbered so that those of a selective pattern are neighbours, and a reduction is then a few
+ranges of class numbers.
 """
 
 from __future__ import annotations
@@ -16,15 +20,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleweave.functions import bloom
+from tripleweave.operators.numbering import numbered
 from tripleweave.sources.triples import Triples, as_triples
 
+# Fixed spellings of items and pattern names.
 SUBJECT, OBJECT = "TRPS", "TRPO"
-SIDES = {SUBJECT: "sub", OBJECT: "obj"}
 JOIN = "_JOIN_"
-MAX_COLUMNS = 100
+
+SIDES = {SUBJECT: "sub", OBJECT: "obj"}
 # Rows of names and patterns that may be broadcast; more are joined as any other table.
 BROADCAST_ROWS = 100_000
-# Items to a word of an exact lookup.
+# Items or slots to a word of bits.
 WORD_BITS = 63
 # Names that may be listed in a scan's filter.
 PUSHED_VALUES = 1_000
@@ -109,18 +115,24 @@ def bloom_flag(df: DataFrame, column: str, filter_: Bloom, name: str) -> DataFra
     return found.select(*df.columns, F.when(F.col(f"{name}_block").isNotNull(), True).alias(name))
 
 
-def build_filters(triples: DataFrame, stats: DataFrame, fpp: float = FPP) -> DataFrame:
-    """``prop, side, n_blocks, block, w0..w7``: the filters of all properties, both sides, one job.
+def filter_sizes(stats: DataFrame, fpp: float = FPP) -> DataFrame:
+    """``prop, side, n_blocks``: blocks for the filter of each side of each property.
 
     ``stats`` gives the approximate number of distinct ``subjects`` and ``objects`` of each
     property; a tenth is added for what the approximation may miss.
     """
     per_block = bloom.BLOCK_BITS / bloom.bits_per_value(fpp) / 1.1
 
-    def blocks(n: str) -> Column:
-        return F.greatest(F.lit(1), F.ceil(F.col(n) / per_block)).cast("bigint")
+    def side(name: str, n: str) -> Column:
+        blocks = F.greatest(F.lit(1), F.ceil(F.col(n) / per_block)).cast("bigint")
+        return F.struct(F.lit(name).alias("side"), blocks.alias("n_blocks"))
 
-    sizes = stats.select("prop", blocks("subjects").alias(SUBJECT), blocks("objects").alias(OBJECT))
+    return stats.select("prop", F.inline(F.array(side(SUBJECT, "subjects"), side(OBJECT, "objects"))))
+
+
+def build_filters(triples: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``prop, side, n_blocks, block, w0..w7``: the filters of all properties, both sides, one job."""
+    wide = sizes.groupBy("prop").agg(*[F.max(F.when(F.col("side") == s, F.col("n_blocks"))).alias(s) for s in SIDES])
     sides = F.inline(
         F.array(
             *[
@@ -129,7 +141,7 @@ def build_filters(triples: DataFrame, stats: DataFrame, fpp: float = FPP) -> Dat
             ]
         )
     )
-    rows = triples.join(sizes, "prop").select("prop", sides).where(F.col("v").isNotNull())
+    rows = triples.join(wide, "prop").select("prop", sides).where(F.col("v").isNotNull())
     rows = rows.select("*", bloom.block(F.col("v"), F.col("n_blocks")).alias("block"))
     return _or_words(rows, ["prop", "side", "n_blocks", "block"], bloom.masks(F.col("v")))
 
@@ -170,7 +182,7 @@ def pair_stats(source, pairs: Sequence[tuple[tuple[str, str], tuple[str, str]]])
     frame = src.frame_of(props)
     catalog = frame.sparkSession.createDataFrame([r for of_prop in rows.values() for r in of_prop], CATALOG)
     other = F.get("members", F.lit(0))
-    return slot_stats(flag_all(frame, catalog), catalog).select(
+    return slot_stats(class_counts(signatures(frame, catalog)), catalog).select(
         "prop",
         F.concat(F.right("head", F.lit(1)), F.right(other, F.lit(1))).alias("type"),
         item_prop(other).alias("other"),
@@ -180,27 +192,26 @@ def pair_stats(source, pairs: Sequence[tuple[tuple[str, str], tuple[str, str]]])
     )
 
 
-# -- Flags -----------------------------------------------------------------------------------
-
+# -- Signatures ------------------------------------------------------------------------------
 
-def number_slots(patterns: DataFrame, max_cols: int = MAX_COLUMNS) -> DataFrame:
-    """Give each property's patterns a column number, smallest patterns first.
 
-    ``max_cols`` is the width of a reduced table; scans without a column read the plain table.
-    """
+def number_slots(patterns: DataFrame) -> DataFrame:
+    """Give each property's patterns a slot, smallest patterns first. There is no limit to them."""
     order = Window.partitionBy("prop").orderBy("size", "pattern")
-    # The bound on the rank itself lets Spark keep max_cols rows per task before the shuffle.
-    first = patterns.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_cols)
-    return first.select("prop", (F.col("rank") - 1).alias("slot"), "pattern", "head", "members", "size")
+    return patterns.select(
+        "prop", (F.row_number().over(order) - 1).alias("slot"), "pattern", "head", "members", "size"
+    )
 
 
-def catalog_of(spark, prop: str, patterns: Iterable[Iterable[str]], max_cols: int = MAX_COLUMNS) -> DataFrame:
-    """The catalog rows of one property from lists of items."""
+def _catalog_rows(prop: str, patterns: Iterable[Iterable[str]]) -> list[tuple]:
     named = {name: (head, rest) for name, head, rest in (canonical(prop, p) for p in patterns)}
-    rows = sorted((len(rest) + 1, name, head, rest) for name, (head, rest) in named.items())[:max_cols]
-    return spark.createDataFrame(
-        [(prop, i, name, head, rest, size) for i, (size, name, head, rest) in enumerate(rows)], CATALOG
-    )
+    rows = sorted((len(rest) + 1, name, head, rest) for name, (head, rest) in named.items())
+    return [(prop, i, name, head, rest, size) for i, (size, name, head, rest) in enumerate(rows)]
+
+
+def catalog_of(spark, prop: str, patterns: Iterable[Iterable[str]]) -> DataFrame:
+    """The catalog rows of one property from lists of items."""
+    return spark.createDataFrame(_catalog_rows(prop, patterns), CATALOG)
 
 
 def _among(df: DataFrame, column: str, values: list[str]) -> DataFrame:
@@ -216,6 +227,10 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _bit(number: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(number, F.lit(WORD_BITS)).cast("int"))
+
+
 def _item_index(spark, items: list[str]) -> DataFrame:
     """``item, prop, side, word, mask``: a bit for each item, 63 to a word."""
     rows = [(m, *split_item(m), i // WORD_BITS, 1 << i % WORD_BITS) for i, m in enumerate(items)]
@@ -228,48 +243,83 @@ def _words(n: int) -> list[Column]:
 
 
 def _names(catalog: DataFrame) -> dict[str, list[str]]:
-    """The distinct items, properties, heads and slots of a catalog, in one job."""
+    """The distinct items, properties and heads of a catalog, in one job."""
 
     def pairs(kind: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("name")))
 
-    own = [pairs(c, F.array(c)) for c in ("prop", "head", "slot")]
-    found: dict[str, list[str]] = {kind: [] for kind in ("item", "prop", "head", "slot")}
+    own = [pairs(c, F.array(c)) for c in ("prop", "head")]
+    found: dict[str, list[str]] = {kind: [] for kind in ("item", "prop", "head")}
     for r in catalog.select(F.inline(F.concat(pairs("item", F.col("members")), *own))).distinct().collect():
         found[r["kind"]].append(r["name"])
     return {kind: sorted(values) for kind, values in found.items()}
 
 
-def flag_all(triples: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``sub, prop, obj, m0..``: the exact flags of all properties of a catalog in one job.
+class Filters(NamedTuple):
+    """The Bloom filters of many items: ``prop, side, block, w0..w7`` and ``prop, side, n_blocks``."""
+
+    table: DataFrame
+    sizes: DataFrame
+
+
+def _occurring(triples: DataFrame, index: DataFrame, items: list[str]) -> DataFrame:
+    """``value, word, mask``: under which of the items each term occurs."""
+    value = F.when(F.col("side") == SUBJECT, F.col("sub")).otherwise(F.col("obj")).alias("value")
+    rows = _among(triples, "prop", sorted({split_item(m)[0] for m in items}))
+    return rows.join(index, "prop").select(value, "word", "mask")
+
+
+def _perhaps_occurring(triples: DataFrame, catalog: DataFrame, index: DataFrame, items: list[str], filters: Filters) -> DataFrame:
+    """The same through filters, whatever the number of items: one join on item and block.
+
+    Each distinct head-side value is paired with the items its patterns ask for.
+    """
+    asked = catalog.select("prop", "head", F.explode("members").alias("item")).distinct()
+    names = _names(catalog)
+    heads = F.inline(F.array(*[F.struct(F.lit(s).alias("head"), F.col(SIDES[s]).alias("value")) for s in names["head"]]))
+    values = _among(triples, "prop", names["prop"]).select("prop", heads).where("value is not null").distinct()
+    sizes = _among(filters.sizes, "prop", sorted({split_item(m)[0] for m in items}))
+    wanted = asked.join(index.join(sizes, ["prop", "side"]).withColumnRenamed("prop", "of"), "item")
+    pairs = values.join(wanted, ["prop", "head"]).select(
+        "value", "of", "side", "word", "mask", bloom.block(F.col("value"), F.col("n_blocks")).alias("block")
+    )
+    table = filters.table.select(F.col("prop").alias("of"), "side", "block", *bloom.WORDS)
+    probed = pairs.distinct().join(_among(table, "of", sorted({split_item(m)[0] for m in items})), ["of", "side", "block"])
+    hit = bloom.contains(F.col("value"), [F.col(w) for w in bloom.WORDS])
+    return probed.where(hit).select("value", "word", "mask")
+
+
+def signatures(triples: DataFrame, catalog: DataFrame, filters: Filters | None = None) -> DataFrame:
+    """``sub, prop, obj, sig``: which patterns of its property keep each row, a bit per slot.
 
     Every item any pattern asks for is a bit. One aggregate gives each term the bits of the
-    items it occurs under, at most two joins bring them to the rows, and a flag is a mask test:
-    eight bytes travel with a row where lists of names would. Slots count from 0 without gaps.
+    items it occurs under, at most two joins bring them to the rows, and a pattern is a mask test:
+    eight bytes travel with a row where lists of names would. Exact, or through ``filters``.
     Only names come to the driver: the properties and items the catalog mentions.
     """
     names = _names(catalog)
     needed, props, heads = names["item"], names["prop"], names["head"]
-    n_slots = max((int(x) for x in names["slot"]), default=-1) + 1
     n_words = max(1, -(-len(needed) // WORD_BITS))
     index = _item_index(triples.sparkSession, needed)
-
-    value = F.when(F.col("side") == SUBJECT, F.col("sub")).otherwise(F.col("obj")).alias("value")
-    presence = (
-        _among(triples, "prop", sorted({split_item(m)[0] for m in needed}))
-        .join(index, "prop")
-        .select(value, "word", "mask")
-        .groupBy("value")
-        .agg(*[w.alias(f"w{j}") for j, w in enumerate(_words(n_words))])
-    )
+    if filters is None:
+        occurring = _occurring(triples, index, needed)
+    else:
+        occurring = _perhaps_occurring(triples, catalog, index, needed, filters)
+    presence = occurring.groupBy("value").agg(*[w.alias(f"w{j}") for j, w in enumerate(_words(n_words))])
     masks = (
         catalog.select("prop", "slot", "head", F.explode_outer("members").alias("item"))
         .join(index.select("item", "word", "mask"), "item", "left")
         .groupBy("prop", "slot", "head")
         .agg(F.array(*_words(n_words)).alias("masks"))
     )
-    patterns = F.sort_array(F.collect_list(F.struct("slot", "head", "masks"))).alias("patterns")
-    per_prop = small(masks.groupBy("prop").agg(patterns), len(props) * n_slots)
+    # Slots count from 0 without gaps, so the words of a property's signature follow each other.
+    part = lambda slot: F.floor(slot / WORD_BITS)
+    parts = F.sequence(F.lit(0), part(F.size("patterns") - 1))
+    words = F.transform(parts, lambda w: F.filter("patterns", lambda p: part(p["slot"]) == w)).alias("words")
+    per_prop = masks.groupBy("prop").agg(F.collect_list(F.struct("slot", _bit(F.col("slot")).alias("bit"), "head", "masks")).alias("patterns"))
+    # A row per property, as wide as its patterns: broadcast if few properties have few of them.
+    n_patterns = catalog.count()
+    per_prop = small(per_prop.select("prop", words), n_patterns * n_words)
 
     df = _among(triples, "prop", props)
     found = {side: [F.lit(0)] * n_words for side in SIDES}
@@ -280,7 +330,7 @@ def flag_all(triples: DataFrame, catalog: DataFrame) -> DataFrame:
             found[side] = [F.coalesce(f"{side}{j}", F.lit(0)) for j in range(n_words)]
     df = df.join(per_prop, "prop")
 
-    def in_all(pattern: Column) -> Column:
+    def keeps(pattern: Column) -> Column:
         tests = []
         for j in range(n_words):
             have = F.when(pattern["head"] == SUBJECT, found[SUBJECT][j]).otherwise(found[OBJECT][j])
@@ -288,43 +338,85 @@ def flag_all(triples: DataFrame, catalog: DataFrame) -> DataFrame:
             tests.append(have.bitwiseAND(mask) == mask)
         return reduce(lambda a, b: a & b, tests)
 
-    df = df.select("sub", "prop", "obj", F.transform("patterns", in_all).alias("flags"))
-    slots = [F.when(F.get("flags", F.lit(i)), True).alias(f"m{i}") for i in range(n_slots)]
-    return df.select("sub", "prop", "obj", *slots)
+    def word(patterns: Column) -> Column:
+        none = F.lit(0).cast("bigint")
+        return F.aggregate(patterns, none, lambda s, p: s.bitwiseOR(F.when(keeps(p), p["bit"]).otherwise(none)))
+
+    return df.select("sub", "prop", "obj", F.transform("words", word).alias("sig"))
+
+
+def has_slot(sig: Column, slot: Column) -> Column:
+    """Whether a signature has a slot's bit."""
+    word = F.get(sig, F.floor(slot / WORD_BITS).cast("int"))
+    return word.bitwiseAND(_bit(slot)) != 0
+
+
+def class_counts(signed: DataFrame) -> DataFrame:
+    """``prop, sig, slots, rows``: the classes of rows with one signature. Nothing else reads the rows again."""
+    counts = signed.groupBy("prop", "sig").agg(F.count(F.lit(1)).alias("rows"))
+    every = F.sequence(F.lit(0), F.size("sig") * WORD_BITS - 1)
+    return counts.select("prop", "sig", F.filter(every, lambda s: has_slot(F.col("sig"), s)).alias("slots"), "rows")
+
+
+def slot_stats(classes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The catalog with ``rows``, ``vp_rows`` and ``ratio``, from the classes of many properties."""
+    # Slot -1 stands for all rows. A row per property, as wide as it has patterns, so the classes are read once.
+    each = classes.select("prop", "rows", F.explode(F.concat(F.array(F.lit(-1)), "slots")).alias("slot"))
+    counted = each.groupBy("prop", "slot").agg(F.sum("rows").alias("rows")).groupBy("prop")
+    by_slot = counted.agg(F.map_from_entries(F.collect_list(F.struct("slot", "rows"))).alias("counts"))
+    kept = F.coalesce(F.try_element_at("counts", F.col("slot")), F.lit(0).cast("bigint"))
+    whole = F.col("counts")[-1]
+    return catalog.join(by_slot, "prop").select(
+        "prop", "slot", "pattern", "head", "members", "size", kept.alias("rows"), whole.alias("vp_rows"), (kept / whole).alias("ratio")
+    )
+
+
+def number_classes(classes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The classes with a number, ``class``: those of a property follow each other, sorted by its shortest, then rarest patterns.
+
+    Longer patterns are what shorter ones have in common, so their classes lie together as well:
+    the rarest pair has one range of classes, the next one at most two.
+    """
+    kept = classes.select("prop", "rows", F.explode("slots").alias("slot")).groupBy("prop", "slot").agg(F.sum("rows").alias("rows"))
+    sized = kept.join(catalog.select("prop", "slot", "size"), ["prop", "slot"])
+    rarest = F.transform(F.sort_array(F.collect_list(F.struct("size", "rows", "slot"))), lambda r: r["slot"])
+    order = sized.groupBy("prop").agg(rarest.alias("rarest"))
+    # '0' where a pattern keeps the class, so that ascending order puts it first.
+    key = F.array_join(
+        F.transform(F.coalesce("rarest", F.array().cast("array<int>")), lambda s: F.when(has_slot(F.col("sig"), s), "0").otherwise("1")), ""
+    )
+    placed = classes.join(order, "prop", "left").select("prop", "sig", "slots", "rows", key.alias("key"))
+    return numbered(placed.orderBy("prop", "key"), "class").drop("key")
+
+
+def class_ranges(classes: DataFrame, most: int) -> DataFrame:
+    """``prop, slot, ranges``: the classes of each slot as ``(first, last)``; null for more than ``most`` ranges."""
+    each = classes.select("prop", "class", F.explode("slots").alias("slot"))
+    at = F.row_number().over(Window.partitionBy("prop", "slot").orderBy("class"))
+    runs = each.withColumn("run", F.col("class") - at).groupBy("prop", "slot", "run").agg(
+        F.min("class").alias("first"), F.max("class").alias("last")
+    )
+    ranges = F.sort_array(F.collect_list(F.struct("first", "last")))
+    return runs.groupBy("prop", "slot").agg(F.when(F.count(F.lit(1)) <= most, ranges).alias("ranges"))
 
 
 def pattern_flags(
     source,
     prop: str,
     patterns: Iterable[Iterable[str]],
-    filters: dict[str, Bloom] | None = None,
-    max_cols: int = MAX_COLUMNS,
+    filters: Filters | None = None,
 ) -> DataFrame:
-    """``sub, obj`` and one boolean column per pattern, named after it.
+    """``sub, obj`` and one column per pattern, named after it: true or null, never false.
 
-    Exact by default; ``filters`` (by item) takes the Bloom filters instead.
+    Exact by default; ``filters`` takes the Bloom filters instead.
     """
     src = as_triples(source)
-    if filters is None:
-        catalog = catalog_of(src.scan(prop).sparkSession, prop, patterns, max_cols)
-        rows = catalog.collect()  # max_cols rows
-        wanted = {prop, *(split_item(m)[0] for r in rows for m in r.members)}
-        flags = flag_all(src.frame_of(wanted), catalog)
-        return flags.select("sub", "obj", *[F.col(f"m{r.slot}").alias(r.pattern) for r in rows])
-
-    named = {name: (head, rest) for name, head, rest in (canonical(prop, p) for p in patterns)}
-    chosen = sorted(named, key=lambda name: (len(named[name][1]), name))[:max_cols]
-    hits = {(named[name][0], m): None for name in chosen for m in named[name][1]}
-    df = src.scan(prop)
-    for i, (head, member) in enumerate(hits):
-        hits[head, member] = f"__hit{i}"
-        df = bloom_flag(df, SIDES[head], filters[member], f"__hit{i}")
-    flags = []
-    for name in chosen:
-        head, rest = named[name]
-        all_hit = reduce(lambda a, b: a & b, [F.col(hits[head, m]).isNotNull() for m in rest], F.lit(True))
-        flags.append(F.when(all_hit, True).alias(name))
-    return df.select("sub", "obj", *flags)
+    rows = _catalog_rows(prop, patterns)
+    wanted = {prop, *(split_item(m)[0] for r in rows for m in r[4])}
+    frame = src.frame_of(wanted)
+    signed = signatures(frame, frame.sparkSession.createDataFrame(rows, CATALOG), filters)
+    flag = lambda slot, name: F.when(has_slot(F.col("sig"), F.lit(slot)), True).alias(name)
+    return signed.select("sub", "obj", *[flag(r[1], r[2]) for r in rows])
 
 
 def pattern_stats(flags: DataFrame, skip: Sequence[str] = ("sub", "obj")) -> DataFrame:
@@ -332,18 +424,3 @@ def pattern_stats(flags: DataFrame, skip: Sequence[str] = ("sub", "obj")) -> Dat
     names = [c for c in flags.columns if c not in skip]
     counts = flags.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in names])
     return counts.unpivot([], [F.col(f"`{c}`") for c in names], "pattern", "rows")
-
-
-def slot_stats(flags: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The catalog with ``rows``, ``vp_rows`` and ``ratio``, from the flags of many properties."""
-    slots = [c for c in flags.columns if c not in ("sub", "prop", "obj")]
-    counts = flags.groupBy("prop").agg(F.count(F.lit(1)).alias("vp_rows"), *[F.count(c).alias(c) for c in slots])
-    pairs = F.inline(F.array(*[F.struct(F.lit(int(c[1:])).alias("slot"), F.col(c).alias("rows")) for c in slots]))
-    return (
-        counts.select("prop", "vp_rows", pairs)
-        .join(catalog, ["prop", "slot"])
-        .select(
-            "prop", "slot", "pattern", "head", "members", "size", "rows", "vp_rows",
-            F.when(F.col("vp_rows") > 0, F.col("rows") / F.col("vp_rows")).alias("ratio"),
-        )
-    )

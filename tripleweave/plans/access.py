@@ -14,12 +14,16 @@ NEEDS = "scan_id string, prop string, side string, items array<string>"
 
 
 class Choice(NamedTuple):
+    """A reduction to read: its place, its rows, and the ranges of classes that hold them (None: too many to list)."""
+
+    run: str
     slot: int
     rows: int
+    ranges: list[tuple[int, int]] | None
 
 
 def best_pattern(stats: DataFrame, needs: DataFrame, scale_ub: float = 1.0) -> DataFrame:
-    """``scan_id, pattern, slot, rows, vp_rows``: the smallest reduction each scan may read.
+    """``scan_id, pattern, slot, rows, vp_rows, run, ranges``: the smallest reduction each scan may read.
 
     A reduction fits when its other members are all among the variable's items, for then
     the joins of the group imply it. It is worth reading below ``vp_rows * scale_ub``.
@@ -29,9 +33,9 @@ def best_pattern(stats: DataFrame, needs: DataFrame, scale_ub: float = 1.0) -> D
     ).where(
         (F.size(F.array_except("members", "items")) == 0) & (F.col("rows") < F.col("vp_rows") * F.lit(scale_ub))
     )
-    smallest = F.min(F.struct("rows", "size", "pattern", "slot", "vp_rows")).alias("best")
+    smallest = F.min(F.struct("rows", "size", "pattern", "slot", "vp_rows", "run", "ranges")).alias("best")
     return fits.groupBy("scan_id").agg(smallest).select(
-        "scan_id", "best.pattern", "best.slot", "best.rows", "best.vp_rows"
+        "scan_id", "best.pattern", "best.slot", "best.rows", "best.vp_rows", "best.run", "best.ranges"
     )
 
 
@@ -67,7 +71,7 @@ def reduction_report(scans: DataFrame, needs: DataFrame, stats: DataFrame, vp_st
 class Reductions:
     """Reduced tables and their statistics, as a pattern match uses them."""
 
-    def __init__(self, stats: DataFrame, scan: Callable[[str, int], DataFrame], scale_ub: float = 1.0):
+    def __init__(self, stats: DataFrame, scan: Callable[[str, Choice], DataFrame], scale_ub: float = 1.0):
         self.stats = stats
         self.scan = scan
         self.scale_ub = scale_ub
@@ -79,4 +83,4 @@ class Reductions:
         frame = self.stats.sparkSession.createDataFrame(needs, NEEDS)
         stats = self.stats.where(F.col("prop").isin(sorted({n[1] for n in needs})))
         best = best_pattern(stats, frame, self.scale_ub).collect()
-        return {r.scan_id: Choice(r.slot, r.rows) for r in best}
+        return {r.scan_id: Choice(r.run, r.slot, r.rows, r.ranges and [tuple(x) for x in r.ranges]) for r in best}

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleweave.operators import reductions as red
+from tripleweave.operators.numbering import numbered
 from tripleweave.plans.access import Reductions
 from tripleweave.plans.paths import Path
-from tripleweave.sources.scratch import checkpoint
 from tripleweave.sources.triples import Triples, as_triples
 
 # Rows a page may reach to before paging numbers the rows instead of sorting a top list.
@@ -123,7 +123,9 @@ class Pattern:
         if limit is not None and offset + limit <= TOP_ROWS:
             df = self.df.offset(offset) if offset else self.df
             return Pattern(df.limit(limit), self.maybe)
-        return Pattern(_rows_between(self.df, offset, limit), self.maybe)
+        position = F.col("__position")
+        wanted = position >= offset if limit is None else position.between(offset, offset + limit - 1)
+        return Pattern(numbered(self.df, "__position").where(wanted).drop("__position"), self.maybe)
 
     def count(self) -> DataFrame:
         """One row, one column: the number of answers."""
@@ -170,23 +172,6 @@ def _compatible(left: Pattern, right: Pattern) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _rows_between(df: DataFrame, offset: int, limit: int | None) -> DataFrame:
-    kept = checkpoint(df)  # the numbering below must see the same partitions twice
-    in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = kept.select("*", F.spark_partition_id().alias("__part"), in_partition.alias("__row"))
-    sizes = placed.groupBy("__part").count().orderBy("__part").collect()  # one row per partition
-    starts, total = [], 0
-    for r in sizes:
-        starts.append((r["__part"], total))
-        total += r["count"]
-    base = df.sparkSession.createDataFrame(starts, "__part int, __start bigint")
-    position = F.col("__row") + F.col("__start")
-    wanted = position >= offset
-    if limit is not None:
-        wanted = wanted & (position < offset + limit)
-    return placed.join(F.broadcast(base), "__part").where(wanted).select(*df.columns)
-
-
 def match(source, patterns: list[tuple], reductions: Reductions | None = None) -> Pattern:
     """Join triple patterns ``(sub, prop, obj)`` on the variables they share.
 
@@ -201,7 +186,7 @@ def match(source, patterns: list[tuple], reductions: Reductions | None = None) -
     scans = []
     for i, (s, p, o) in enumerate(patterns):
         choice = choices.get(str(i))
-        table = reductions.scan(p, choice.slot) if choice else None
+        table = reductions.scan(p, choice) if choice else None
         size = choice.rows if choice else known.get(p, 0) if isinstance(p, str) else 0
         scan = _scan(src, s, p, o, table)
         scans.append((len(scan.columns), size, i, scan))

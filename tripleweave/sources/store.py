@@ -1,63 +1,56 @@
 """A triple store in one folder.
 
-``triples`` is partitioned by property, so a property table is a partition and reading one
-prunes the rest; rows are sorted by subject within a file. ``stats``, ``filters``,
-``reduced`` and ``patterns`` are the catalog, the Bloom filters, the reduced tables and their
-statistics. Each is written by one job, whatever the number of properties.
+``triples`` holds batches of triples, each dealt over folders by a hash of the property and sorted
+by property and subject within a file: a scan reads one folder and skips, by the statistics in
+the files, whatever belongs to other properties. Properties are data, never names of folders.
+``stats``, ``filters``, ``reduced``, ``classes`` and ``patterns`` are the catalog, the Bloom
+filters, the reduced tables, their classes of rows and their statistics. Each is written by one
+job, whatever the number of properties.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleweave.operators import reductions as red
 from tripleweave.operators import stats as counts
-from tripleweave.plans.access import Reductions
-from tripleweave.sources.scratch import checkpoint
+from tripleweave.plans.access import Choice, Reductions
+from tripleweave.sources.scratch import checkpoint, staged
 from tripleweave.sources.triples import Triples
 
-TRIPLES = "sub string, obj string, prop string"
-STATS = "prop string, rows bigint, ratio double, subjects bigint, objects bigint"
-FILTERS = "prop string, side string, n_blocks bigint, block bigint, " + ", ".join(f"{w} int" for w in red.bloom.WORDS)
-REDUCED = "sub string, obj string, " + ", ".join(f"m{i} boolean" for i in range(red.MAX_COLUMNS)) + ", prop string"
-PATTERNS = red.CATALOG + ", rows bigint, vp_rows bigint, ratio double"
+# Fixed value of the layout: folders a batch or a reduced table is dealt over.
+BUCKETS = 64
 
-# Rows a file should hold: some hundred megabytes of terms.
+TRIPLES = "sub string, obj string, prop string, batch int, bucket int"
+COUNTS = "batch int, prop string, rows bigint, subjects binary, objects binary"
+SIZES = "prop string, side string, n_blocks bigint"
+FILTERS = SIZES + ", block bigint, " + ", ".join(f"{w} int" for w in red.bloom.WORDS)
+REDUCED = "sub string, obj string, class bigint, bucket int"
+RANGES = "array<struct<first: bigint, last: bigint>>"
+PATTERNS = red.CATALOG + f", rows bigint, vp_rows bigint, ratio double, run string, ranges {RANGES}"
+CLASSES = "run string, prop string, class bigint, slots array<int>, rows bigint"
+
+# Rows a file of one class should hold: some hundred megabytes of terms.
 FILE_ROWS = 5_000_000
-# Items one exact job looks up, 63 to a column; nearly always all of them.
+# Rows to a page, the least a scan of a reduced table decodes.
+PAGE_ROWS = 2_000
+# Ranges of classes a scan lists in its filter.
+LISTED_RANGES = 100
+# Items one job looks up, 63 to a column; nearly always all of them.
 JOB_ITEMS = 1_000
-# Reduced tables written by one Bloom job; each adds its joins to the plan.
-BLOOM_BATCH = 16
-
-
-def write_by_property(df: DataFrame, path: str, sizes: DataFrame, dynamic: bool = False) -> None:
-    """One folder per property, a file per ``FILE_ROWS`` rows; ``sizes`` is ``(prop, rows)``.
-
-    Large properties are hashed into as many pieces as they need before the shuffle, so a hot
-    one is written by many tasks and never drags the rare ones along into many small files.
-    """
-    pieces = F.ceil(F.col("rows") / FILE_ROWS).alias("pieces")
-    # At most one row per FILE_ROWS rows of data.
-    large = sizes.where(F.col("rows") > FILE_ROWS).select("prop", pieces).collect()
-    piece = F.lit(0)
-    if large:
-        table = df.sparkSession.createDataFrame(large, "prop string, pieces bigint")
-        df = df.join(red.small(table, len(large)), "prop", "left")
-        piece = F.coalesce(F.pmod(F.xxhash64("sub", "obj"), "pieces"), F.lit(0))
-    (
-        df.withColumn("piece", piece)
-        .hint("rebalance", "prop", "piece")
-        .sortWithinPartitions("prop", "sub")
-        .drop("pieces", "piece")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
-        .partitionBy("prop")
-        .parquet(path)
-    )
+
+
+def bucket(prop: Column) -> Column:
+    return F.pmod(F.xxhash64(prop), F.lit(BUCKETS)).cast("int")
+
+
+def _of(prop: str) -> Column:
+    """The folder and the rows of a property; the folder's number is worked out before the scan."""
+    return (F.col("bucket") == bucket(F.lit(prop))) & (F.col("prop") == prop)
 
 
 class Store(Triples):
@@ -65,45 +58,92 @@ class Store(Triples):
         self.spark = spark
         self.path = path.rstrip("/")
         self._rows: dict[str, int] = {}
-        super().__init__(self._read("triples", TRIPLES).select("sub", "prop", "obj"))
+        # A batch counts once its statistics are there; what an interrupted append left does not.
+        batches = self._read("counts", COUNTS).select("batch").distinct().collect()
+        self._batches = sorted(r["batch"] for r in batches)
+        self._triples = self._read("triples", TRIPLES).where(F.col("batch").isin(self._batches))
+        super().__init__(self._triples.select("sub", "prop", "obj"))
 
     @classmethod
     def build(cls, triples: DataFrame, path: str, dedupe: bool = False, fpp: float = red.FPP) -> Store:
-        """Write triples, statistics and filters. Repeated triples stay unless ``dedupe``."""
-        rows = triples.select("sub", "prop", "obj")
+        """Write triples, statistics and filters. Repeated triples stay unless ``dedupe``.
+
+        The input is read once. Statistics come from the written columns: exact counts and
+        mergeable sketches of the distinct subjects and objects.
+        """
+        spark, path = triples.sparkSession, path.rstrip("/")
         # What an earlier build left is void from here on, even if this one is cut short.
-        for name, schema in (("patterns", PATTERNS), ("filters", FILTERS), ("stats", STATS)):
-            empty = triples.sparkSession.createDataFrame([], schema)
-            empty.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
-        sizes = rows.groupBy("prop").agg(F.count(F.lit(1)).alias("rows"))
-        write_by_property(rows.dropDuplicates() if dedupe else rows, f"{path.rstrip('/')}/triples", sizes)
-        store = cls(triples.sparkSession, path)
-        distinct = store.frame().groupBy("prop").agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.approx_count_distinct("sub").alias("subjects"),
-            F.approx_count_distinct("obj").alias("objects"),
+        _void(spark, path, patterns=PATTERNS, classes=CLASSES, filters=FILTERS, filter_sizes=SIZES, counts=COUNTS)
+        rows = triples.select("sub", "prop", "obj")
+        _write_batch(rows.dropDuplicates() if dedupe else rows, path, 0)
+        return cls._counted(spark, path, 0, fpp)
+
+    def append(self, triples: DataFrame, dedupe: bool = False, fpp: float = red.FPP) -> Store:
+        """The store with more triples, as one more batch; statistics are merged, not recounted.
+
+        ``dedupe`` leaves out repeated triples and those the store has. Reduced tables no longer
+        hold all rows and are void; filters are made anew for the new sizes.
+        """
+        rows = triples.select("sub", "prop", "obj")
+        if dedupe:
+            same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in rows.columns]
+            rows = rows.dropDuplicates().alias("n").join(self.frame().alias("o"), same, "left_anti")
+        batch = max(self._batches, default=-1) + 1
+        _void(self.spark, self.path, patterns=PATTERNS, classes=CLASSES)
+        _write_batch(rows, self.path, batch)
+        return self._counted(self.spark, self.path, batch, fpp)
+
+    @classmethod
+    def _counted(cls, spark: SparkSession, path: str, batch: int, fpp: float) -> Store:
+        """Count a written batch, which makes it part of the store, and fit the filters to all."""
+        written = spark.read.schema(TRIPLES.replace(", batch int", "")).parquet(f"{path}/triples/batch={batch}")
+        each = written.groupBy("prop").agg(
+            F.count(F.lit(1)).alias("rows"), F.hll_sketch_agg("sub").alias("subjects"), F.hll_sketch_agg("obj").alias("objects")
         )
-        total = distinct.agg(F.sum("rows").alias("total"))
-        stats = distinct.crossJoin(F.broadcast(total)).withColumn("ratio", F.col("rows") / F.col("total"))
-        stats.select("prop", "rows", "ratio", "subjects", "objects").write.mode("overwrite").parquet(
-            f"{store.path}/stats"
+        each.select(F.lit(batch).alias("batch"), "prop", "rows", "subjects", "objects").coalesce(1).write.mode("append").parquet(
+            f"{path}/counts"
+        )
+        store = cls(spark, path)
+        red.filter_sizes(store.stats(), fpp).coalesce(1).write.mode("overwrite").parquet(f"{path}/filter_sizes")
+        filters = red.build_filters(store.frame(), store._read("filter_sizes", SIZES))
+        filters.hint("rebalance", "prop", "side").sortWithinPartitions("prop", "side", "block").write.mode("overwrite").parquet(
+            f"{path}/filters"
         )
-        filters = red.build_filters(store.frame(), store.stats(), fpp)
-        filters.hint("rebalance", "prop", "side").sortWithinPartitions("prop", "side", "block").write.mode(
-            "overwrite"
-        ).parquet(f"{store.path}/filters")
         return store
 
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
+    def scan(self, prop: str) -> DataFrame:
+        return self._triples.where(_of(prop)).select("sub", "obj")
+
+    def scan_any(self, props: Iterable[str]) -> DataFrame:
+        return self.frame_of(props).select("sub", "obj")
+
+    def frame_of(self, props: Iterable[str]) -> DataFrame:
+        wanted = sorted(set(props))
+        folders = F.col("bucket").isin([bucket(F.lit(p)) for p in wanted])
+        return self._triples.where(folders & F.col("prop").isin(wanted)).select("sub", "prop", "obj")
+
     def stats(self) -> DataFrame:
-        return self._read("stats", STATS)
+        """``prop, rows, ratio, subjects, objects`` of all batches; the last two are estimates."""
+        distinct = lambda c: F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c)
+        merged = self._read("counts", COUNTS).groupBy("prop").agg(
+            F.sum("rows").alias("rows"), distinct("subjects"), distinct("objects")
+        )
+        total = merged.agg(F.sum("rows").alias("total"))
+        return merged.crossJoin(F.broadcast(total)).select(
+            "prop", "rows", (F.col("rows") / F.col("total")).alias("ratio"), "subjects", "objects"
+        )
 
     def patterns(self) -> DataFrame:
-        """Catalog of the reduced tables: a row per pattern column, with its number of rows."""
+        """Catalog of the reduced tables: a row per pattern, with its number of rows and its ranges of classes."""
         return self._read("patterns", PATTERNS)
 
+    def classes(self) -> DataFrame:
+        """``run, prop, class, slots, rows``: which patterns keep the rows of a class."""
+        return self._read("classes", CLASSES)
+
     def reduced_tables(self) -> DataFrame:
         """``table_name, prop, rows, ratio, members, columns``: an entry per reduced table."""
         names = F.transform(F.sort_array(F.collect_list(F.struct("slot", "pattern"))), lambda s: s["pattern"])
@@ -125,74 +165,108 @@ class Store(Triples):
     def rows(self, props: Iterable[str]) -> dict[str, int]:
         new = sorted(set(props) - self._rows.keys())
         if new:
-            wanted = self.stats().where(F.col("prop").isin(new))
-            self._rows |= {p: 0 for p in new} | {r["prop"]: r["rows"] for r in wanted.select("prop", "rows").collect()}
+            wanted = self._read("counts", COUNTS).where(F.col("prop").isin(new)).groupBy("prop").agg(F.sum("rows").alias("rows"))
+            self._rows |= {p: 0 for p in new} | {r["prop"]: r["rows"] for r in wanted.collect()}
         return {p: self._rows[p] for p in props}
 
+    def filters(self) -> red.Filters:
+        return red.Filters(self._read("filters", FILTERS), self._read("filter_sizes", SIZES))
+
     def filter(self, prop: str, side: str) -> red.Bloom:
         """The stored Bloom filter of one side of a property."""
-        table = self._read("filters", FILTERS).where((F.col("prop") == prop) & (F.col("side") == side))
-        size = table.select("n_blocks").first()
-        return red.Bloom(table.select("block", *red.bloom.WORDS), size.n_blocks if size else 1)
+        mine = (F.col("prop") == prop) & (F.col("side") == side)
+        table, sizes = self.filters()
+        size = sizes.where(mine).select("n_blocks").first()
+        return red.Bloom(table.where(mine).select("block", *red.bloom.WORDS), size.n_blocks if size else 1)
 
     def add_reductions(self, catalog: DataFrame, mode: str = "exact") -> None:
         """Write the reduced tables of a catalog (``prop, slot, pattern, head, members, size``).
 
-        Properties that have one already are left as they are. A table is complete before its
-        catalog rows appear, and a repeated run overwrites what an interrupted one left.
+        Properties that have one already are left as they are. Each call writes a folder of its
+        own, which counts once its catalog rows are there: what an interrupted run left is not read.
         """
         have = self.patterns().select("prop").distinct()
         columns = ["prop", "slot", "pattern", "head", "members", "size"]
         # Read several times below, and usually the end of a mining job.
         new = checkpoint(catalog.join(have, "prop", "left_anti").select(*columns))
-        props = sorted(r["prop"] for r in new.select("prop").distinct().collect())
-        if not props:
-            return
-        path = f"{self.path}/reduced"
-        if mode == "exact":
-            for batch in self._batches(new):
-                flags = red.flag_all(self.frame(), new.where(F.col("prop").isin(batch)))
-                write_by_property(flags, path, self.stats(), dynamic=True)
-        else:
-            for i in range(0, len(props), BLOOM_BATCH):
-                batch = props[i : i + BLOOM_BATCH]
-                flags = self._bloom_flags(batch, new.where(F.col("prop").isin(batch)).collect())
-                write_by_property(flags, path, self.stats(), dynamic=True)
-        width = new.agg(F.max("slot")).first()[0] + 1
-        wanted = red.small(new.select("prop").distinct(), len(props))
-        written = self._read("reduced", REDUCED).join(wanted, "prop", "left_semi")
-        flags = written.select("prop", "sub", "obj", *[f"m{i}" for i in range(width)])
-        red.slot_stats(flags, new).write.mode("append").parquet(f"{self.path}/patterns")
+        for props in self._jobs(new):
+            self._reduce(red._among(new, "prop", props), self.filters() if mode == "bloom" else None)
+
+    def _reduce(self, catalog: DataFrame, filters: red.Filters | None) -> None:
+        run = uuid.uuid4().hex
+        wanted = catalog.select(F.explode(F.concat(F.array("prop"), F.transform("members", red.item_prop))).alias("p")).distinct()
+        frame = self.frame_of(r["p"] for r in wanted.collect())  # names of a catalog
+        # The classes must be known before rows can be sorted by them; the joins are done once.
+        signed = staged(red.signatures(frame, catalog, filters), "signed")
+        counted = staged(red.class_counts(signed), "counted")
+        classes = staged(red.number_classes(counted, catalog), "classes")
+        n = classes.count()
+        pieces = F.greatest(F.lit(1), F.ceil(F.col("rows") / FILE_ROWS))
+        named = red.small(classes.select("prop", "sig", "class", pieces.alias("pieces")), n)
+        rows = signed.join(named, ["prop", "sig"]).select(
+            "sub", "obj", "class", bucket(F.col("prop")).alias("bucket"),
+            F.pmod(F.xxhash64("sub", "obj"), "pieces").alias("piece"),
+        )
+        (
+            rows.hint("rebalance", "bucket", "class", "piece")
+            .sortWithinPartitions("bucket", "class", "sub")
+            .drop("piece")
+            .write.partitionBy("bucket")
+            .option("parquet.page.row.count.limit", PAGE_ROWS)
+            .parquet(f"{self.path}/reduced/{run}")
+        )
+        tagged = classes.select(F.lit(run).alias("run"), "prop", "class", "slots", "rows")
+        tagged.write.mode("append").parquet(f"{self.path}/classes")
+        stats = red.slot_stats(classes, catalog).withColumn("run", F.lit(run))
+        nothing = F.array().cast(RANGES)
+        ranges = F.when(F.col("rows") == 0, nothing).otherwise(F.col("ranges")).alias("ranges")
+        stats = stats.join(red.class_ranges(classes, LISTED_RANGES), ["prop", "slot"], "left").select(*stats.columns, ranges)
+        stats.write.mode("append").parquet(f"{self.path}/patterns")
 
     @staticmethod
-    def _batches(catalog: DataFrame) -> list[list[str]]:
-        """Properties whose patterns fit one exact job: ``JOB_ITEMS`` items, or one property."""
+    def _jobs(catalog: DataFrame) -> list[list[str]]:
+        """Properties whose patterns fit one job: ``JOB_ITEMS`` items, or one property."""
         asked = catalog.groupBy("prop").agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("items"))
-        batches: list[list[str]] = []
+        jobs: list[list[str]] = []
         items: set[str] = set()
         for r in asked.orderBy("prop").collect():
-            if not batches or len(items | set(r["items"])) > JOB_ITEMS:
-                batches.append([])
+            if not jobs or len(items | set(r["items"])) > JOB_ITEMS:
+                jobs.append([])
                 items = set()
-            batches[-1].append(r["prop"])
+            jobs[-1].append(r["prop"])
             items |= set(r["items"])
-        return batches
-
-    def _bloom_flags(self, props: list[str], rows: list) -> DataFrame:
-        filters = {m: self.filter(*red.split_item(m)) for m in sorted({m for r in rows for m in r["members"]})}
-        tables = []
-        for prop in props:
-            mine = [r for r in rows if r["prop"] == prop]
-            items = [[red.item(prop, r["head"]), *r["members"]] for r in mine]
-            flags = red.pattern_flags(self, prop, items, filters)
-            cols = [F.col(f"`{r['pattern']}`").alias(f"m{r['slot']}") for r in mine]
-            tables.append(flags.select("sub", F.lit(prop).alias("prop"), "obj", *cols))
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-
-    def reduced_scan(self, prop: str, slot: int) -> DataFrame:
-        """``sub, obj`` of the rows one pattern keeps: three columns read, the null test pushed down."""
-        rows = self._read("reduced", REDUCED).where(F.col("prop") == prop)
-        return rows.where(F.col(f"m{slot}").isNotNull()).select("sub", "obj")
+        return jobs
+
+    def reduced_scan(self, prop: str, choice: Choice) -> DataFrame:
+        """``sub, obj`` of the rows one pattern keeps: its ranges of classes, which are all that is decoded.
+
+        A pattern in very many ranges reads them by a semi-join with the classes instead.
+        """
+        rows = self._read(f"reduced/{choice.run}", REDUCED).where(F.col("bucket") == bucket(F.lit(prop)))
+        if choice.ranges is None:
+            mine = (F.col("run") == choice.run) & (F.col("prop") == prop) & F.array_contains("slots", choice.slot)
+            return rows.join(self.classes().where(mine).select("class"), "class", "left_semi").select("sub", "obj")
+        within = F.lit(False)
+        for first, last in choice.ranges:
+            within = within | F.col("class").between(first, last)
+        return rows.where(within).select("sub", "obj")
 
     def reductions(self, scale_ub: float = 1.0) -> Reductions:
         return Reductions(self.patterns(), self.reduced_scan, scale_ub)
+
+
+def _void(spark: SparkSession, path: str, **schemas: str) -> None:
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def _write_batch(rows: DataFrame, path: str, batch: int) -> None:
+    """One file or more per folder. Rebalancing splits a hot property and keeps rare ones together."""
+    (
+        rows.withColumn("bucket", bucket(F.col("prop")))
+        .hint("rebalance", "bucket", "prop")
+        .sortWithinPartitions("bucket", "prop", "sub")
+        .write.mode("overwrite")
+        .partitionBy("bucket")
+        .parquet(f"{path}/triples/batch={batch}")
+    )
