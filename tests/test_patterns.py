@@ -126,6 +126,24 @@ def test_optional_with_unbound_variables(frame, filtered):
     assert answer(a.optional(b, on)) == as_rows(want)
 
 
+def test_only_masks_that_occur_are_joined(frame, monkeypatch):
+    names = "stuv"
+    a = frame([("1", "2", None, None), ("1", None, "3", None), ("1", "2", "3", "4")], ", ".join(f"{v} string" for v in names))
+    b = frame([("1", None, None, "4"), ("1", "2", "3", "4"), (None, None, None, None)], ", ".join(f"{v} string" for v in [*names[1:], "w"]))
+    left, right = Pattern(a, frozenset(names[1:])), Pattern(b, frozenset([*names[1:], "w"]))
+    assert [len(pat._by_bound(p, list(names[1:]))) for p in (left, right)] == [3, 3]
+    want = [
+        merge(x, y)
+        for x in (r.asDict() for r in a.collect())
+        for y in (r.asDict() for r in b.collect())
+        if compatible(x, y)
+    ]
+    joined = left.join(right)
+    assert answer(joined) == as_rows(want)
+    empty = Pattern(a.limit(0), left.maybe).join(right)
+    assert empty.df.columns == joined.df.columns and empty.df.count() == 0
+
+
 def test_optional_without_shared_variables(frame):
     a = Pattern(frame([("1",), ("2",), ("2",)], "u string"))
     b = Pattern(frame([("2",), ("3",)], "w string"))
@@ -200,3 +218,30 @@ def test_paths(source, frame):
     assert path(source, "?x", P("likes") / P("likes"), "?x").df.count() == 2
     explicit = match(source, [("?s", "knows", "?m"), ("?m", "likes", "?o")]).project("?s", "?o")
     assert answer(path(source, "?s", P("knows") / P("likes"), "?o")) == answer(explicit)
+
+
+def test_path_steps_take_part_in_their_group(source):
+    group = [("?s", P("knows") / ~P("likes"), "?o"), ("?o", "age", '"9"')]
+    (steps,) = pat._groups(group)
+    assert steps == [("?s", "knows", "?__via0"), ("?o", "likes", "?__via0"), ("?o", "age", '"9"')]
+    assert ("0", "knows", "TRPO", ["knows_TRPO", "likes_TRPO"]) in pat.needs(steps)
+    explicit = match(source, [("?s", "knows", "?m"), ("?o", "likes", "?m"), ("?o", "age", '"9"')]).project("?s", "?o")
+    assert answer(match(source, group)) == answer(explicit)
+    # Alternatives of more than one step are groups of their own; those of single properties are one scan.
+    assert len(pat._groups([("?s", (P("knows") / P("likes")) | P("age"), "?o")])) == 2
+    assert pat._groups([("?s", P("knows") | P("age"), "?o")]) == [[("?s", ("knows", "age"), "?o")]]
+    both = match(source, [("?s", (P("knows") / P("likes")) | P("likes"), "?o"), ("?s", "knows", "?x")])
+    chain = match(source, [("?s", "knows", "?m"), ("?m", "likes", "?o"), ("?s", "knows", "?x")]).project("?s", "?o", "?x")
+    single = match(source, [("?s", "likes", "?o"), ("?s", "knows", "?x")]).project("?s", "?o", "?x")
+    assert answer(both) == sorted(answer(chain) + answer(single))
+
+
+def test_what_a_pattern_knows_of_its_variables(source):
+    a = match(source, [("?x", "knows", "?y"), ("?x", "likes", "?z")])
+    assert a.items == {"x": {"knows_TRPS", "likes_TRPS"}, "y": {"knows_TRPO"}, "z": {"likes_TRPO"}}
+    b = match(source, [("?x", "age", "?n")])
+    assert a.join(b).items["x"] == {"knows_TRPS", "likes_TRPS", "age_TRPS"}
+    assert a.optional(b).items == a.items  # nothing comes out of an optional part
+    assert a.union(b).items == {}
+    assert a.union(match(source, [("?x", "knows", "?y")])).items == {"x": {"knows_TRPS"}, "y": {"knows_TRPO"}}
+    assert a.project("?x").items == {"x": a.items["x"]}

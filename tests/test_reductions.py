@@ -9,6 +9,7 @@ from tripleweave.functions import bloom
 from tripleweave.operators import layouts, stats
 from tripleweave.operators import reductions as red
 from tripleweave.plans import access, metrics
+from tripleweave.plans.paths import P
 from tripleweave.plans.pattern import match
 from tripleweave.sources import scratch
 from tripleweave.sources import store as store_module
@@ -430,3 +431,48 @@ def test_many_items_take_several_words_and_jobs(source, monkeypatch, spark, tmp_
     got = {r.pattern: r["rows"] for r in st.patterns().where("prop = 'p'").collect()}
     assert got == {n: sum(x[2] is True for x in rows) for n, rows in expected_flags("p", PATTERNS).items()}
     assert st.patterns().where("prop = 'r'").count() == 1
+
+
+def test_outer_items_reduce_optional_parts_and_union_arms_only(source, tmp_path, spark):
+    st = Store.build(source, str(tmp_path / "outer"))
+    st.add_reductions(red.catalog_of(spark, "p", PATTERNS).unionByName(red.catalog_of(spark, "r", [["r_TRPO", "q_TRPS"]])))
+    use = st.reductions()
+
+    def rows(pattern):
+        return sorted(map(str, pattern.df.select(sorted(pattern.df.columns)).collect()))
+
+    def reduced(pattern):
+        return "/reduced/" in pattern.df._jdf.queryExecution().optimizedPlan().toString() or any("/reduced/" in f for f in pattern.df.inputFiles())
+
+    plain = lambda *group: match(st, list(group))
+    left = match(st, [("?x", "q", "?z")], use)
+    inside = match(st, [("?x", "p", "?y")], use, outer=left)
+    assert reduced(inside) and inside.assumes == {"x": {"q_TRPS"}}
+    assert rows(left.optional(inside)) == rows(plain(("?x", "q", "?z")).optional(plain(("?x", "p", "?y"))))
+    arm = match(st, [("?w", "r", "?x")], use, outer=left)
+    want = plain(("?x", "q", "?z")).join(plain(("?x", "p", "?y")).union(plain(("?w", "r", "?x"))))
+    assert reduced(arm) and rows(left.join(inside.union(arm))) == rows(want)
+    assert rows(inside.join(left)) == rows(plain(("?x", "p", "?y"), ("?x", "q", "?z")))
+    # Never out of an optional part: the outer scan is whole, and keeps the rows without a partner.
+    outside = match(st, [("?x", "p", "?y")], use)
+    assert not reduced(outside)
+    both = outside.optional(match(st, [("?x", "q", "?z")], use, outer=outside))
+    assert rows(both) == rows(plain(("?x", "p", "?y")).optional(plain(("?x", "q", "?z"))))
+    assert both.df.where("z is null").count() > 0
+    # And a reduced part is not joined to a pattern that does not keep what it was told.
+    for other in (outside, match(st, [("?w", "r", "?x")], use)):
+        with pytest.raises(ValueError):
+            other.optional(inside)
+        with pytest.raises(ValueError):
+            other.join(inside.union(arm))
+    with pytest.raises(ValueError):
+        inside.project("?y")
+
+
+def test_paths_read_reduced_tables(source, tmp_path, spark):
+    st = Store.build(source, str(tmp_path / "paths"))
+    st.add_reductions(red.catalog_of(spark, "p", [["p_TRPO", "r_TRPS"]]))
+    group = [("?a", P("p") / P("r"), "?b")]
+    answer = match(st, group, st.reductions())
+    assert any("/reduced/" in f for f in answer.df.inputFiles())
+    assert sorted(map(str, answer.df.collect())) == sorted(map(str, match(st, group).df.collect()))

@@ -1,13 +1,17 @@
-"""Property paths: ``P("a") / P("b")``, ``P("a") | P("b")``, ``~P("a")`` and any nesting."""
+"""Property paths: ``P("a") / P("b")``, ``P("a") | P("b")``, ``~P("a")`` and any nesting.
+
+A path is rewritten into triple patterns over hidden variables, so that its steps are joined in
+the order of the whole group and read reduced tables like any other pattern. A choice between
+single properties stays one scan; other alternatives become alternative groups.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tripleweave.sources.triples import Triples
+# A pattern of one alternative: the property is a name, or a tuple of names to choose from.
+Step = tuple[str, "str | tuple[str, ...]", str]
 
 
 class Path:
@@ -20,8 +24,8 @@ class Path:
     def __invert__(self) -> Path:
         return Inverse(self)
 
-    def pairs(self, source: Triples) -> DataFrame:
-        """``sub, obj``: the two ends, one row per way through."""
+    def steps(self, sub: str, obj: str, fresh: Iterator[str]) -> list[list[Step]]:
+        """The alternatives of the path from ``sub`` to ``obj``, each a list of patterns; one row per way through."""
         raise NotImplementedError
 
     def plain(self) -> list[str] | None:
@@ -33,8 +37,8 @@ class Path:
 class P(Path):
     prop: str
 
-    def pairs(self, source):
-        return source.scan(self.prop)
+    def steps(self, sub, obj, fresh):
+        return [[(sub, self.prop, obj)]]
 
     def plain(self):
         return [self.prop]
@@ -45,10 +49,10 @@ class Sequence(Path):
     first: Path
     second: Path
 
-    def pairs(self, source):
-        left = self.first.pairs(source).withColumnRenamed("obj", "__via")
-        right = self.second.pairs(source).withColumnRenamed("sub", "__via")
-        return left.join(right, "__via").select("sub", "obj")
+    def steps(self, sub, obj, fresh):
+        via = next(fresh)
+        after = self.second.steps(via, obj, fresh)
+        return [a + b for a in self.first.steps(sub, via, fresh) for b in after]
 
 
 @dataclass(frozen=True)
@@ -61,16 +65,16 @@ class Alternative(Path):
         # A property named twice counts twice, which one scan would not give.
         return a + b if a and b and not set(a) & set(b) else None
 
-    def pairs(self, source):
+    def steps(self, sub, obj, fresh):
         props = self.plain()
         if props:
-            return source.scan_any(props)
-        return self.first.pairs(source).unionByName(self.second.pairs(source))
+            return [[(sub, tuple(props), obj)]]
+        return self.first.steps(sub, obj, fresh) + self.second.steps(sub, obj, fresh)
 
 
 @dataclass(frozen=True)
 class Inverse(Path):
     path: Path
 
-    def pairs(self, source):
-        return self.path.pairs(source).select(F.col("obj").alias("sub"), F.col("sub").alias("obj"))
+    def steps(self, sub, obj, fresh):
+        return self.path.steps(obj, sub, fresh)
