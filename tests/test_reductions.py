@@ -192,12 +192,14 @@ def test_compact_table_splits_hot_subjects(source):
     whole = {r["sub"]: (r.part, r.objs) for r in layouts.compact_table(pairs).collect()}
     assert whole == {s: (0, sorted(objs)) for s, objs in want.items()}
     got = {}
-    rows = layouts.compact_table(pairs, max_list=4).collect()
+    rows = layouts.compact_table(pairs, width=4).collect()
     for r in rows:
         got.setdefault(r["sub"], []).extend(r.objs)
     assert {s: sorted(o) for s, o in got.items()} == {s: sorted(o) for s, o in want.items()}
     sizes = [len(r.objs) for r in rows if r["sub"] == "hot"]
     assert len(sizes) > 20 and statistics.mean(sizes) < 8
+    counted = {(r["sub"], r.obj): r.n for r in layouts.counted_table(pairs).collect()}
+    assert sum(counted.values()) == sum(map(len, want.values())) and all(len(want[s]) >= n for (s, _), n in counted.items())
 
 
 def test_wide_table_is_a_full_outer_join(source):

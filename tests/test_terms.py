@@ -182,6 +182,33 @@ def test_log_extraction(spark, tmp_path):
     assert got == {"a.txt": "SELECT ?a", "b.txt": "SELECT\n?b"}
     log = text.read_query_log(spark, str(tmp_path / "q" / "b.txt"))
     assert log.count() == 2 and log.select("query_id").distinct().count() == 2
+    lines = ["SELECT ?a { ?a <p> ?b }", "# a comment", "SELECT ?a { ?a <p> ?b }", "", "select * where { ?x <q> ?y }"]
+    (tmp_path / "log.txt").write_text("\n".join(lines))
+    ids = lambda: sorted(r.query_id for r in text.read_query_log(spark, str(tmp_path / "log.txt")).collect())
+    first = ids()
+    assert len(set(first)) == 5 and all(i.startswith("log.txt#") for i in first)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20")
+    try:
+        assert ids() == first  # however the file is cut
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.value for r in text.rejected_queries(spark, str(tmp_path / "log.txt")).collect()] == ["# a comment"]
+
+
+def test_a_comment_may_follow_the_dot(spark):
+    lines = ["<s> <p> <o> .", "<s> <p> <o> . # note", "<s> <p> <o>", "<s> <p> <o> # no dot .", "s p o .", "s p o", 's p "x" . # y .']
+    frame = spark.createDataFrame([(x,) for x in lines], "value string")
+    got = sorted(r.value for r in text.convert_prefixes(frame, {}).collect())
+    assert got == ['s p "x" .', "s p o .", "s p o .", "s p o ."]
+
+
+def test_long_numbers_compare_exactly(frame):
+    big = 12345678901234567890
+    rows = frame([(f'"{big}"', f'"{big + 1}"'), (f'"{big}"', f'"{big}.0"'), ('"1e3"', '"1000"'), ('"9"', '"10"'), ('"x"', '"10"')], "a string, b string")
+    less = [r[0] for r in rows.select(f.compare("?a", "<", "?b")).collect()]
+    same = [r[0] for r in rows.select(f.compare("?a", "=", "?b")).collect()]
+    assert less == [True, False, False, True, False] and same == [False, True, True, False, False]
+    assert [r[0] for r in rows.select(f.compare("?b", ">", big)).collect()] == [True, False, False, False, False]
 
 
 def test_prefix_table_from_file(spark, tmp_path):

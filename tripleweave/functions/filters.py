@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import operator
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,10 @@ _OPS = {
 }
 
 
+# Digits that a double tells apart in any number.
+DOUBLE_DIGITS = 15
+
+
 def _is_number(x) -> bool:
     return isinstance(x, (int, float)) and not isinstance(x, bool)
 
@@ -52,7 +58,7 @@ def compare(left, op: str, right) -> Column:
     """Numbers by value, other terms by text; two variables by value when both are numbers."""
     fn = _OPS[op]
     if _is_number(left) or _is_number(right):
-        return fn(number(left), number(right))
+        return _by_value(fn, left, right)
     a, b = term(left), term(right)
     constants = [x for x in (left, right) if isinstance(x, str) and not x.startswith("?")]
     if constants and op in ("=", "!="):
@@ -60,7 +66,26 @@ def compare(left, op: str, right) -> Column:
     by_text = fn(a, b) if op in ("=", "!=") else fn(terms.lexical(a), terms.lexical(b))
     if constants:
         return by_text
-    return F.coalesce(fn(terms.numeric(a), terms.numeric(b)), by_text)
+    return F.coalesce(_by_value(fn, a, b), by_text)
+
+
+def _by_value(fn, left, right) -> Column:
+    """Compare as doubles, or as decimals where both are spelled with more digits than a double holds."""
+    doubles = fn(number(left), number(right))
+    sides = [x for x in (left, right) if not _is_number(x)]
+    if any(isinstance(x, float) for x in (left, right)):
+        return doubles
+    long = [F.length(terms.lexical(term(x))) > DOUBLE_DIGITS for x in sides]
+    long += [F.lit(len(str(abs(x))) > DOUBLE_DIGITS) for x in (left, right) if _is_number(x)]
+    exact = fn(_decimal(left), _decimal(right))
+    return F.when(reduce(lambda a, b: a | b, long), F.coalesce(exact, doubles)).otherwise(doubles)
+
+
+def _decimal(x) -> Column:
+    if _is_number(x):
+        return F.lit(str(x)).try_cast("decimal(38,12)")
+    text = terms.lexical(term(x))
+    return F.when(text.rlike(r"^[+-]?\d{1,26}(?:\.\d{1,12})?$"), text.try_cast("decimal(38,12)"))
 
 
 def bound(x) -> Column:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tripleweave.operators.workload import query_properties
 
-# Vectors sent to the tasks at a time: 50,000 of 100 floats are 20 MB.
-BLOCK = 50_000
+# Bytes of vectors to a block; a task holds two blocks at a time.
+BLOCK = 32 << 20
 # Rows a task multiplies with a block at a time.
 ROWS = 256
 
@@ -36,14 +36,16 @@ def learn(
     min_count: int = 1,
     window: int = 1,
     step_size: float = 0.025,
-    partitions: int | None = None,
+    partitions: int = 8,
     seed: int = 42,
 ) -> DataFrame:
-    """``prop, vector``: word2vec over the property lists, trained on as many tasks as the session has."""
-    tasks = partitions or words.sparkSession.sparkContext.defaultParallelism
+    """``prop, vector``: word2vec over the property lists, trained in that many parts.
+
+    The vectors depend on the number of parts, so it is an argument and not the cluster's size.
+    """
     model = Word2Vec(
         inputCol="words", vectorSize=vector_size, minCount=min_count, windowSize=window,
-        stepSize=step_size, numPartitions=tasks, seed=seed,
+        stepSize=step_size, numPartitions=partitions, seed=seed,
     ).fit(words)
     return model.getVectors().select(F.col("word").alias("prop"), vector_to_array("vector", "float32").alias("vector"))
 
@@ -54,47 +56,47 @@ def _unit(vectors) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
-def _top(rows: pd.DataFrame, others: np.ndarray, right: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` best of a block for each row; ``others`` is sorted, so ties go by name."""
-    names = rows["prop"].to_numpy()
-    scores = _unit(rows["vector"]) @ right.T
-    scores[names[:, None] == others[None, :]] = -np.inf
-    at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    out = pd.DataFrame(
-        {
-            "prop": np.repeat(names, at.shape[1]),
-            "other": others[at].ravel(),
-            "similarity": np.take_along_axis(scores, at, axis=1).ravel(),
-        }
-    )
-    return out[np.isfinite(out["similarity"])]
+def _top(left: pd.DataFrame, right: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+    """The ``k`` best of one block for each row of another; ties go by name."""
+    right = right.sort_values("prop", kind="stable")
+    others, columns = right["prop"].to_numpy(), _unit(right["vector"]).T
+    for at in range(0, len(left), ROWS):
+        rows = left.iloc[at : at + ROWS]
+        names = rows["prop"].to_numpy()
+        scores = _unit(rows["vector"]) @ columns
+        scores[names[:, None] == others[None, :]] = -np.inf
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame(
+            {
+                "prop": np.repeat(names, best.shape[1]),
+                "other": others[best].ravel(),
+                "similarity": np.take_along_axis(scores, best, axis=1).ravel(),
+            }
+        )
+        yield out[np.isfinite(out["similarity"])]
 
 
 def nearest(vectors: DataFrame, k: int = 10) -> DataFrame:
-    """``prop, other, similarity``: the ``k`` most similar other properties of each, by cosine.
+    """``prop, other, similarity``: the ``k`` most similar other properties of each, by cosine; exact.
 
-    The vocabulary is compared block by block: a block is sent to all tasks, each multiplies
-    it with its own rows and keeps ``k`` per row, and the winners of the blocks are merged.
+    The vocabulary is dealt into blocks of ``BLOCK`` bytes. Every block meets every block in a
+    group of its own, where the product is taken and ``k`` per row are kept; the winners of the
+    blocks are merged. Nothing passes through the driver, and a task never holds more than two blocks.
     """
-    spark = vectors.sparkSession
-    n_blocks = -(-vectors.count() // BLOCK)
-    best = None
-    for i in range(max(1, n_blocks)):
-        block = vectors.where(F.pmod(F.xxhash64("prop"), F.lit(max(1, n_blocks))) == i)
-        rows = block.select("prop", "vector").orderBy("prop").collect()
-        names = np.array([r["prop"] for r in rows], dtype=object)
-        matrix = spark.sparkContext.broadcast((names, _unit(r["vector"] for r in rows)))
-
-        def top(batches: Iterator[pd.DataFrame], matrix=matrix) -> Iterator[pd.DataFrame]:
-            others, right = matrix.value
-            if not len(others):
-                return
-            for pdf in batches:
-                for at in range(0, len(pdf), ROWS):
-                    yield _top(pdf.iloc[at : at + ROWS], others, right, k)
-
-        found = vectors.select("prop", "vector").mapInPandas(top, "prop string, other string, similarity double")
-        best = found if best is None else best.unionByName(found)
+    own = vectors.where("vector is not null").select("prop", "vector")
+    size = own.agg(F.sum(F.size("vector").cast("bigint") * 8)).first()[0] or 0
+    n = max(1, -(-size // BLOCK))
+    mine = F.pmod(F.xxhash64("prop"), F.lit(n))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = own.select("*", mine.alias("i"), every.alias("j"))
+    right = own.select("*", mine.alias("j"), every.alias("i"))
+
+    def top(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = list(_top(a, b, k)) if len(a) and len(b) else []
+        return pd.concat(found) if found else pd.DataFrame(columns=["prop", "other", "similarity"]).astype({"similarity": "float64"})
+
+    grouped = left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
+    best = grouped.applyInPandas(top, "prop string, other string, similarity double")
     rank = F.row_number().over(Window.partitionBy("prop").orderBy(F.col("similarity").desc(), "other"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 

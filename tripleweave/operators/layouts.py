@@ -7,38 +7,38 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Objects a list may hold before a subject is spread over several rows.
-MAX_LIST = 100_000
-
-
 def vp(triples: DataFrame, prop: str) -> DataFrame:
     """The two-column table of one property."""
     return triples.where(F.col("prop") == prop).select("sub", "obj")
 
 
-def compact_table(pairs: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
-    """``sub, part, objs``: the objects of a subject as a sorted list, repeats included.
+def counted_table(pairs: DataFrame) -> DataFrame:
+    """``sub, obj, n``: each object of a subject once, with its number of repeats. No row grows with the data."""
+    return pairs.groupBy("sub", "obj").agg(F.count(F.lit(1)).alias("n"))
+
 
-    ``part`` is 0 unless the subject has more than ``max_list`` objects: those are hashed into
-    as many parts as they need, so that no row and no task holds an unbounded list.
+def lists(counted: DataFrame, width: int | None = None) -> DataFrame:
+    """``sub, part, objs``: the objects of a subject as sorted lists, repeats included.
+
+    Of n objects, n / ``width`` lists are made, rounded up, and objects are dealt over them by a
+    hash; without a width there is one list. The rule is the same for every subject.
     """
-    counted = pairs.groupBy("sub", "obj").agg(F.count(F.lit(1)).alias("n"))
-    hot = (
-        counted.groupBy("sub")
-        .agg(F.sum("n").alias("total"))
-        .where(F.col("total") > max_list)
-        .select("sub", F.ceil(F.col("total") / max_list).alias("parts"))
-    )
-    # One copy count per piece, at most max_list copies each.
-    pieces = F.expr(f"sequence(0L, cast((n - 1) div {max_list} as bigint))")
-    spread = counted.join(hot, "sub", "left").select("sub", "obj", "n", "parts", F.explode(pieces).alias("piece"))
-    copies = F.least(F.lit(max_list), F.col("n") - F.col("piece") * max_list).cast("int")
-    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("obj", "piece"), F.col("parts")))
-    return (
-        spread.select("sub", part.cast("int").alias("part"), F.array_repeat("obj", copies).alias("objs"))
-        .groupBy("sub", "part")
-        .agg(F.sort_array(F.flatten(F.collect_list("objs"))).alias("objs"))
-    )
+    if width is None:
+        each = counted.select("sub", F.lit(0).alias("part"), F.array_repeat("obj", F.col("n").cast("int")).alias("objs"))
+    else:
+        parts = counted.groupBy("sub").agg(F.ceil(F.sum("n") / width).alias("parts"))
+        # An object repeated more often than a list holds is cut into pieces first.
+        pieces = F.expr(f"sequence(0L, cast((n - 1) div {width} as bigint))")
+        spread = counted.select("sub", "obj", "n", F.explode(pieces).alias("piece")).join(parts, "sub")
+        copies = F.least(F.lit(width), F.col("n") - F.col("piece") * width).cast("int")
+        part = F.pmod(F.xxhash64("obj", "piece"), F.col("parts")).cast("int")
+        each = spread.select("sub", part.alias("part"), F.array_repeat("obj", copies).alias("objs"))
+    return each.groupBy("sub", "part").agg(F.sort_array(F.flatten(F.collect_list("objs"))).alias("objs"))
+
+
+def compact_table(pairs: DataFrame, width: int | None = None) -> DataFrame:
+    """:func:`lists` of a two-column table."""
+    return lists(counted_table(pairs), width)
 
 
 def wide_table(tables: dict[str, DataFrame]) -> DataFrame:

@@ -51,6 +51,14 @@ def compact_table(spark, sf):
     return lists.select("sub", "part", F.array_join("objs", " ").alias("objs"))
 
 
+@query(
+    """select 'order/' || l_orderkey as sub, 'part/' || l_partkey as obj, count(*) as n
+       from lineitem where l_returnflag = 'R' group by all"""
+)
+def counted_table(spark, sf):
+    return layouts.counted_table(triples(spark, sf).scan("ord__returnedPart"))
+
+
 @query(
     """with big as (select 'order/' || o_orderkey as sub from orders where o_totalprice > 450000),
        ret as (select 'order/' || l_orderkey as sub, 'part/' || l_partkey as part from lineitem where l_returnflag = 'R')
@@ -294,6 +302,21 @@ def unbound_optional(spark, sf):
     return docs.optional(match(src, [("?d", "doc__toxic", "?q")])).project("?d", "?q").df
 
 
+@query(
+    """with a as (select d.doc_id, quality as q, toxic as t from documents d left join labels l on d.doc_id = l.doc_id and toxic = 0),
+       b as (select distinct quality as q, toxic as t from labels union all select distinct quality, null from labels)
+       select 'doc/' || doc_id as d, '"' || b.q || '"' as q, '"' || coalesce(a.t, b.t) || '"' as t
+       from a join b on (a.q = b.q or a.q is null) and (a.t = b.t or a.t is null or b.t is null)"""
+)
+def unbound_masks(spark, sf):
+    """Two variables that either side may leave unbound."""
+    src = triples(spark, sf)
+    labels = match(src, [("?d", "doc__quality", "?q"), ("?d", "doc__toxic", "?t")])
+    docs = match(src, [("?d", "doc__lang", "?l")]).project("?d").optional(labels.where(f.compare("?t", "=", '"0"')))
+    combos = labels.project("?q", "?t").distinct().union(labels.project("?q").distinct())
+    return docs.join(combos).project("?d", "?q", "?t").df
+
+
 # -- Filters ---------------------------------------------------------------------------------
 
 
@@ -331,6 +354,25 @@ def filter_variables(spark, sf):
     return docs.where(f.compare("?q", "=", "?t")).project("?d").df
 
 
+@query(
+    """select 'doc/' || d.doc_id as d, '"' || lang || '"' as l
+       from documents d left join labels l on d.doc_id = l.doc_id where quality is not null or lang = 'fr'"""
+)
+def filter_bound(spark, sf):
+    src = triples(spark, sf)
+    docs = match(src, [("?d", "doc__lang", "?l")]).optional(match(src, [("?d", "doc__quality", "?q")]))
+    return docs.where(f.bound("?q") | f.compare("?l", "=", '"fr"')).project("?d", "?l").df
+
+
+@query("select 'order/' || o_orderkey as o from orders where o_orderkey > 20")
+def filter_long_numbers(spark, sf):
+    """Numbers that a double can't tell apart."""
+    orders = match(triples(spark, sf), [("?o", "ord__status", "?s")])
+    key = F.regexp_extract("o", r"\d+", 0)
+    long = orders.df.withColumn("n", F.concat(F.lit('"1234567890123'), F.lpad(key, 12, "0"), F.lit('"')))
+    return long.where(f.compare("?n", ">", int(f"1234567890123{20:012d}"))).select("o")
+
+
 @query("select 'part/' || p_partkey as p, '\"' || p_name || '\"' as n from part where p_name like 'red %'")
 def filter_regex(spark, sf):
     return match(triples(spark, sf), [("?p", "part__name", "?n")]).where(f.regex("?n", "^RED ", "i")).df

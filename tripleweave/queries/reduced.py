@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tripleweave.operators import reductions as red
 from tripleweave.operators import workload as w
 from tripleweave.plans import access
-from tripleweave.plans.pattern import match
+from tripleweave.plans.paths import P
+from tripleweave.plans.pattern import match, needs
 from tripleweave.queries import query
 from tripleweave.queries.fixtures import SQL_COUNTS, table, triples
 from tripleweave.sources import scratch
@@ -190,15 +191,15 @@ SQL_PAIRS = """with pairs as (
          union all select 'ord__customer', 'OS', 'cust__segment',
            (select count(*) from orders where o_custkey in (select c_custkey from customer)),
            (select count(*) from orders)
-         union all select 'ord__part', 'OO', 'ord__returnedPart',
-           (select count(*) from lineitem where l_partkey in (select l_partkey from lineitem where l_returnflag = 'R')),
+         union all select 'ord__supplier', 'OO', 'supp__lead',
+           (select count(*) from lineitem where l_suppkey in (select s_suppkey - s_suppkey % 10 from supplier)),
            (select count(*) from lineitem))"""
 
 PAIRS = [
     (("doc__lang", SUB), ("doc__quality", SUB)),
     (("supp__nation", SUB), ("supp__lead", OBJ)),
     (("ord__customer", OBJ), ("cust__segment", SUB)),
-    (("ord__part", OBJ), ("ord__returnedPart", OBJ)),
+    (("ord__supplier", OBJ), ("supp__lead", OBJ)),
 ]
 
 
@@ -221,24 +222,30 @@ def smallest_table(spark, sf):
 
 # -- Which table a scan reads, and how much that saves ---------------------------------------
 
-# Three queries as scans and what their join variables demand.
-SCANS = [
-    ("big", "big.customer", "ord__customer"),
-    ("big", "big.big", "ord__big"),
-    ("big", "big.part", "ord__part"),
-    ("returned", "returned.customer", "ord__customer"),
-    ("returned", "returned.part", "ord__returnedPart"),
-    ("plain", "plain.customer", "ord__customer"),
-]
-NEEDS = [
-    ("big.customer", "ord__customer", SUB, ["ord__big_TRPS", "ord__customer_TRPS", "ord__part_TRPS"]),
-    ("big.part", "ord__part", SUB, ["ord__big_TRPS", "ord__customer_TRPS", "ord__part_TRPS"]),
-    ("returned.customer", "ord__customer", SUB, ["ord__customer_TRPS", "ord__returnedPart_TRPS"]),
-    ("plain.customer", "ord__customer", OBJ, ["cust__nation_TRPS", "ord__customer_TRPO"]),
-]
+# Three queries; their scans and what the join variables demand follow from the patterns.
+QUERIES = {
+    "big": [("?o", "ord__customer", "?c"), ("?o", "ord__big", "?b"), ("?o", "ord__part", "?p")],
+    "returned": [("?o", "ord__customer", "?c"), ("?o", "ord__returnedPart", "?p")],
+    "plain": [("?o", "ord__customer", "?c"), ("?c", "cust__nation", "?n")],
+}
+
+
+def _scan_id(name: str, group: list[tuple], i: int) -> str:
+    return f"{name}.{group[i][1].partition('__')[2]}"
+
+
+def _scans() -> list[tuple]:
+    return [(name, _scan_id(name, group, i), group[i][1]) for name, group in QUERIES.items() for i in range(len(group))]
+
+
+def _needs() -> list[tuple]:
+    return [(_scan_id(name, group, int(i)), *rest) for name, group in QUERIES.items() for i, *rest in needs(group)]
+
+
 SQL_SIZES = """with big as (select o_orderkey as k from orders where o_totalprice > 450000),
        ret as (select distinct l_orderkey as k from lineitem where l_returnflag = 'R'),
        n as (select (select count(*) from orders) as ords, (select count(*) from lineitem) as lines,
+         (select count(*) from customer) as custs,
          (select count(*) from lineitem where l_returnflag = 'R') as rets, (select count(*) from big) as bigs,
          (select count(*) from lineitem where l_orderkey in (select k from big)) as big_lines,
          (select count(*) from orders where o_orderkey in (select k from ret)) as ret_ords)"""
@@ -251,8 +258,8 @@ SQL_SIZES = """with big as (select o_orderkey as k from orders where o_totalpric
         union all select 'returned.customer', 'ord__customer_TRPS_JOIN_ord__returnedPart_TRPS', ret_ords, ords from n"""
 )
 def best_pattern(spark, sf):
-    needs = spark.createDataFrame(NEEDS, access.NEEDS)
-    return access.best_pattern(store(spark, sf).patterns(), needs).select("scan_id", "pattern", "rows", "vp_rows")
+    asked = spark.createDataFrame(_needs(), access.NEEDS)
+    return access.best_pattern(store(spark, sf).patterns(), asked).select("scan_id", "pattern", "rows", "vp_rows")
 
 
 @query(
@@ -260,14 +267,14 @@ def best_pattern(spark, sf):
         r as (
           select 'big' as query_id, 3 as scans, ords + bigs + lines as vp_rows, bigs + bigs + big_lines as reduced_rows from n
           union all select 'returned', 2, ords + rets, ret_ords + rets from n
-          union all select 'plain', 1, ords, ords from n)
+          union all select 'plain', 2, ords + custs, ords + custs from n)
         select query_id, cast(scans as bigint) as scans, vp_rows, reduced_rows, round(reduced_rows / vp_rows, 6) as ratio from r"""
 )
 def reduction_report(spark, sf):
     st = store(spark, sf)
-    scans = spark.createDataFrame(SCANS, "query_id string, scan_id string, prop string")
-    needs = spark.createDataFrame(NEEDS, access.NEEDS)
-    report = access.reduction_report(scans, needs, st.patterns(), st.stats())
+    scans = spark.createDataFrame(_scans(), "query_id string, scan_id string, prop string")
+    asked = spark.createDataFrame(_needs(), access.NEEDS)
+    report = access.reduction_report(scans, asked, st.patterns(), st.stats())
     return report.withColumn("ratio", F.round("ratio", 6))
 
 
@@ -308,10 +315,67 @@ def reduced_optional(spark, sf):
     return orders.optional(match(st, [("?o", "ord__big", "?b")], st.reductions())).df
 
 
+@query(
+    """select 'order/' || o_orderkey as o, 'part/' || l_partkey as p
+       from orders left join lineitem on l_orderkey = o_orderkey where o_totalprice > 450000"""
+)
+def reduced_optional_inside(spark, sf):
+    """The optional part reads only the parts of big orders."""
+    st = store(spark, sf)
+    big = match(st, [("?o", "ord__big", "?b")], st.reductions())
+    parts = match(st, [("?o", "ord__part", "?p")], st.reductions(), outer=big)
+    return big.optional(parts).project("?o", "?p").df
+
+
+@query(
+    """select 'order/' || o_orderkey as o, 'part/' || l_partkey as p, cast(null as varchar) as c
+       from orders join lineitem on l_orderkey = o_orderkey where o_totalprice > 450000
+       union all select 'order/' || o_orderkey, null, 'customer/' || o_custkey from orders where o_totalprice > 450000"""
+)
+def reduced_union_inside(spark, sf):
+    """Both arms read only what belongs to big orders."""
+    st = store(spark, sf)
+    big = match(st, [("?o", "ord__big", "?b")], st.reductions())
+    parts = match(st, [("?o", "ord__part", "?p")], st.reductions(), outer=big)
+    customers = match(st, [("?o", "ord__customer", "?c")], st.reductions(), outer=big)
+    return big.join(parts.union(customers)).project("?o", "?p", "?c").df
+
+
+@query(
+    """select 'order/' || a.o_orderkey as a, 'order/' || b.o_orderkey as b
+       from orders a join orders b on a.o_custkey = b.o_custkey
+       where a.o_totalprice > 450000 and b.o_totalprice > 450000"""
+)
+def reduced_path(spark, sf):
+    """The steps of a path read the customers of big orders only."""
+    st = store(spark, sf)
+    group = [("?a", P("ord__customer") / ~P("ord__customer"), "?b"), ("?a", "ord__big", "?x"), ("?b", "ord__big", "?y")]
+    return match(st, group, st.reductions()).project("?a", "?b").df
+
+
+@query(
+    """select 'ord__customer' as prop, count(*) as rows, cast(min(o_orderkey) as varchar) as first, cast(max(o_orderkey) as varchar) as last from orders
+       union all select 'cust__nation', count(*), cast(min(c_custkey) as varchar), cast(max(c_custkey) as varchar) from customer"""
+)
+def store_append(spark, sf):
+    """A store that grows by batches, the last of which repeats what is there and is left out."""
+    src = triples(spark, sf)
+    rows = src.frame_of(["ord__customer", "cust__nation"])
+    half = F.pmod(F.xxhash64("sub"), F.lit(2)) == 0
+    grown = Store.build(rows.where(half), scratch.new_path(spark, "grows")).append(rows.where(~half)).append(rows, dedupe=True)
+    key = F.regexp_extract("sub", r"\d+", 0).cast("bigint")
+    spans = grown.frame().groupBy("prop").agg(F.min(key).cast("string").alias("first"), F.max(key).cast("string").alias("last"))
+    return grown.stats().select("prop", "rows").join(spans, "prop")
+
+
 # -- Bloom filters ---------------------------------------------------------------------------
 
 
-@query("select count(*) as probes, cast(0 as bigint) as lost, true as within_bound from orders")
+@query(
+    """with m as (select distinct o_custkey from orders where o_totalprice > 450000)
+       select count(*) as probes, cast(0 as bigint) as lost, count(*) filter (o_custkey in (select o_custkey from m)) as found,
+              true as within_bound from orders"""
+)
 def bloom_filter(spark, sf):
     """Customers with big orders in a filter, all orders probed: none lost, few extra."""
     src = triples(spark, sf)
@@ -326,6 +390,7 @@ def bloom_filter(spark, sf):
     return probed.agg(
         F.count(F.lit(1)).alias("probes"),
         F.count_if(~outside & F.col("maybe").isNull()).alias("lost"),
+        F.count_if(~outside & F.col("maybe").isNotNull()).alias("found"),
         (extra <= F.lit(2 * red.FPP) * F.count_if(outside) + 10).alias("within_bound"),
     )
 
@@ -356,28 +421,87 @@ def bloom_semi(spark, sf):
 
 # -- From a workload to reduced tables -------------------------------------------------------
 
-# Logged queries over the orders, as patterns.
-LOGGED = [
-    [("?o", "ord__big", "?b"), ("?o", "ord__customer", "?c"), ("?o", "ord__price", "?p")],
-    [("?o", "ord__big", "?b"), ("?o", "ord__customer", "?c"), ("?c", "cust__segment", "?s")],
-    [("?d", "doc__quality", "?q"), ("?d", "doc__lang", "?l")],
-]
+# Every set of these with ord__customer is a pattern of it: 255 in all.
+COMPANIONS = ["ord__big", "ord__date", "ord__part", "ord__price", "ord__priority", "ord__returnedPart", "ord__status", "ord__supplier"]
+SQL_COMPANIONS = ", ".join(f"({i}, '{p}_{SUB}')" for i, p in enumerate(COMPANIONS))
 
 
 @query(
-    f"""{SQL_SIZES}
-        select 'ord__customer' as prop, 'ord__customer_TRPS_JOIN_ord__big_TRPS' as pattern, bigs as rows from n
-        union all select 'ord__customer', 'ord__customer_TRPS_JOIN_ord__big_TRPS_JOIN_ord__price_TRPS', bigs from n
-        union all select 'ord__customer', 'ord__customer_TRPS_JOIN_ord__price_TRPS', ords from n
-        union all select 'ord__customer', 'ord__customer_TRPO_JOIN_cust__segment_TRPS', ords from n"""
+    f"""with m(i, item) as (values {SQL_COMPANIONS}),
+       o as (
+         select 2 + 8 + 16 + 64 + case when o_totalprice > 450000 then 1 else 0 end
+           + case when o_orderkey in (select l_orderkey from lineitem) then 4 + 128 else 0 end
+           + case when o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R') then 32 else 0 end as b from orders),
+       k as (select b, count(*) as n from o group by b),
+       s as (
+         select n, bit_count(n) as size, 'ord__customer_{SUB}_JOIN_' || string_agg(item, '_JOIN_' order by i) as pattern
+         from (select unnest(range(1, 256)) as n), m where (n >> i) & 1 = 1 group by n)
+       select cast(row_number() over (order by size, pattern) - 1 as integer) as slot, pattern,
+              (select cast(coalesce(sum(k.n), 0) as bigint) from k where k.b & s.n = s.n) as rows from s"""
+)
+def reduced_all_patterns(spark, sf):
+    """More patterns of a property than fit any word of bits, smallest first, all stored."""
+    st = Store.build(triples(spark, sf).frame_of(["ord__customer", *COMPANIONS]), scratch.new_path(spark, "wide"))
+    sets = [[p for i, p in enumerate(COMPANIONS) if n >> i & 1] for n in range(1, 1 << len(COMPANIONS))]
+    items = [[red.item(p, SUB) for p in ["ord__customer", *chosen]] for chosen in sets]
+    st.add_reductions(red.catalog_of(spark, "ord__customer", items))
+    return st.patterns().select("slot", "pattern", "rows")
+
+
+LOG_SUPPORT = 0.001
+
+
+def _log(spark, sf) -> DataFrame:
+    """A query per order: its customer, and what else depends on the order."""
+    def triple(sub, prop, obj, where="true"):
+        return f"if({where}, struct('{sub}' as sub, '{prop}' as prop, '{obj}' as obj), null)"
+
+    patterns = [
+        triple("?o", "ord__customer", "?c"),
+        triple("?o", "ord__big", "?b", "o_totalprice > 450000"),
+        triple("?o", "ord__returnedPart", "?p", "o_orderstatus = 'F'"),
+        triple("?c", "cust__segment", "?s", "o_orderpriority = '1-URGENT'"),
+        triple("?c", "cust__nation", "?n", "o_orderstatus = 'O'"),
+    ]
+    return table(spark, sf, "orders").selectExpr("o_orderkey as query_id", f"inline(array_compact(array({', '.join(patterns)})))")
+
+
+@query(
+    f"""with f as (
+         select 2 + case when o_totalprice > 450000 then 1 else 0 end + case when o_orderstatus = 'F' then 4 else 0 end as o,
+                4 + case when o_orderstatus = 'O' then 1 else 0 end + case when o_orderpriority = '1-URGENT' then 2 else 0 end as c
+         from orders),
+       t as (select 'o' as v, o as b from f where bit_count(o) > 1 union all select 'c', c from f where bit_count(c) > 1),
+       s as (
+         select t.v, r.n from t, (select unnest(range(1, 8)) as n) r where bit_count(r.n) > 1 and t.b & r.n = r.n
+         group by t.v, r.n having count(*) >= (select ceil({LOG_SUPPORT} * count(*)) from t)),
+       m(v, i, item) as (values ('o', 0, 'ord__big_TRPS'), ('o', 1, 'ord__customer_TRPS'), ('o', 2, 'ord__returnedPart_TRPS'),
+         ('c', 0, 'cust__nation_TRPS'), ('c', 1, 'cust__segment_TRPS'), ('c', 2, 'ord__customer_TRPO')),
+       ret as (select l_orderkey as k, count(*) as n from lineitem where l_returnflag = 'R' group by l_orderkey),
+       ord as (
+         select o_custkey, 2 + case when o_totalprice > 450000 then 1 else 0 end + case when ret.n is null then 0 else 4 end as b,
+                coalesce(ret.n, 0) as returned
+         from orders left join ret on k = o_orderkey),
+       cus as (
+         select 3 + case when n is null then 0 else 4 end as b, coalesce(n, 0) as orders
+         from customer left join (select o_custkey, count(*) as n from orders group by o_custkey) on o_custkey = c_custkey),
+       w as (
+         select 'o' as v, b, 0 as i, count(*) as rows from ord group by b
+         union all select 'o', b, 1, count(*) from ord group by b union all select 'o', b, 2, sum(returned) from ord group by b
+         union all select 'c', b, 0, count(*) from cus group by b
+         union all select 'c', b, 1, count(*) from cus group by b union all select 'c', b, 2, sum(orders) from cus group by b),
+       h as (select s.v, s.n, m.i, m.item as head from s join m on s.v = m.v and (s.n >> m.i) & 1 = 1),
+       p as (
+         select h.v, h.n, h.i, h.head, h.head || '_JOIN_' || string_agg(m.item, '_JOIN_' order by m.item) as pattern
+         from h join m on h.v = m.v and (h.n >> m.i) & 1 = 1 and m.i <> h.i group by h.v, h.n, h.i, h.head)
+       select regexp_replace(head, '_TRP[SO]$', '') as prop, pattern,
+              cast(coalesce((select sum(rows) from w where w.v = p.v and w.i = p.i and w.b & p.n = p.n), 0) as bigint) as rows
+       from p"""
 )
 def reductions_from_workload(spark, sf):
-    """Mine the log, propose by co-occurrence, build the reduced tables, read their statistics."""
-    rows = [(i, *triple) for i, group in enumerate(LOGGED) for triple in group]
-    log = spark.createDataFrame(rows, "query_id int, sub string, prop string, obj string")
-    txns = w.transactions(w.join_patterns(log))
-    matching = w.matching_patterns(w.frequent(txns, 0.0), w.propose_cooccurrence(txns))
-    props = ["ord__big", "ord__customer", "ord__price", "cust__segment", "doc__quality", "doc__lang"]
-    st = Store.build(triples(spark, sf).frame_of(props), scratch.new_path(spark, "mined"))
+    """Mine the log, propose by co-occurrence, build the reduced tables of all properties, read their statistics."""
+    txns = w.transactions(w.join_patterns(_log(spark, sf)))
+    matching = w.matching_patterns(w.frequent(txns, LOG_SUPPORT), w.propose_cooccurrence(txns))
+    st = Store.build(triples(spark, sf).frame(), scratch.new_path(spark, "mined"))
     st.add_reductions(red.number_slots(matching))
-    return st.patterns().where(F.col("prop") == "ord__customer").select("prop", "pattern", "rows")
+    return st.patterns().select("prop", "pattern", "rows")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tripleweave.functions import prefixes, terms
 from tripleweave.operators import workload as w
 from tripleweave.queries import query
-from tripleweave.queries.fixtures import SQL_COUNTS, table, triples
-from tripleweave.sources import text
+from tripleweave.queries.fixtures import PROPERTIES, SQL_COUNTS, table, triples
+from tripleweave.sources import scratch, text
 
 ORDER = "http://db.uwaterloo.ca/~galuc/wsdbm/Order"
 OFFERS = "http://purl.org/goodrelations/"
@@ -20,9 +20,26 @@ def _iri(namespace: str, key: Column) -> Column:
     return F.concat(F.lit(f"<{namespace}"), key, F.lit(">"))
 
 
-@query(SQL_COUNTS.replace("as n from", "as rows from").join(["select prop, rows from (", ") where rows > 0"]))
+SQL_TEXTS = " union all ".join(
+    f"""select '{prop}' as prop, count(*) as rows, count(distinct {sub}) as subjects, sum(length({obj})) as chars
+        from {spec[0]} where {spec[3] if len(spec) > 3 else 'true'}"""
+    for prop, spec, sub, obj in [
+        ("ord__customer", PROPERTIES["ord__customer"], "o_orderkey", "'kind__customer/' || o_custkey"),
+        ("ord__big", PROPERTIES["ord__big"], "o_orderkey", "'\"true\"'"),
+        ("ord__returnedPart", PROPERTIES["ord__returnedPart"], "l_orderkey", "'kind__part/' || l_partkey"),
+        ("doc__label", PROPERTIES["doc__label"], "doc_id", "'\"' || source || '\"@' || lang"),
+        ("part__name", PROPERTIES["part__name"], "p_partkey", "'\"' || p_name || '\"'"),
+        ("user__view", PROPERTIES["user__view"], "user_id", "'kind__event/' || event_id"),
+    ]
+)
+
+
+@query(
+    f"""with t as ({SQL_TEXTS}), n as ({SQL_COUNTS})
+        select prop, n as rows, subjects, cast(chars as bigint) as chars from n left join t using (prop) where n > 0"""
+)
 def nt_parse(spark, sf):
-    """All triples as N-Triples text, parsed back and counted."""
+    """All triples as N-Triples text, parsed back: rows, and of some properties subjects and characters of objects."""
     frame = triples(spark, sf).frame()
     lines = text.render(
         frame.select(
@@ -34,7 +51,12 @@ def nt_parse(spark, sf):
         )
     )
     parsed = text.parse_triples(lines, None, NAMES)
-    return parsed.groupBy(F.substring_index("prop", "__", -2).alias("prop")).agg(F.count(F.lit(1)).alias("rows"))
+    prop = F.substring_index("prop", "__", -2).alias("prop")
+    counted = parsed.groupBy(prop).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("sub").alias("subjects"), F.sum(F.length("obj")).alias("chars")
+    )
+    known = F.col("prop").isin("ord__customer", "ord__big", "ord__returnedPart", "doc__label", "part__name", "user__view")
+    return counted.select("prop", "rows", *[F.when(known, F.col(c)).alias(c) for c in ("subjects", "chars")])
 
 
 @query(
@@ -71,6 +93,9 @@ def convert_prefixes(spark, sf):
             "value"
         )
     )
+    # A comment behind the dot changes nothing.
+    noted = F.when(F.length("value") % 2 == 0, F.concat("value", F.lit(" # noted."))).otherwise(F.col("value"))
+    lines = lines.select(noted.alias("value"))
     unfinished = table(spark, sf, "region").select(F.concat(F.lit("<a> <b> "), "r_name").alias("value"))
     return text.convert_prefixes(lines.unionByName(unfinished), prefixes.WATDIV)
 
@@ -159,3 +184,36 @@ def triple_pattern_lists(spark, sf):
     )
     queries = table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"), text_.alias("query"))
     return w.triple_patterns(queries, NAMES)
+
+
+def _logged(spark, sf):
+    """A log of one query per order: what its parts' brands are."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    triple = F.format_string("?o k:%s ?x%d .", F.translate("p_brand", "#", "_"), "l_linenumber")
+    body = F.array_join(F.array_sort(F.collect_list(triple)), " ")
+    head = "PREFIX k: <http://example.org/part/> SELECT * WHERE { "
+    return lines.groupBy("l_orderkey").agg(F.concat(F.lit(head), body, F.lit(" }")).alias("value"))
+
+
+@query("select 'part__' || replace(p_brand, '#', '_') as prop, count(*) as freq from lineitem join part on l_partkey = p_partkey group by 1")
+def query_log_file(spark, sf):
+    """The log as text files, with lines that are no queries, read back."""
+    path = scratch.new_path(spark, "log")
+    noise = table(spark, sf, "region").select(F.concat(F.lit("# "), "r_name").alias("value"))
+    text.write_lines(_logged(spark, sf).select("value").unionByName(noise), path)
+    queries = text.read_query_log(spark, path)
+    return w.property_freq(w.triple_patterns(queries, {"part": "http://example.org/part/"}))
+
+
+@query(
+    """select 'nat__region' as prop, 'region/' || n_regionkey as obj, count(*) as queries
+       from nation where n_nationkey <> 0 group by all"""
+)
+def query_directory(spark, sf):
+    """A file per query, with a line break in it, and one file that is no query."""
+    path = scratch.new_path(spark, "queries")
+    asked = F.format_string("PREFIX k: <http://example.org/nat/>\nSELECT ?n\nWHERE { ?n k:region <region/%d> }", "n_regionkey")
+    files = table(spark, sf, "nation").select(F.when(F.col("n_nationkey") == 0, "not a query").otherwise(asked).alias("value"))
+    files.write.option("maxRecordsPerFile", 1).text(path)
+    found = w.triple_patterns(text.read_query_dir(spark, path), {"nat": "http://example.org/nat/"})
+    return found.groupBy("prop", "obj").agg(F.count_distinct("query_id").alias("queries"))

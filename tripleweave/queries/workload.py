@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tripleweave.operators import embedding
+from tripleweave.operators import embedding, stats
 from tripleweave.operators import workload as w
 from tripleweave.queries import query
 from tripleweave.queries.fixtures import SQL_USES, query_patterns, table
@@ -71,6 +72,19 @@ def property_freq(spark, sf):
     return w.property_freq(query_patterns(spark, sf))
 
 
+@query(
+    """select 'ord__' || l_returnflag as prop, count(*) as freq from lineitem
+       where l_returnflag in (select 'R') group by 1"""
+)
+def property_freq_stored(spark, sf):
+    """Of the properties a log names, only those of the catalog count."""
+    log = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("query_id"), F.lit("?o").alias("sub"), F.concat(F.lit("ord__"), "l_returnflag").alias("prop"), F.lit("?x").alias("obj")
+    )
+    held = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.lit("ord__R").alias("prop"))
+    return w.property_freq(log, stats.vp_stats(held))
+
+
 @query(f"with {SQL_USES} select q as query_id, var, item, n from joins where total > 1")
 def join_patterns(spark, sf):
     return w.join_patterns(query_patterns(spark, sf))
@@ -208,6 +222,20 @@ def embedding_neighbours(spark, sf):
     return embedding.nearest(_vectors(spark, sf), 10)
 
 
+@query(
+    """with v as (select vec_id, embedding::double[] as e from embeddings),
+       s as (select a.vec_id, list_cosine_similarity(a.e, b.e) as c from v a join v b on a.vec_id <> b.vec_id)
+       select cast(vec_id as varchar) as prop, cast(row_number() over (partition by vec_id order by c desc) as integer) as rank,
+              round(c, 6) as similarity
+       from s qualify row_number() over (partition by vec_id order by c desc) <= 10"""
+)
+def nearest_vectors(spark, sf):
+    """The ten nearest of every vector of a table."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("prop"), F.col("embedding").alias("vector"))
+    rank = F.row_number().over(Window.partitionBy("prop").orderBy(F.desc("similarity")))
+    return embedding.nearest(vectors, 10).select("prop", rank.alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
 @query()
 def propose_embedding(spark, sf):
     proposals = embedding.propose_embedding(_vectors(spark, sf), 10)

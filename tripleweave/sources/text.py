@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripleweave.functions import prefixes as tables
@@ -44,23 +44,24 @@ NODE = (
 BARE = r'(?:[^\s<"#._]|\.\S|_(?!:))'  # how any other term begins
 
 
-def _object(field: Column, sep: str | None, strict: bool) -> Column:
+def _object(field: Column, sep: str | None, strict: bool, closed: bool) -> Column:
     """The object at the start of the rest of a line, null unless only a dot and a comment follow.
 
     A bare term keeps a dot that is not set apart from it; with a separator it may hold spaces.
     """
-    node = rf"^({NODE})\s*\.{'' if strict else '?'}\s*(?:#.*)?$"
-    bare = rf"^({BARE}{'.*?' if sep else r'\S*'})(?:\s+\.)?(?:\s+#.*)?\s*$"
+    node = rf"^({NODE})\s*\.{'' if closed else '?'}\s*(?:#.*)?$"
+    dot = r"\s+\." if closed else r"(?:\s+\.)?"
+    bare = rf"^({BARE}{'.*?' if sep else r'\S*'}){dot}(?:\s+#.*)?\s*$"
     found = F.nullif(F.regexp_extract(field, node, 1), F.lit(""))
     return found if strict else F.coalesce(found, F.nullif(F.regexp_extract(field, bare, 1), F.lit("")))
 
 
-def _fields(lines: DataFrame, sep: str | None, strict: bool) -> DataFrame:
+def _fields(lines: DataFrame, sep: str | None, strict: bool, closed: bool) -> DataFrame:
     """``value, sub, prop, obj``: a line's first two fields and the object after them, null if there is none."""
     line = F.ltrim(F.col("value"), F.lit(BLANK))
     parts = lines.select("value", F.split(line, sep or r"\s+", 3).alias("parts"))
     get = [F.get("parts", F.lit(i)) for i in range(3)]
-    return parts.select("value", get[0].alias("sub"), get[1].alias("prop"), _object(get[2], sep, strict).alias("obj"))
+    return parts.select("value", get[0].alias("sub"), get[1].alias("prop"), _object(get[2], sep, strict, closed).alias("obj"))
 
 
 def _is_triple(strict: bool) -> Column:
@@ -71,26 +72,30 @@ def _is_triple(strict: bool) -> Column:
 
 
 def parse_triples(
-    lines: DataFrame, sep: str | None = None, prefixes: Mapping[str, str] = tables.GENERIC, strict: bool = False
+    lines: DataFrame,
+    sep: str | None = None,
+    prefixes: Mapping[str, str] = tables.GENERIC,
+    strict: bool = False,
+    closed: bool = False,
 ) -> DataFrame:
     """``sub, prop, obj`` from lines of triple text; ``sep="\\t"`` lets terms hold spaces.
 
-    A comment may follow the closing dot. Without ``strict`` the dot may be missing and terms
-    may be bare (compacted names, numbers). Comments, blank lines and lines that are no triple
+    A comment may follow the closing dot, which ``closed`` and ``strict`` ask for; without
+    ``strict`` terms may be bare (compacted names, numbers). Comments, blank lines and lines that are no triple
     give no row (see :func:`rejected`).
     """
     names = ("sub", "prop", "obj")
     terms_ = [F.trim(n) if sep else F.col(n) for n in names]
     triple = F.struct(*[t.alias(n) for t, n in zip(terms_, names)])
     # As a generator of no or one row: a filter would be pushed down and split the line again.
-    found = _fields(lines, sep, strict).select(F.inline(F.when(_is_triple(strict), F.array(triple))))
+    found = _fields(lines, sep, strict, strict or closed).select(F.inline(F.when(_is_triple(strict), F.array(triple))))
     return found.select(*[terms.compact_column(F.col(n), prefixes).alias(n) for n in names])
 
 
 def rejected(lines: DataFrame, sep: str | None = None, strict: bool = False) -> DataFrame:
     """The lines :func:`parse_triples` leaves out, comments and blank lines aside."""
     line = F.trim(F.col("value"), F.lit(BLANK))
-    fields = _fields(lines.where(~line.startswith("#") & (line != "")), sep, strict)
+    fields = _fields(lines.where(~line.startswith("#") & (line != "")), sep, strict, strict)
     return fields.where(~F.coalesce(_is_triple(strict), F.lit(False))).select("value")
 
 
@@ -107,7 +112,7 @@ def render(triples: DataFrame, end: str = " .") -> DataFrame:
 
 def convert_prefixes(lines: DataFrame, prefixes: Mapping[str, str]) -> DataFrame:
     """N-Triples lines with compacted terms; lines that do not end a triple with a dot are dropped."""
-    return render(parse_triples(lines.where(F.rtrim("value").endswith(".")), None, prefixes))
+    return render(parse_triples(lines, None, prefixes, closed=True))
 
 
 def clean_dbpedia(lines: DataFrame, prefixes: Mapping[str, str] = tables.DBPEDIA) -> DataFrame:
@@ -150,6 +155,7 @@ def write_lines(lines: DataFrame, path: str, compression: str | None = "gzip") -
 
 def extract_query(line: Column) -> Column:
     """The query text of an access-log line, null when there is none."""
+    # What the clean-up replaces, and by what.
     decoded = F.regexp_replace(F.try_url_decode(line), r"[\r\n]", " ")
     query = F.regexp_extract(decoded, LOG_QUERY, 2)
     query = F.regexp_replace(query, r"\+", " ")
@@ -170,11 +176,31 @@ def log_queries(lines: DataFrame) -> DataFrame:
     return queries.where(F.col("query").isNotNull())
 
 
+# Whether a line holds a query with a pattern that can be mined.
+QUERY = r"(?i)\bselect\b.*\{.*\}"
+
+
 def read_query_log(spark: SparkSession, path: str) -> DataFrame:
-    """``query_id, query``: one query per line."""
-    return spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("query_id"), F.col("value").alias("query")
-    )
+    """``query_id, query``: one query per line; :func:`rejected_queries` lists lines that hold none.
+
+    An id is made of the file's name, the line and a number for its repeats in the file, so it is
+    the same whenever and however the file is read.
+    """
+    lines = _log_lines(spark, path)
+    # Repeats of a line are alike, so any order numbers them the same.
+    nth = F.row_number().over(Window.partitionBy("file", "value").orderBy(F.lit(0)))
+    key = F.concat_ws("#", "file", F.sha2("value", 256), nth.cast("string"))
+    return lines.select(key.alias("query_id"), F.col("value").alias("query"))
+
+
+def rejected_queries(spark: SparkSession, path: str) -> DataFrame:
+    """``file, value``: the lines of a log that hold no query, blank lines aside."""
+    lines = _log_lines(spark, path)
+    return lines.where(~F.col("value").rlike(QUERY) & (F.trim("value") != ""))
+
+
+def _log_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
 
 
 def read_query_dir(spark: SparkSession, path: str) -> DataFrame:
