@@ -39,7 +39,8 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
     or rows is cut into pieces (there are at most ``3 * 32 * shards`` such groups). Groups are
     packed by tasks that each fill all shards to their own level, so nothing passes through one
     place. Slots: a group's place among those of its task in its shard, after the rows of the
-    tasks before. Null and empty texts are one group of size 16; repeated rows keep a row each.
+    tasks before. Null and empty texts are one group of size 16; repeated rows, also of one id or of a null id in
+    bulk, keep a row each and are cut like any other; an empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = written(
@@ -49,6 +50,8 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
             F.crc32(text).alias("text_crc32"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"),
             F.xxhash64(text, F.octet_length(text)).alias("digest"),
+            # Written with the sizes, so it stays; tells apart rows that are alike in all else.
+            F.monotonically_increasing_id().alias("row"),
         ),
         "sizes",
     )
@@ -61,10 +64,10 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
     pieces = F.ceil(F.greatest(*[F.col(c) / F.lit(m) for c, m in most.items()])).cast("int")
     heavy = groups.select(*group, pieces.alias("pieces")).where("pieces > 1")
     cut = rows.join(F.broadcast(heavy), group, "left").withColumn(
-        "piece", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.lit(0)).cast("int")
+        "piece", F.coalesce(F.pmod(F.xxhash64("row"), F.col("pieces")), F.lit(0)).cast("int")
     )
     parts = [*group, "piece"]
-    light = written(cut.select("doc_id", "size", "tokens", *parts), "pieces")
+    light = written(cut.select("doc_id", "row", "size", "tokens", *parts), "pieces")
     vectors = light.groupBy(*parts).agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     tasks = max(1, math.ceil((total["groups"] + heavy.count()) / PER_TASK))
 
@@ -92,7 +95,7 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
     offsets = filled.select("task", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     homes = placed.drop("n").join(offsets, ["task", "shard"]).select(*parts, "shard", (F.col("begin") + F.col("offset")).alias("begin"))
     # A piece is at most 1/32 of a shard, so numbering its rows is a bounded sort.
-    own = Window.partitionBy(*parts).orderBy("doc_id")
+    own = Window.partitionBy(*parts).orderBy("doc_id", "row")
     return light.join(written(homes, "homes"), parts).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("begin") + F.row_number().over(own) - 1).cast("long").alias("slot"),
