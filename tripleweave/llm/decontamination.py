@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.llm.tables import portions
+from tripleweave.llm.tables import portions, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -159,27 +159,24 @@ class Index:
                 text = int(np.searchsorted(firsts, place, side="right")) - 1
                 for item, number, times in self.homes[size][h]:
                     hits.setdefault((text, item), []).append((place, number, times))
-        lengths: dict[int, set[int]] = {}
-        for text, item in hits:
-            lengths.setdefault(text, set()).add(self.lengths[item])
         for (text, item), places in hits.items():
             first, last, whole = int(firsts[text]), int(lasts[text]), self.weights[item].total()
             # No window shares more than the text does, and it must share SIMILARITY of the item.
             times = {number: most for _, number, most in places}
             if sum(min(n, times[k]) for k, n in Counter(k for _, k, _ in places).items()) < SIMILARITY * whole:
                 continue
-            for length in lengths[text]:
-                window = self.best(item, places, last, length)
-                if window is None:
-                    continue
-                value, begin, end = window
-                like = lambda a: similarity(shingles(data[begins[a] : ends[min(a + length, last) - 1]].split()), self.weights[item])  # noqa: B023, E731
-                value = like(begin)
-                while begin > first and value and like(begin - 1) == value:
-                    begin -= 1
-                if value >= SIMILARITY:
-                    best = (value, -(begin - first), min(begin + length, last) - begin)
-                    out[text][self.ids[item]] = max(best, out[text].get(self.ids[item], best))
+            length = self.lengths[item]
+            window = self.best(item, places, last, length)
+            if window is None:
+                continue
+            value, begin, end = window
+            like = lambda a: similarity(shingles(data[begins[a] : ends[min(a + length, last) - 1]].split()), self.weights[item])  # noqa: B023, E731
+            value = like(begin)
+            while begin > first and value and like(begin - 1) == value:
+                begin -= 1
+            if value >= SIMILARITY:
+                best = (value, -(begin - first), min(begin + length, last) - begin)
+                out[text][self.ids[item]] = max(best, out[text].get(self.ids[item], best))
         return out
 
 
@@ -199,18 +196,21 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, similarity, first_word, n_words)``: documents with a window like an item.
 
-    Words are lower-cased runs of letters and digits. For every item, all windows of its number
-    of words (and of other items' that share a shingle with the document; fewer at the end of the
-    text) that share a shingle of five words with it are compared, wherever they begin; a window
-    without one has similarity zero. Those with a weighted shingle similarity of 0.8 or more are
+    Words are lower-cased runs of letters and digits. For every item, all windows of its own number
+    of words (fewer at the end of the text) that share a shingle of five words with it are compared,
+    wherever they begin; a window without one has similarity zero. What other items there are plays no part. Those with a weighted shingle similarity of 0.8 or more are
     matches. One row per document and item, its best window, the first of equal ones.
     Documents without a match, null and empty texts give no row. Items of fewer than five words
     are one shingle; items that are null or have no word match nothing; a repeated item id keeps
     its best match per broadcast of ``ITEMS``.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
+    return _matches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, pa.int64())
+
+
+def _matches(rows: DataFrame, benchmark: DataFrame, kind: pa.DataType) -> DataFrame:
+    """:func:`leaks` of ``rows(doc_id, text)``, whose ids are of the given kind."""
+    spark = rows.sparkSession
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id long, similarity double, first_word long, n_words long"
     out = spark.createDataFrame([], schema)
     for index in indexes(benchmark):
         held = spark.sparkContext.broadcast(index)
@@ -222,7 +222,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for doc, matches in zip(ids, held.value.scan(batch.column("text").to_pylist()), strict=True):
                     found += [(doc, item, v, -first, n) for item, (v, first, n) in sorted(matches.items())]
                 if found:
-                    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+                    kinds = [kind, pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)],
                         ["doc_id", "item_id", "similarity", "first_word", "n_words"],
@@ -233,19 +233,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a match, columns as they are."""
+    """The rows of ``docs`` without a match, columns as they are. Rows are judged by their texts, whatever their ids."""
+    # Only digests and texts go to Python, and digests of texts with a match come back.
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    found = _matches(docs.select(digest.alias("doc_id"), "text"), benchmark, pa.binary())
+    found = written(found.select(F.col("doc_id").alias("_digest")).distinct(), "leaks")
     names = [f"_{i}" for i in range(len(docs.columns))]
-    at = names[docs.columns.index("text")]
-    rows = docs.toDF(*names)
-    for index in indexes(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                named = pa.RecordBatch.from_arrays(batch.columns + [batch.column(at)], [*batch.schema.names, "text"])
-                for part in portions(iter([named]), PORTION):
-                    free = [not found for found in held.value.scan(part.column("text").to_pylist())]
-                    yield part.select(batch.schema.names).filter(pa.array(free))
-
-        rows = rows.mapInArrow(run, rows.schema)
-    return rows.toDF(*docs.columns)
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], digest.alias("_digest"))
+    return own.join(found, "_digest", "left_anti").select(*names).toDF(*docs.columns)
