@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ SAMPLE = 20_000  # labelled documents the classifier learns from, the first by h
 SUPPORT = 5  # labelled documents a feature occurs in, at least
 GAIN = 10.0  # log-likelihood ratio of a feature, at least; chance alone gives 1 on average
 TOKEN = r"\p{L}+|[^\p{L}\s]+"  # words and runs of signs apart
+WRITTEN = 6  # steps of the descent after which rates are written
 ALWAYS = ""  # stands in every document, with the weights of a document without features
 
 
@@ -75,95 +78,112 @@ def classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return written(top.select("token", present.alias("weights")).union(always), "classifier")
 
 
-def posteriors(docs: DataFrame, model: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of each row with ``_n`` (tokens) and ``_p`` (posterior per domain)."""
-    keep = ["doc_id"] if keep is None else keep
-    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")
-    cut = docs.select(F.monotonically_increasing_id().alias("_at"), row, _tokens(F.col("text")).alias("_tokens"))
+def posteriors(docs: DataFrame, model: DataFrame, name: Column) -> DataFrame:
+    """``_id`` (``name``), ``_n`` (tokens) and ``_p`` (posterior per domain) of every row; texts are not shuffled."""
+    # The number only holds a row's tokens together within this job.
+    cut = docs.select(F.monotonically_increasing_id().alias("_row"), name.alias("_id"), _tokens(F.col("text")).alias("_tokens"))
     spread = cut.select(
-        "_at", "_row", F.size("_tokens").cast("long").alias("_n"),
+        "_row", "_id", F.size("_tokens").cast("long").alias("_n"),
         F.explode(F.concat(F.array(F.lit(ALWAYS)), F.array_distinct("_tokens"))).alias("_token"),
     )
     # The model has tokens of at most SAMPLE documents; those it doesn't know are gone before the shuffle.
     scored = spread.join(F.broadcast(model), F.col("_token") == F.col("token"))
-    sums = scored.groupBy("_at", "_row", "_n").agg(
+    sums = scored.groupBy("_row", "_id", "_n").agg(
         *[F.sum(F.col("weights")[i]).alias(f"_w{i}") for i in range(len(DOMAINS))]
     )
     highest = F.greatest(*[F.col(f"_w{i}") for i in range(len(DOMAINS))])
     raised = [F.exp(F.col(f"_w{i}") - highest) for i in range(len(DOMAINS))]
     whole = sum(raised[1:], raised[0])
-    return sums.select("_row.*", "_n", F.array(*[r / whole for r in raised]).alias("_p"))
+    return sums.select("_id", "_n", F.array(*[r / whole for r in raised]).alias("_p"))
 
 
-def _rate(steps: list[list[float]]) -> Column:
-    """The rate after the given steps, from a rate of one: each adds its momentum, goes down the
-    gradient along the document's posterior, and is cut at zero."""
-    if not steps:
-        return F.lit(1.0)
-    moves = F.from_json(F.lit(str(steps)), "array<array<double>>")
-    start = F.struct(F.lit(1.0).alias("now"), F.lit(1.0).alias("ahead"))
+class Fit(NamedTuple):
+    """``rows`` with the rate ``_now``; the misses of the targets, relative to the totals at a rate of one; the steps taken."""
 
-    def move(state: Column, step: Column) -> Column:
-        slope = sum((F.col("_p")[i] * step[i] for i in range(1, len(DOMAINS))), F.col("_p")[0] * step[0])
-        now = F.greatest(F.lit(0.0), state["ahead"] - slope)
-        return F.struct(now.alias("now"), (now + step[len(DOMAINS)] * (now - state["now"])).alias("ahead"))
+    rows: DataFrame
+    misses: dict[str, float]
+    steps: int
+    converged: bool
 
-    return F.aggregate(moves, start, move)
 
-
-def fit(rows: DataFrame, targets: Mapping[str, float], most: int = 40, close: float = 1e-3) -> list[list[float]]:
-    """The steps of a projected gradient descent on the sum of squared misses of the targets.
+def fit(rows: DataFrame, targets: Mapping[str, float], most: int = 1000, close: float = 1e-3) -> Fit:
+    """Rates by a projected gradient descent on the sum of squared misses of the targets.
 
     ``rows`` has ``_n`` and ``_p``. A miss counts relative to the domain's total at a rate of one,
     and a document's rate moves by its posterior times the misses. In that metric the curvature
-    is at most one, so the step is one. Each step sums expected totals over all documents; only
-    one number per domain reaches the driver.
+    is at most one, so the step is one. Rates start at one; each step adds their momentum, goes
+    down the gradient and cuts at zero. Rates are written every ``WRITTEN`` steps, so that a step
+    repeats only the few since. Each sums expected totals over all documents; only one number per
+    domain reaches the driver.
+
+    It ends when all misses are below ``close`` or a step changes none of them by a tenth of that.
+    A descent that does not end within ``most`` steps is reported by a warning.
     """
-    totals = lambda rate: [
+    totals = lambda state: [
         x or 0.0
-        for x in rows.agg(*[F.sum(F.col("_n") * F.col("_p")[i] * rate) for i in range(len(DOMAINS))]).first()
+        for x in state.agg(*[F.sum(F.col("_n") * F.col("_p")[i] * F.col("_ahead")) for i in range(len(DOMAINS))]).first()
     ]
-    natural = totals(F.lit(1.0))
-    steps: list[list[float]] = []
-    ahead = natural
-    pace, last = 1.0, [math.inf] * len(DOMAINS)
-    for _ in range(most):
+    state = rows.withColumns({"_now": F.lit(1.0), "_ahead": F.lit(1.0)})
+    recent: list[list[float]] = []
+    ahead = natural = totals(state)
+    pace, last, steps, ended = 1.0, [math.inf] * len(DOMAINS), 0, False
+    while True:
         miss = [(ahead[i] - targets[d]) / max(natural[i], 1.0) for i, d in enumerate(DOMAINS)]
-        if max(abs(m) for m in miss) < close or max(abs(m - x) for m, x in zip(miss, last, strict=True)) < close / 10:
+        ended = max(abs(m) for m in miss) < close or max(abs(m - x) for m, x in zip(miss, last, strict=True)) < close / 10
+        if ended or steps == most:
             break
         last = miss
         later = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
-        steps.append([*miss, (pace - 1) / later])
-        pace = later
-        ahead = totals(_rate(steps)["ahead"])
-    return steps
-
-
-def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], keep: list[str] | None = None, as_found: bool = False) -> DataFrame:
-    """The columns ``keep`` of every row with ``n_tokens``, a posterior per domain, ``rate`` and ``copies``.
+        recent.append([*miss, (pace - 1) / later])
+        if len(recent) == WRITTEN:
+            state, recent = written(_moved(state, recent), "rates"), []
+        pace, steps = later, steps + 1
+        ahead = totals(_moved(state, recent))
+    misses = dict(zip(DOMAINS, miss, strict=True))
+    if not ended:
+        warnings.warn(f"rates have not settled in {most} steps; misses are {misses}", stacklevel=2)
+    return Fit(_moved(state, recent).drop("_ahead"), misses, steps, ended)
+
+
+def _moved(state: DataFrame, steps: list[list[float]]) -> DataFrame:
+    """``state`` with its rates after the given steps, each a slope per domain and the momentum."""
+    for slopes in steps:
+        slope = sum((F.col("_p")[i] * slopes[i] for i in range(1, len(DOMAINS))), F.col("_p")[0] * slopes[0])
+        moved = state.withColumn("_next", F.greatest(F.lit(0.0), F.col("_ahead") - slope))
+        momentum = F.col("_next") + slopes[len(DOMAINS)] * (F.col("_next") - F.col("_now"))
+        state = moved.select("_id", "_n", "_p", F.col("_next").alias("_now"), momentum.alias("_ahead"))
+    return state
+
+
+def rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], name: Column, as_found: bool = False) -> Fit:
+    """The rate of each row of ``docs(doc_id, text)``, called ``name``.
 
     ``weights`` are the domains' shares of as many tokens as there are; with ``as_found`` they
-    multiply what each domain has. ``copies`` is the rate rounded up or down by a hash of the
-    row, so that it is right on average; ``kept`` rounds to the nearest. Empty and null texts
-    have no tokens and the posteriors of a document without features.
+    multiply what each domain has.
     """
-    keep = ["doc_id"] if keep is None else keep
-    model = classifier(docs, labels)
-    rows = posteriors(docs, model, keep).toDF(*[f"_c{i}" for i in range(len(keep))], "_n", "_p")
-    rows = written(rows, "posteriors")
-    found = [x or 0.0 for x in rows.agg(*[F.sum(F.col("_n") * F.col("_p")[i]) for i in range(len(DOMAINS))]).first()]
+    known = written(posteriors(docs, classifier(docs, labels), name), "posteriors")
+    found = [x or 0.0 for x in known.agg(*[F.sum(F.col("_n") * F.col("_p")[i]) for i in range(len(DOMAINS))]).first()]
     scale = found if as_found else [sum(found) / max(sum(weights.values()), 1e-12)] * len(DOMAINS)
-    steps = fit(rows, {d: weights[d] * scale[i] for i, d in enumerate(DOMAINS)})
-    rate = _rate(steps)["now"] if steps else F.lit(1.0)
-    chance = F.pmod(F.xxhash64("_c0", "_n"), F.lit(1 << 20)) / float(1 << 20)
-    rated = rows.withColumn("_rate", rate)
-    return rated.select(
-        *[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)],
+    return fit(known, {d: weights[d] * scale[i] for i, d in enumerate(DOMAINS)})
+
+
+def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], as_found: bool = False) -> DataFrame:
+    """``doc_id`` of every row with ``n_tokens``, a posterior per domain, ``rate`` and ``copies``.
+
+    ``copies`` is the rate rounded up or down by a hash of the row, so that it is right on
+    average; ``kept`` rounds to the nearest. Null and empty texts have no tokens and the
+    posteriors of a document without features; a row per row, so repeated rows get equal rates; a
+    null id stays null and has no label; an empty table gives no rows; other columns are ignored.
+    """
+    fitted = rates(docs.select("doc_id", "text"), labels, weights, F.col("doc_id"), as_found)
+    chance = F.pmod(F.xxhash64("_id", "_n"), F.lit(1 << 20)) / float(1 << 20)
+    return fitted.rows.select(
+        F.col("_id").alias("doc_id"),
         F.col("_n").alias("n_tokens"),
         *[F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)],
-        F.col("_rate").alias("rate"),
-        F.floor(F.col("_rate") + chance).cast("long").alias("copies"),
-        F.floor(F.col("_rate") + 0.5).cast("long").alias("kept"),
+        F.col("_now").alias("rate"),
+        F.floor(F.col("_now") + chance).cast("long").alias("copies"),
+        F.floor(F.col("_now") + 0.5).cast("long").alias("kept"),
     )
 
 
@@ -173,9 +193,15 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float]) -> D
     ``weights`` multiply what each domain has, so a weight of one keeps a domain as found and a
     weight of zero leaves out what belongs to it. Columns as they are.
     """
-    names = [f"d{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*names)
-    own = rows.select(*names, *[rows[n].alias(c) for n, c in zip(names, docs.columns, strict=True) if c in ("doc_id", "text")])
-    rated = mix(own, labels, weights, names, as_found=True)
-    repeats = rated.where("kept > 0").select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "kept")).alias("_k"))
-    return repeats.select(*names).toDF(*docs.columns)
+    # Rows of one text have one rate, so a digest of the text finds it, and nothing is shuffled but
+    # digests as long as few rows are left out or repeated.
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    fitted = rates(docs.select("doc_id", "text"), labels, weights, digest, as_found=True)
+    kept = F.floor(F.col("_now") + 0.5).cast("long").alias("_kept")
+    # Most rows stay once; only the others have to be looked up.
+    other = written(fitted.rows.select(F.col("_id").alias("_digest"), kept).where("_kept <> 1").distinct(), "others")
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], digest.alias("_digest"))
+    times = F.coalesce("_kept", F.lit(1).cast("long"))
+    found = own.join(other, "_digest", "left").select(*names, times.alias("_times")).where("_times > 0")
+    return found.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("_k")).select(*names).toDF(*docs.columns)
