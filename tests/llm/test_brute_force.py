@@ -8,10 +8,13 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tripleweave.llm import decontamination, exchange, mixing, ppm, quality, sharding, simhash
+from test_nearcopies import kept_by_all_pairs
+from tripleweave.llm import decontamination, exchange, mixing, ppm, quality, sharding
 from tripleweave.llm.ship import ship
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -194,7 +197,16 @@ def test_pipeline(spark, tmp_path, texts):
     ship(spark)
     all_, items = leaky([(i, t) for i, t in texts if i is not None])
     all_ += [(200, "damned slur " * 3 + " ".join(f"bad{j}" for j in range(30)))]
+    # Copies at a similarity of about 0.9, which share few fingerprint bits, and at 0.6.
+    rng = np.random.default_rng(8)
+    for first, edits in ((310, 2), (320, 12)):
+        words = [f"near{x}" for x in rng.integers(0, 5000, 200)]
+        near = list(words)
+        for p in range(edits):
+            near[p * 200 // edits + 3] = "changed"
+        all_ += [(first, " ".join(words)), (first + 1, " ".join(near))]
     folder = str(tmp_path)
+    before = spark.conf.get(corpus_pipeline.BATCH[0], None)
     source = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in all_], "doc_id long, text string, lang string, source string, n_chars long")
     source.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
@@ -203,14 +215,9 @@ def test_pipeline(spark, tmp_path, texts):
 
     passed = {r.doc_id for r in quality.ledger(source).collect() if r.failed == 0}
     left = sorted({(i, t) for i, t in all_ if i in passed})
-    prints = {i: simhash.fingerprint((t or "").encode()) for i, t in left}
-    group = {i: i for i in prints}
-    for _ in prints:
-        for a in prints:
-            for b in prints:
-                if bin(prints[a] ^ prints[b]).count("1") <= 2:
-                    group[a] = min(group[a], group[b])
-    left = [(i, t) for i, t in left if group[i] == i]
+    alone = kept_by_all_pairs(left)
+    assert {310, 311} & alone == {310} and {320, 321} <= alone
+    left = [(i, t) for i, t in left if i in alone]
     left = [(i, t) for i, t in left if not leaking(t, items)]
     mixed = mixing.mix(spark.createDataFrame(left, "doc_id long, text string"), labels, corpus_pipeline.WEIGHTS, as_found=True)
     copies = {r.doc_id: r.kept for r in mixed.collect()}
@@ -221,3 +228,110 @@ def test_pipeline(spark, tmp_path, texts):
         start += len(ids)
     got = corpus_pipeline.run(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
     assert sorted(map(tuple, got.collect())) == want and 20 < len(want) < len(all_)
+    assert spark.conf.get(corpus_pipeline.BATCH[0], None) == before
+
+
+def plain_mixture(rows, labels, weights, as_found):
+    """Posteriors and rates one document at a time."""
+    tokens = {i: regex.findall(r"\p{L}+|[^\p{L}\s]+", (t or "").lower()) for i, t in rows}
+    known = {}
+    for i, q, t in labels:
+        if i in tokens:
+            known[i] = min(known.get(i, (q, t)), (q, t))
+    domain = {i: "toxic" if t == 1 else "clean" if q == 1 else "poor" for i, (q, t) in known.items()}
+    n = Counter(domain.values())
+    total = len(domain)
+    seen = defaultdict(Counter)
+    for i, d in domain.items():
+        for x in set(tokens[i]):
+            seen[x][d] += 1
+    model = {}
+    for x, by in seen.items():
+        all_, gain = by.total(), 0.0
+        for d in mixing.DOMAINS:
+            if n[d]:
+                for observed, expected in ((by[d], all_ * n[d] / total), (n[d] - by[d], (total - all_) * n[d] / total)):
+                    gain += observed * math.log(observed / expected) if observed else 0.0
+        if all_ >= mixing.SUPPORT and gain >= mixing.GAIN:
+            model[x] = [(by[d] + 0.5) / (n[d] + 1) for d in mixing.DOMAINS]
+    p, size = {}, {}
+    for i, ts in tokens.items():
+        size[i] = len(ts)
+        score = [math.log((n[d] + 1) / (total + 3)) for d in mixing.DOMAINS]
+        for x, share in model.items():
+            for k in range(3):
+                score[k] += math.log(share[k] if x in ts else 1 - share[k])
+        top = [math.exp(v - max(score)) for v in score]
+        p[i] = [v / sum(top) for v in top]
+    natural = [sum(size[i] * p[i][k] for i in p) for k in range(3)]
+    targets = [weights[d] * (natural[k] if as_found else sum(natural) / sum(weights.values())) for k, d in enumerate(mixing.DOMAINS)]
+    now, ahead, pace, last = dict.fromkeys(p, 1.0), dict.fromkeys(p, 1.0), 1.0, [math.inf] * 3
+    while True:
+        miss = [(sum(size[i] * p[i][k] * ahead[i] for i in p) - targets[k]) / max(natural[k], 1.0) for k in range(3)]
+        if max(map(abs, miss)) < 1e-3 or max(abs(a - b) for a, b in zip(miss, last, strict=True)) < 1e-4:
+            return p, now, miss
+        last, later = miss, (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        for i in p:
+            moved = max(0.0, ahead[i] - sum(a * b for a, b in zip(p[i], miss, strict=True)))
+            ahead[i], now[i] = moved + (pace - 1) / later * (moved - now[i]), moved
+        pace = later
+
+
+@pytest.mark.parametrize("as_found", [False, True])
+def test_posteriors_and_rates(spark, as_found):
+    ship(spark)
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(150):
+        kind = ("clean", "poor", "toxic")[i % 3]
+        own = rng.choice([f"{kind}{chr(97 + j)}" for j in range(8)], int(rng.integers(0, 9)))
+        rows.append((i, " ".join([*own, *rng.choice(["a", "b!", "clean", "7"], 6)])))
+        if i % 2:
+            labels.append((i, int(kind == "clean"), int(kind == "toxic")))
+    rows += [(200, None), (201, ""), (202, rows[0][1]), (203, "É ß 漢字 ... 1a2b")]
+    labels += [(1, 0, 0), (900, 1, 1)]
+    weights = {"clean": 0.7, "poor": 0.5, "toxic": 0.1}
+    p, now, miss = plain_mixture(rows, labels, weights, as_found)
+    docs = spark.createDataFrame([(i, t, 1.0, "x") for i, t in rows], "doc_id long, text string, rate double, _n string")
+    frame = spark.createDataFrame([*labels, (None, 1, 1), (3, None, 1)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in mixing.mix(docs, frame, weights, as_found).collect()}
+    assert got.keys() == p.keys()
+    for i, r in got.items():
+        assert [r.p_clean, r.p_poor, r.p_toxic] == pytest.approx(p[i], abs=1e-9) and r.rate == pytest.approx(now[i], abs=1e-6)
+        assert r.kept == math.floor(r.rate + 0.5) and r.copies in (math.floor(r.rate), math.floor(r.rate) + 1)
+    fitted = mixing.rates(docs.select("doc_id", "text"), frame, weights, F.col("doc_id"), as_found)
+    assert fitted.converged and list(fitted.misses.values()) == pytest.approx(miss, abs=1e-9)
+    assert mixing.mix(docs.limit(0), frame, weights).count() == 0
+
+
+def test_a_descent_that_does_not_settle_is_reported(spark):
+    rows = spark.createDataFrame([(1, 10, [1.0, 0.0, 0.0]), (2, 10, [0.4, 0.3, 0.3])], "_id long, _n long, _p array<double>")
+    with pytest.warns(UserWarning, match="not settled"):
+        fitted = mixing.fit(rows, {"clean": 100.0, "poor": 0.5, "toxic": 0.2}, most=3)
+    assert fitted.steps == 3 and not fitted.converged
+
+
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: i])
+def test_shards_stay_level_with_ids_that_tell_nothing(spark, ids):
+    ship(spark)
+    rows = [(i, f"text {i} " + "y" * (i % 50)) for i in range(2000)] + [(ids(5000 + i), "one text for all of these rows") for i in range(2000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
+    loads, slots = Counter(), defaultdict(list)
+    for r in got:
+        loads[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert max(loads.values()) < 1.02 * min(loads.values()) and len(loads) == 10
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(got) == 4000
+
+
+def test_other_items_change_nothing(spark, monkeypatch):
+    ship(spark)
+    words = [f"i{j}" for j in range(40)]
+    docs = spark.createDataFrame([(1, "a b " + " ".join(words[:34]) + " c d"), (2, " ".join(words))], "doc_id long, text string")
+    item, other = (1, " ".join(words)), (2, " ".join([*words[10:16], *[f"o{j}" for j in range(28)]]))
+    find = lambda items: {tuple(r) for r in decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    alone = find([item])
+    assert {r[0] for r in alone} == {i for i, t in docs.collect() if leaking(t, [item])}
+    assert {r for r in find([item, other]) if r[1] == 1} == alone
+    monkeypatch.setattr(decontamination, "ITEMS", 1)
+    assert {r for r in find([item, other]) if r[1] == 1} == alone
