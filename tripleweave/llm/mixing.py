@@ -146,13 +146,22 @@ def fit(rows: DataFrame, targets: Mapping[str, float], most: int = 1000, close:
 
 
 def _moved(state: DataFrame, steps: list[list[float]]) -> DataFrame:
-    """``state`` with its rates after the given steps, each a slope per domain and the momentum."""
-    for slopes in steps:
-        slope = sum((F.col("_p")[i] * slopes[i] for i in range(1, len(DOMAINS))), F.col("_p")[0] * slopes[0])
-        moved = state.withColumn("_next", F.greatest(F.lit(0.0), F.col("_ahead") - slope))
-        momentum = F.col("_next") + slopes[len(DOMAINS)] * (F.col("_next") - F.col("_now"))
-        state = moved.select("_id", "_n", "_p", F.col("_next").alias("_now"), momentum.alias("_ahead"))
-    return state
+    """``state`` with its rates after the given steps, each a slope per domain and the momentum.
+
+    The steps are data of one expression, so that Spark compiles it once and not for every step.
+    """
+    if not steps:
+        return state
+    moves = F.from_json(F.lit(str(steps)), "array<array<double>>")
+    start = F.struct(F.col("_now").alias("now"), F.col("_ahead").alias("ahead"))
+
+    def move(rate: Column, step: Column) -> Column:
+        slope = sum((F.col("_p")[i] * step[i] for i in range(1, len(DOMAINS))), F.col("_p")[0] * step[0])
+        now = F.greatest(F.lit(0.0), rate["ahead"] - slope)
+        return F.struct(now.alias("now"), (now + step[len(DOMAINS)] * (now - rate["now"])).alias("ahead"))
+
+    moved = state.select("_id", "_n", "_p", F.aggregate(moves, start, move).alias("_r"))
+    return moved.select("_id", "_n", "_p", F.col("_r.now").alias("_now"), F.col("_r.ahead").alias("_ahead"))
 
 
 def rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], name: Column, as_found: bool = False) -> Fit:
