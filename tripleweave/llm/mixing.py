@@ -119,10 +119,8 @@ def fit(rows: DataFrame, targets: Mapping[str, float], most: int = 1000, close:
     It ends when all misses are below ``close`` or a step changes none of them by a tenth of that.
     A descent that does not end within ``most`` steps is reported by a warning.
     """
-    totals = lambda state: [
-        x or 0.0
-        for x in state.agg(*[F.sum(F.col("_n") * F.col("_p")[i] * F.col("_ahead")) for i in range(len(DOMAINS))]).first()
-    ]
+    sums = ", ".join(f"sum(_n * _p[{i}] * _ahead)" for i in range(len(DOMAINS)))
+    totals = lambda state: [x or 0.0 for x in state.selectExpr(f"struct({sums}) as t").first().t]
     state = rows.withColumns({"_now": F.lit(1.0), "_ahead": F.lit(1.0)})
     recent: list[list[float]] = []
     ahead = natural = totals(state)
@@ -148,20 +146,18 @@ def fit(rows: DataFrame, targets: Mapping[str, float], most: int = 1000, close:
 def _moved(state: DataFrame, steps: list[list[float]]) -> DataFrame:
     """``state`` with its rates after the given steps, each a slope per domain and the momentum.
 
-    The steps are data of one expression, so that Spark compiles it once and not for every step.
+    The steps are one array, read at an index that Spark cannot fold. So their numbers are data of
+    the generated code, which is compiled once for each number of steps.
     """
-    if not steps:
-        return state
-    moves = F.from_json(F.lit(str(steps)), "array<array<double>>")
-    start = F.struct(F.col("_now").alias("now"), F.col("_ahead").alias("ahead"))
-
-    def move(rate: Column, step: Column) -> Column:
-        slope = sum((F.col("_p")[i] * step[i] for i in range(1, len(DOMAINS))), F.col("_p")[0] * step[0])
-        now = F.greatest(F.lit(0.0), rate["ahead"] - slope)
-        return F.struct(now.alias("now"), (now + step[len(DOMAINS)] * (now - rate["now"])).alias("ahead"))
-
-    moved = state.select("_id", "_n", "_p", F.aggregate(moves, start, move).alias("_r"))
-    return moved.select("_id", "_n", "_p", F.col("_r.now").alias("_now"), F.col("_r.ahead").alias("_ahead"))
+    width = len(DOMAINS) + 1
+    numbers = ", ".join(f"{float(x)!r}D" for step in steps for x in step)
+    state = state.selectExpr("_id", "_n", "_p", "_now", "_ahead", f"array({numbers}) as _s")
+    for k in range(len(steps)):
+        at = [f"_s[size(_p) - {len(DOMAINS)} + {width * k + j}]" for j in range(width)]
+        slope = " + ".join(f"_p[{i}] * {at[i]}" for i in range(len(DOMAINS)))
+        moved = state.selectExpr("_id", "_n", "_p", "_s", "_now", f"greatest(0D, _ahead - ({slope})) as _next")
+        state = moved.selectExpr("_id", "_n", "_p", "_s", "_next as _now", f"_next + {at[-1]} * (_next - _now) as _ahead")
+    return state.drop("_s")
 
 
 def rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], name: Column, as_found: bool = False) -> Fit:
