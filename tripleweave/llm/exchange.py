@@ -10,6 +10,7 @@ questions, so every later step finds the same blocks, also after a task or execu
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from tripleweave.llm.tables import portions, shuffle_tasks, texts, written
 
 BLOCK = 4 << 20
+PER_BUCKET = 32 << 20  # bytes of text whose keys one bucket answers for
 DOCUMENTS = "documents"
 
 ROW = "kind string, bucket int, block long, a binary, b binary"
@@ -28,6 +30,12 @@ NAMES = ["kind", "bucket", "block", "a", "b"]
 _CODEC = pa.Codec("zstd", compression_level=1)
 
 
+def buckets_for(docs: DataFrame) -> int:
+    """How many buckets the keys of ``docs`` are cut into: as many as bound what one of them holds, and one a task at least."""
+    size = texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(shuffle_tasks(docs.sparkSession), math.ceil(size / PER_BUCKET))
+
+
 def rows(items: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
     columns = zip(*items, strict=True) if items else [[] for _ in NAMES]

@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleweave.llm.decontamination import _mix
-from tripleweave.llm.exchange import DOCUMENTS, Documents, answer, ask, by_value, gathered, pack, per_block, spread, unpack
+from tripleweave.llm.exchange import DOCUMENTS, Documents, answer, ask, buckets_for, by_value, gathered, pack, per_block, spread, unpack
 from tripleweave.llm.repeats import Prints
-from tripleweave.llm.tables import shuffle_tasks
 
 ORDER = 4  # bytes of context
 BLOCK = 4 << 20
@@ -212,7 +211,7 @@ def score(docs: DataFrame) -> DataFrame:
     through the driver. Null and empty texts are scored for their end alone.
     """
     spark = docs.sparkSession
-    buckets = shuffle_tasks(spark)
+    buckets = buckets_for(docs)
 
     def questions(part: Documents, block: int) -> list[tuple]:
         counted = [(_counted(s.words, s.train[s.word_of]), _counted(s.steps, s.train[s.step_of])) for s in parts(part)]

@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tripleweave.llm.decontamination import _mix, _powers
-from tripleweave.llm.exchange import DOCUMENTS, ROW, Documents, answer, ask, by_value, count_seen, gathered, per_block, rows, spread
-from tripleweave.llm.tables import shuffle_tasks
+from tripleweave.llm.exchange import DOCUMENTS, ROW, Documents, answer, ask, buckets_for, by_value, count_seen, gathered, per_block, rows, spread
 
 LENGTH = 200
 SAMPLE = 64
@@ -133,7 +132,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     is removed; strings are judged on the input and never cross documents. A null text is empty;
     repeated rows are copies of each other and removed as such.
     """
-    buckets = shuffle_tasks(docs.sparkSession)
+    buckets = buckets_for(docs)
 
     def sample(part: Documents, block: int) -> list[tuple]:
         cover, out = Cover(part), []
