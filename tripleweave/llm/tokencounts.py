@@ -27,18 +27,33 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _differences(spec: dict) -> list[str]:
+    """What of a tokenizer's file is not as the prefix tables take it: plain merges over bytes, pieces as PIECES cuts them."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wanted = {
+        "pre_tokenizer": cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space"),
+        "normalizer": not spec.get("normalizer"),
+        "model": model.get("type", "BPE") == "BPE" and "merges" in model,
+        "added_tokens": not any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")),
+    }
+    options = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+    return [k for k, fits in wanted.items() if not fits] + [k for k in options if model.get(k)]
+
+
 class PrefixCounter:
     """Prefix tables of the pieces of a byte-level byte-pair tokenizer.
 
     A sequence of tokens is what the tokenizer gives for its bytes if and only if every two
     neighbours are what it gives for theirs. So the last token of each prefix is the one token
     that ends there and fits the last token of the prefix before it, and
-    ``count[i] = count[i - len(last)] + 1``.
+    ``count[i] = count[i - len(last)] + 1``. A tokenizer of another kind is refused.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        if found := _differences(spec):
+            raise ValueError(f"{path}: prefix tables do not fit its {', '.join(found)}")
         to_byte = _byte_of()
         as_bytes = lambda t: bytes(to_byte[c] for c in t)
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)

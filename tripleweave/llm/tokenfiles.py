@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -10,6 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,16 +24,33 @@ SEQUENCES = 256  # sequences in a record batch
 CACHED = 600_000  # words whose ids a Python worker keeps, and those of one portion more
 JOINED = 2_000  # new words in one call of the tokenizer
 MARK = "\x01"  # between them; words may hold it too
+BLANKS = " \t\n\r\x0b\x0c"  # what words are cut at
+HEAD = 64  # characters of a text that order documents of one id
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def drops_blanks(step: dict | None) -> bool:
+    """Whether a pre-tokenizer, as its file describes it, leaves no blank in any piece."""
+    match step:
+        case {"type": "Sequence", "pretokenizers": steps}:
+            return any(map(drops_blanks, steps))
+        case {"type": "Split", "behavior": "Removed", "invert": True, "pattern": {"Regex": pattern}}:
+            beside = ("", "a", "1", "'")
+            tried = (a + blank + b for blank in BLANKS for a in beside for b in beside)
+            return not any(set(BLANKS) & set(found.group()) for t in tried for found in regex.finditer(pattern, t))
+        case {"type": "Whitespace" | "WhitespaceSplit" | "BertPreTokenizer"}:
+            return True
+    return False
+
+
 class WordEncoder:
     """Ids of words, for tokenizers whose pre-tokenizer drops white space and never joins across it.
 
     Such a tokenizer gives a text the ids of its words one after the other, so each word is
     encoded by the library once and kept under a number; a full store keeps its more used half.
     New words go to the library many at a time, as one text with a mark between them.
+    Any other tokenizer is refused.
     """
 
     def __init__(self, path: str):
@@ -39,6 +58,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as file:
+            kept = not drops_blanks(json.load(file)["pre_tokenizer"])
+        probe = ["ab", "cd", "'s", "1", ".", "e"]
+        if kept or self._ids(f" {probe[0]}  " + "\n\t".join(probe[1:]) + "\r\n") != [i for w in probe for i in self._ids(w)]:
+            raise ValueError(f"{path}: its tokens are not those of the words between blanks, one word after the other")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         mark = self._ids(MARK)
         self.mark = mark[0] if len(mark) == 1 else None
@@ -165,13 +191,15 @@ def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, folder: str |
     """Write the ids of all texts, documents in ascending ``doc_id``; returns the index of the files.
 
     One Arrow file per range of ``doc_id``, in the shared folder: record batches of
-    ``fixed_size_list`` ids and masks, so sequence k of a file is found by arithmetic and read
-    without a copy. A task writes under a name of its own and lists it only when done, so a
+    ``fixed_size_list`` ids and masks, so sequence k of a file is found by arithmetic and, where
+    the folder is mounted, read without a copy. A task writes under a name of its own and lists it only when done, so a
     retried task leaves at most an unlisted file. Index rows: ``file``, ``part`` (its place in
     the order), ``doc_id``, ``first`` (place of the document's first id in the file),
     ``n_tokens`` (with the end id), ``ids_in_file``.
     Null ids sort first; equal ids and repeated rows keep a row each; an empty text has its end
-    id alone.
+    id alone; an empty table gives no files; other columns are ignored. Documents of one id stand in
+    the order of the first HEAD characters, then of a digest; ranges end anywhere among them, also among
+    repeated rows, so no id makes a large file. A text longer than a batch is encoded as one.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
@@ -208,8 +236,14 @@ def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, folder: str |
                 ["file", "part", "doc_id", "first", "n_tokens", "ids_in_file"],
             )
 
-    ordered = texts(docs).repartitionByRange(shuffle_tasks(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    index = ordered.mapInArrow(run, "file string, part int, doc_id long, first long, n_tokens long, ids_in_file long")
+    placed = texts(docs).select(
+        "doc_id", "text", F.left("text", F.lit(HEAD)).alias("head"), F.xxhash64("text").alias("digest"),
+        # Only tells apart rows that are alike, so it does not matter which of them has which.
+        F.monotonically_increasing_id().alias("row"),
+    )
+    order = ["doc_id", "head", "digest", "row"]
+    ordered = placed.repartitionByRange(shuffle_tasks(spark), *order).sortWithinPartitions(*order)
+    index = ordered.select("doc_id", "text").mapInArrow(run, "file string, part int, doc_id long, first long, n_tokens long, ids_in_file long")
     return written(index.withColumn("folder", F.lit(folder)), "token-index")
 
 
@@ -236,8 +270,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = []
         for folder, file, first, n in zip(rows["folder"], rows["file"], rows["first"], rows["n_tokens"], strict=True):
             if file != name:
-                fs, root = pa.fs.FileSystem.from_uri(folder)
-                name, reader = file, SequenceReader(fs.open_input_file(f"{root}/{file}"))
+                name, reader = file, SequenceReader(open_file(folder, file))
             crc = 0
             for ids in reader.ids(first, n):
                 crc = zlib.crc32(ids.astype("<u4").tobytes(), crc)
@@ -249,8 +282,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def open_file(folder: str, file: str) -> pa.NativeFile:
+    """A file of sequences: mapped into memory where the folder is mounted, else opened for random reads."""
+    fs, root = pa.fs.FileSystem.from_uri(folder)
+    if isinstance(fs, pa.fs.LocalFileSystem):
+        return pa.memory_map(f"{root}/{file}")
+    return fs.open_input_file(f"{root}/{file}")
+
+
 class SequenceReader:
-    """Random access to one file: ids by their place in the stream, whole sequences by number."""
+    """Random access to one file: ids by their place in the stream, whole sequences by number.
+
+    Arrays of ids point into the file where it is mapped; elsewhere a batch is read at a time.
+    """
 
     def __init__(self, source):
         self.file = pa.ipc.open_file(source)
