@@ -305,6 +305,22 @@ def test_the_input_is_read_once(spark, tmp_path):
     assert Store(spark, st.path).frame().count() == len(TRIPLES)
 
 
+def test_filters_are_built_when_asked_for(frame, spark, tmp_path):
+    st = Store.build(frame(TRIPLES), str(tmp_path / "asked"))
+    held = lambda: {r.prop for r in spark.read.parquet(f"{st.path}/filters").select("prop").distinct().collect()}
+    assert held() == set()
+    found = st.frame_of(["p"]).select("sub").distinct()
+    one = st.filter("q", "TRPS")
+    assert held() == {"q"} and red.bloom_semi(st.scan("q"), "sub", one).count() == st.scan("q").count()
+    st.add_reductions(red.catalog_of(spark, "p", [["p_TRPS", "r_TRPO"]]), "bloom")
+    assert held() == {"q", "r"}
+    # A run that was cut short before its properties were noted counts for nothing.
+    spark.read.parquet(f"{st.path}/filters").withColumn("run", F.lit("cut")).write.mode("append").parquet(f"{st.path}/filters")
+    table = st.filters().table
+    assert held() == {"p", "q", "r", "t"} and table.count() == table.dropDuplicates(["prop", "side", "block"]).count()
+    assert red.bloom_semi(found, "sub", st.filter("p", "TRPS")).count() == found.count()
+
+
 def test_appending_merges_statistics_and_voids_reductions(frame, spark, tmp_path):
     half = len(TRIPLES) // 2
     st = Store.build(frame(TRIPLES[:half]), str(tmp_path / "grows"))
