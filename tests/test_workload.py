@@ -195,3 +195,27 @@ def test_embeddings(spark, log, monkeypatch):
     assert ranked[:2] == ["v03", "v07"]
     assert set(ranked) == {names[j] for j in range(40) if cos[3][j] > 0.5}
     assert embedding.similar_to(df, "none").count() == 0
+
+
+def test_transactions_in_one_shuffle(log, spark):
+    odd = [(6, "?x", None, "?y"), (6, "?x", "p", None), (6, "?x", "?p", "?x"), (None, "?n", "p", "?n"), (7, "?x", "p", "?x")]
+    patterns = log.unionByName(spark.createDataFrame(odd, log.schema))
+    rows = lambda df: sorted((str(r.query_id), r["var"], tuple(r["items"])) for r in df.collect())
+    want = rows(w.transactions(w.join_patterns(patterns)))
+    for n in (None, 0, 10**7):
+        mined = w.mined_transactions(patterns, n)
+        assert rows(mined) == want
+        assert "keys=[query_id" in (plan := mined._jdf.queryExecution().sparkPlan().toString()) and "Window" not in plan
+    # By rows known, tasks hold a bounded number of patterns whatever the session's setting.
+    assert w.mined_transactions(patterns, 5 * w.TASK_ROWS + 1).rdd.getNumPartitions() == 6
+
+
+def test_evaluation_in_long_form(txns, spark):
+    """No row holds the members of a property, and the scores are those of the lists."""
+    old, new = txns.where("query_id < 3"), txns.where("query_id >= 2")
+    want = {r.prop: (r.precision, r.recall, r.f1) for r in w.evaluate(w.propose_cooccurrence(old), w.propose_cooccurrence(new)).collect()}
+    both = old.withColumn("actual", F.lit(False)).unionByName(new.withColumn("actual", F.lit(True)))
+    pairs = w.cooccurring(both, "actual")
+    assert {r.prop: (r.precision, r.recall, r.f1) for r in w.evaluate_pairs(pairs, F.col("actual")).collect()} == want
+    assert pairs.columns == ["actual", "prop", "other"] and pairs.count() == pairs.distinct().count()
+

@@ -30,6 +30,8 @@ TOKEN = rf"{LITERAL}|{IRI}|{VARIABLE}|{SHORT}|{NUMBER}|\w+|\S"
 TRIPLES = "array<struct<sub:string,prop:string,obj:string>>"
 PREFIX = r"(?i)PREFIX\s+([\w-]*):\s*<([^>]*)>"
 BASE = r"(?i)BASE\s+<([^>]*)>"
+# Patterns one task groups by query and variable: some hundred megabytes.
+TASK_ROWS = 1_000_000
 RDF_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 
 
@@ -143,8 +145,8 @@ def property_freq(patterns: DataFrame, stats: DataFrame | None = None) -> DataFr
     return freq.orderBy(F.col("freq").desc(), "prop")
 
 
-def join_patterns(patterns: DataFrame) -> DataFrame:
-    """``query_id, var, item, n``: for variables used at least twice in a query, their items, counted."""
+def _uses(patterns: DataFrame) -> DataFrame:
+    """``query_id, var, item``: every use of a variable as an end of a pattern."""
     ends = F.array(
         *[
             F.struct(F.col(c).alias("var"), F.concat_ws("_", "prop", F.lit(side)).alias("item"))
@@ -152,16 +154,19 @@ def join_patterns(patterns: DataFrame) -> DataFrame:
         ]
     )
     uses = patterns.select("query_id", "prop", F.inline(ends)).where(is_variable(F.col("var")))
-    constant = ~is_variable(F.col("prop"))
-    counted = uses.groupBy("query_id", "var", F.when(constant, F.col("item")).alias("item")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    item = F.when(~is_variable(F.col("prop")), F.col("item"))
+    return uses.select("query_id", F.substring("var", F.lit(2), F.length("var")).alias("var"), item.alias("item"))
+
+
+def join_patterns(patterns: DataFrame) -> DataFrame:
+    """``query_id, var, item, n``: for variables used at least twice in a query, their items, counted."""
+    counted = _uses(patterns).groupBy("query_id", "var", "item").agg(F.count(F.lit(1)).alias("n"))
     # A window holds one row per distinct item, however often the query repeats it.
     total = F.sum("n").over(Window.partitionBy("query_id", "var"))
     return (
         counted.withColumn("total", total)
         .where((F.col("total") > 1) & F.col("item").isNotNull())
-        .select("query_id", F.substring("var", F.lit(2), F.length("var")).alias("var"), "item", "n")
+        .select("query_id", "var", "item", "n")
     )
 
 
@@ -175,6 +180,21 @@ def transactions(joins: DataFrame) -> DataFrame:
     )
 
 
+def mined_transactions(patterns: DataFrame, rows: int | None = None) -> DataFrame:
+    """The transactions of a workload in one shuffle: :func:`transactions` of its :func:`join_patterns`.
+
+    Patterns are dealt by query before their two ends are told apart, and nothing is gathered ahead
+    of that: nearly all groups are single there. With ``rows``, about how many patterns
+    there are, a task gets ``TASK_ROWS`` of them. A group holds its distinct items and a count.
+    """
+    tasks = [] if rows is None else [max(patterns.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))]
+    dealt = patterns.repartition(*tasks, "query_id")
+    found = _uses(dealt).groupBy("query_id", "var").agg(
+        F.count("item").alias("n"), F.sort_array(F.collect_set("item")).alias("items")
+    )
+    return found.where(F.col("n") > 1).select("query_id", "var", "items")
+
+
 def frequent(txns: DataFrame, min_support: float = 0.001) -> DataFrame:
     """``items, freq, size``: itemsets of two or more items in at least that share of transactions.
 
@@ -213,7 +233,7 @@ def best_by_cost(itemsets: DataFrame, n_queries: int, n_props: int, alpha: float
 
 
 def _props_of(items: str) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(items, item_prop)))
+    return F.sort_array(F.array_distinct(F.transform(items, item_prop)))
 
 
 def propose_fp(best: DataFrame) -> DataFrame:
@@ -222,15 +242,20 @@ def propose_fp(best: DataFrame) -> DataFrame:
     return per_prop.select("prop", _props_of("items").alias("members"))
 
 
-def propose_cooccurrence(txns: DataFrame) -> DataFrame:
-    """``prop, members``: each property with all that share a transaction with it, itself included.
+def cooccurring(txns: DataFrame, *by: str) -> DataFrame:
+    """``prop, other`` and the columns of ``by``: distinct pairs that share a transaction, a property with itself included.
 
     Transactions are reduced to their distinct property sets first, however often a log
     repeats them, and pairs are counted out before the shuffle.
     """
-    sets = txns.select(_props_of("items").alias("props")).distinct()
-    pairs = sets.select(F.explode("props").alias("prop"), "props").select("prop", F.explode("props").alias("other"))
-    return pairs.distinct().groupBy("prop").agg(F.sort_array(F.collect_list("other")).alias("members"))
+    sets = txns.select(*by, _props_of("items").alias("props")).distinct()
+    pairs = sets.select(*by, F.explode("props").alias("prop"), "props").select(*by, "prop", F.explode("props").alias("other"))
+    return pairs.distinct()
+
+
+def propose_cooccurrence(txns: DataFrame) -> DataFrame:
+    """``prop, members``: each property with all that share a transaction with it, itself included."""
+    return cooccurring(txns).groupBy("prop").agg(F.sort_array(F.collect_list("other")).alias("members"))
 
 
 def matching_patterns(itemsets: DataFrame, proposals: DataFrame) -> DataFrame:
@@ -268,9 +293,27 @@ def evaluate(proposals: DataFrame, gold: DataFrame) -> DataFrame:
     scored = both.select(
         "prop", (hits / F.size("members")).alias("precision"), (hits / F.size("actual")).alias("recall")
     )
+    return scored.withColumn("f1", _f1())
+
+
+def evaluate_pairs(pairs: DataFrame, actual: Column) -> DataFrame:
+    """:func:`evaluate` of ``prop, other`` pairs, actual or else proposed, in counted long form.
+
+    Members of a property are never gathered, so no row grows with the number of properties.
+    """
+    has = F.max(F.when(actual, 0).otherwise(1)).alias("proposed"), F.max(F.when(actual, 1).otherwise(0)).alias("actual")
+    both = F.col("proposed").bitwiseAND(F.col("actual"))
+    sums = F.sum("proposed").alias("proposed"), F.sum("actual").alias("actual"), F.sum(both).alias("hits")
+    counted = pairs.groupBy("prop", "other").agg(*has).groupBy("prop").agg(*sums).where("proposed > 0 and actual > 0")
+    scored = counted.select(
+        "prop", (F.col("hits") / F.col("proposed")).alias("precision"), (F.col("hits") / F.col("actual")).alias("recall")
+    )
+    return scored.withColumn("f1", _f1())
+
+
+def _f1() -> Column:
     total = F.col("precision") + F.col("recall")
-    f1 = F.when(total == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / total)
-    return scored.withColumn("f1", f1)
+    return F.when(total == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / total)
 
 
 def mean_f1(scores: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ ALPHA = 0.1
 
 
 def _transactions(spark, sf):
-    return w.transactions(w.join_patterns(query_patterns(spark, sf)))
+    return w.mined_transactions(query_patterns(spark, sf), table(spark, sf, "lineitem").count())
 
 
 def _itemsets(spark, sf):
@@ -176,10 +176,11 @@ def cooccurrence(spark, sf):
 
 
 def _dated(spark, sf):
-    """The workload over brand and part name, with the date of each query."""
+    """The transactions of the workload over brand and part name, with the date of each query."""
     prop = F.concat(F.lit("part__"), F.col("p_brand"), F.lit("_"), F.col("p_name"))
     dates = table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), "o_orderdate")
-    return query_patterns(spark, sf, prop).join(dates, "query_id")
+    txns = w.mined_transactions(query_patterns(spark, sf, prop), table(spark, sf, "lineitem").count())
+    return txns.join(dates, "query_id")
 
 
 @query(
@@ -203,13 +204,9 @@ def _dated(spark, sf):
 )
 def partition_f1(spark, sf):
     """Partitions proposed from the queries before 2000, held against those since."""
-    log = _dated(spark, sf)
     old = F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp")
-
-    def proposals(part):
-        return w.propose_cooccurrence(w.transactions(w.join_patterns(part.drop("o_orderdate"))))
-
-    scores = w.evaluate(proposals(log.where(old)), proposals(log.where(~old)))
+    log = _dated(spark, sf).withColumn("actual", ~old).where(F.col("actual").isNotNull())
+    scores = w.evaluate_pairs(w.cooccurring(log, "actual"), F.col("actual"))
     return w.mean_f1(scores).select("properties", F.round("f1", 6).alias("f1"))
 
 
