@@ -219,3 +219,17 @@ def test_evaluation_in_long_form(txns, spark):
     assert {r.prop: (r.precision, r.recall, r.f1) for r in w.evaluate_pairs(pairs, F.col("actual")).collect()} == want
     assert pairs.columns == ["actual", "prop", "other"] and pairs.count() == pairs.distinct().count()
 
+
+@pytest.mark.parametrize("support", [0.0, 0.02, 0.2, 1.0])
+def test_itemsets_of_repeated_transactions(spark, support):
+    """Repeats are counted, not mined again, and the itemsets are those of a plain count."""
+    rng = np.random.default_rng(5)
+    sets = [sorted({f"i{x}" for x in rng.zipf(1.6, rng.integers(0, 7)) if x < 12}) for _ in range(60)]
+    rows = [s for s in sets for _ in range(5)] + [None]
+    txns = spark.createDataFrame([(r,) for r in rows], "items array<string>")
+    assert w.item_sets(txns).count() == len({tuple(s) for s in sets})
+    counts = Counter(c for s in sets for k in range(2, len(s) + 1) for c in combinations(s, k))
+    least = math.ceil(support * 300)
+    got = {tuple(r["items"]): (r.freq, r["size"]) for r in w.frequent(txns, support).collect()}
+    assert got == {c: (5 * n, len(c)) for c, n in counts.items() if 5 * n >= least}
+    assert w.frequent(txns.where("items is null"), support).count() == 0

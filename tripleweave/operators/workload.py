@@ -7,16 +7,17 @@ bounded by the number of properties.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleweave.functions import prefixes as tables
 from tripleweave.functions import terms
-from tripleweave.operators.reductions import JOIN, OBJECT, SUBJECT, item_prop
-from tripleweave.sources.scratch import checkpoint
+from tripleweave.operators.reductions import JOIN, OBJECT, SUBJECT, item_prop, small
+from tripleweave.sources.scratch import staged
 
 # The spelling of terms in query text.
 VARIABLE = r"[?$]\w+"
@@ -195,18 +196,34 @@ def mined_transactions(patterns: DataFrame, rows: int | None = None) -> DataFram
     return found.where(F.col("n") > 1).select("query_id", "var", "items")
 
 
+def item_sets(txns: DataFrame) -> DataFrame:
+    """``items, n``: the distinct item sets of a log, however often it repeats them."""
+    return txns.where(F.col("items").isNotNull()).groupBy("items").agg(F.count(F.lit(1)).alias("n"))
+
+
 def frequent(txns: DataFrame, min_support: float = 0.001) -> DataFrame:
     """``items, freq, size``: itemsets of two or more items in at least that share of transactions.
 
-    Mining passes over the transactions several times and its result is read by several
-    steps, so both are checkpointed: the log is parsed and the trees are grown once.
+    Distinct transactions are counted first. A round extends each itemset found in them by an
+    item before its first; what is shuffled are counted itemsets, and only places of frequent
+    ones go on. Rounds and results are written, since the next round and several steps read them.
     """
-    tasks = txns.sparkSession.sparkContext.defaultParallelism
-    growth = FPGrowth(itemsCol="items", minSupport=min_support, numPartitions=tasks)
-    model = growth.fit(checkpoint(txns.select("items")))
-    size = F.size("items")
-    itemsets = model.freqItemsets.where(size > 1)
-    return checkpoint(itemsets.select(F.sort_array("items").alias("items"), "freq", size.alias("size")))
+    places = staged(item_sets(txns).select(F.array().cast("array<string>").alias("items"), F.col("items").alias("rest"), "n"), "sets")
+    least = math.ceil(min_support * (places.agg(F.sum("n")).first()[0] or 0))
+    levels = []
+    while True:
+        each = places.select("items", "rest", "n", F.posexplode("rest").alias("at", "item")).select(
+            F.concat(F.array("item"), "items").alias("items"), F.slice("rest", F.lit(1), F.col("at")).alias("rest"), "n"
+        )
+        counted = each.groupBy("items").agg(F.sum("n").alias("freq")).where(F.col("freq") >= least)
+        level = staged(counted.withColumn("size", F.size("items")), "frequent")
+        levels.append(level)
+        found = level.count()
+        if not found:
+            break
+        kept = each.where(F.size("rest") > 0).join(small(level.select("items"), found), "items", "left_semi")
+        places = staged(kept.select("items", "rest", "n"), "places")
+    return reduce(DataFrame.unionByName, levels).where(F.col("size") > 1).select("items", "freq", "size")
 
 
 def with_cost(itemsets: DataFrame, n_queries: int, n_props: int, alpha: float = 0.5) -> DataFrame:
