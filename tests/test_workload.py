@@ -233,3 +233,51 @@ def test_itemsets_of_repeated_transactions(spark, support):
     got = {tuple(r["items"]): (r.freq, r["size"]) for r in w.frequent(txns, support).collect()}
     assert got == {c: (5 * n, len(c)) for c, n in counts.items() if 5 * n >= least}
     assert w.frequent(txns.where("items is null"), support).count() == 0
+
+
+def plain_triples(tokens):
+    """The triples of a list of tokens, by the rules of query text, one token after the other."""
+    sub = prop = None
+    full, until, found = False, "", []
+    for t in tokens:
+        literal = t[0] in "\"'" and len(t) > 1
+        node = len(t) > 1 and (t[0] in "?$<" or (":" in t and not literal))
+        value = node or literal or t.lstrip("+-")[:1].isdigit()
+        if until and t != until:
+            continue
+        if t.upper() in ("SELECT", "VALUES"):
+            sub, prop, full, until = None, None, False, "{" if t.upper() == "SELECT" else "}"
+        elif t == "," and full:
+            full = False
+        elif t == ";" and (full or (sub and not prop)):
+            prop, full = None, False
+        elif value and sub and prop and not full:
+            found.append((sub, prop, t))
+            full = True
+        elif (node or t == "a") and sub and not prop:
+            prop = t
+        elif node and (not sub or full):
+            sub, prop, full = t, None, False
+        else:
+            sub = prop = None
+            full, until = False, ""
+    return found
+
+
+def test_tokens_are_looked_at_once(spark):
+    words = ["?x", "$y", "<i>", "<>", "e:p", ":q", "-a:b", "a", "A", ",", ";", "{", "}", ".", "5", "-5.5", "+", "select", "VALUES", "Vx", "sel", '"l"@en', "'s'", '"', "é", "?", "<", "_"]
+    weights = np.array([8, 2, 3, 1, 6, 1, 1, 2, 1, 4, 4, 1, 1, 3] + [1] * (len(words) - 14), float)
+    rng = np.random.default_rng(3)
+    rows = [(i, [words[j] for j in rng.choice(len(words), rng.integers(0, 30), p=weights / weights.sum())]) for i in range(400)]
+    rows = [(i, [t for t in ts if t != '"' or ts.count('"') < 2]) for i, ts in rows]
+    df = spark.createDataFrame([(i, " ".join(ts)) for i, ts in rows], "id int, body string")
+    got = {r.id: [tuple(x) for x in r.found] for r in df.select("id", w._written_triples(F.col("body")).alias("found")).collect()}
+    split = {r.id: r.t for r in df.select("id", F.regexp_extract_all("body", F.lit(w.TOKEN), F.lit(0)).alias("t")).collect()}
+    assert got == {i: plain_triples(ts) for i, ts in split.items()} and sum(map(len, got.values())) > 200
+
+
+def test_filters_leave_terms_alone(spark):
+    """A filter on a mined term does not work the term out again, nested in itself."""
+    df = spark.createDataFrame([(1, "SELECT * WHERE { ?a e:p ?b }")], "query_id int, query string")
+    plan = w.property_freq(w.triple_patterns(df, {"e": "http://e/"}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_position(") <= 6

@@ -27,7 +27,8 @@ TAG = r"(?:@[\w-]+|\^\^[^\s.;,}]+)?"
 QUOTED = r'(?s:"{3}.*?"{3}|\'{3}.*?\'{3}|"[^"\\]*+(?:\\.[^"\\]*+)*"|\'[^\'\\]*+(?:\\.[^\'\\]*+)*\')'
 LITERAL = QUOTED + TAG
 NUMBER = r"[+-]?\d+(?:\.\d+)?"
-TOKEN = rf"{LITERAL}|{IRI}|{VARIABLE}|{SHORT}|{NUMBER}|\w+|\S"
+# Alternatives that can begin alike keep their order: a name before a number before a word.
+TOKEN = rf"{VARIABLE}|{SHORT}|{IRI}|{NUMBER}|\w+|{LITERAL}|\S"
 TRIPLES = "array<struct<sub:string,prop:string,obj:string>>"
 PREFIX = r"(?i)PREFIX\s+([\w-]*):\s*<([^>]*)>"
 BASE = r"(?i)BASE\s+<([^>]*)>"
@@ -40,46 +41,86 @@ def is_variable(term: Column) -> Column:
     return term.startswith("?")
 
 
+# Kinds of tokens.
+OTHER, NODE, A, VALUE, COMMA, SEMICOLON, SELECT, VALUES, OPEN, CLOSE = range(10)
+MARKS = {"a": A, ",": COMMA, ";": SEMICOLON, "{": OPEN, "}": CLOSE}
+# What was read last: nothing of use, a subject, its property, an object; or what is passed over, up to a brace.
+NOTHING, SUBJECT_READ, PROPERTY_READ, FULL, TO_OPEN, TO_CLOSE = range(6)
+
+
+def _next_states() -> list[int]:
+    """The state after each state and kind of token, state by state."""
+    steps = {
+        (SUBJECT_READ, NODE): PROPERTY_READ, (SUBJECT_READ, A): PROPERTY_READ, (SUBJECT_READ, SEMICOLON): SUBJECT_READ,
+        (PROPERTY_READ, NODE): FULL, (PROPERTY_READ, VALUE): FULL,
+        (FULL, COMMA): PROPERTY_READ, (FULL, SEMICOLON): SUBJECT_READ, (FULL, NODE): SUBJECT_READ,
+        (NOTHING, NODE): SUBJECT_READ,
+    }
+    for state in (NOTHING, SUBJECT_READ, PROPERTY_READ, FULL):
+        steps |= {(state, SELECT): TO_OPEN, (state, VALUES): TO_CLOSE}
+    for state, brace in ((TO_OPEN, OPEN), (TO_CLOSE, CLOSE)):
+        steps |= {(state, kind): NOTHING if kind == brace else state for kind in range(10)}
+    return [steps.get((state, kind), NOTHING) for state in range(6) for kind in range(10)]
+
+
+def _by_first(kinds: Mapping[str, int], default: int) -> Column:
+    """The kinds of tokens that begin with each of the first characters, as a table."""
+    return F.lit([kinds.get(chr(c), default) for c in range(128)])
+
+
+DIGITS = "0123456789"
+# Kinds that the first character leaves open: of a name, a number or a word.
+NAME_OR_NUMBER, NAME_OR_WORD, NAME_OR_KEYWORD = -1, -2, -3
+
+
+def _kind(token: Column) -> Column:
+    """What a token of ``TOKEN`` is: longer ones tell it by their first character, a colon, or are keywords."""
+    alone = _by_first(MARKS | dict.fromkeys(DIGITS, VALUE), OTHER)
+    longer = _by_first(
+        dict.fromkeys("?$<:", NODE) | dict.fromkeys("\"'", VALUE) | dict.fromkeys(DIGITS + "+-", NAME_OR_NUMBER)
+        | dict.fromkeys("SsVv", NAME_OR_KEYWORD), NAME_OR_WORD
+    )
+    first = F.get(longer, F.ascii(token))
+    return (
+        F.when(F.length(token) == 1, F.coalesce(F.get(alone, F.ascii(token)), F.lit(OTHER)))
+        .when(first >= 0, first)
+        .when(F.contains(token, F.lit(":")), NODE)
+        .when(first == NAME_OR_NUMBER, VALUE)
+        .when((first == NAME_OR_KEYWORD) & (F.upper(token) == "SELECT"), SELECT)
+        .when((first == NAME_OR_KEYWORD) & (F.upper(token) == "VALUES"), VALUES)
+        .otherwise(OTHER)
+    )
+
+
 def _written_triples(body: Column) -> Column:
     """The triples of a query body as an array, with ``;`` and ``,`` lists written out.
 
-    One pass over the tokens: a subject and a property wait for their objects. Anything that is
+    One pass over the tokens, each looked at once: a subject and a property wait for their objects. Anything that is
     no term (brackets, operators, keywords) ends what was begun, so expressions and paths give
     nothing; the variables of an inner ``SELECT`` and the rows of ``VALUES`` are passed over.
     """
     none = F.lit(None).cast("string")
     start = F.struct(
-        none.alias("sub"), none.alias("prop"), F.lit(False).alias("full"), F.lit("").alias("until"),
-        F.array().cast(TRIPLES).alias("found"),
+        F.lit(NOTHING).alias("state"), none.alias("sub"), none.alias("prop"), F.array().cast(TRIPLES).alias("found")
     )
-
-    def step(state: Column, token: Column) -> Column:
-        node = token.rlike(rf"^(?:{VARIABLE}|{IRI}|{SHORT})$")
-        value = node | token.rlike(rf"^(?:{LITERAL}|{NUMBER})$")
-        prop = (node | (token == "a"))
-        sub, waits, full, until = state["sub"], state["prop"], state["full"], state["until"]
-        word = F.upper(token)
-
-        def to(sub, prop, full=False, until="", found=state["found"]) -> Column:
-            return F.struct(
-                sub.alias("sub"), prop.alias("prop"), F.lit(full).alias("full"), F.lit(until).alias("until"), found.alias("found")
-            )
-
-        one = F.array(F.struct(sub.alias("sub"), waits.alias("prop"), token.alias("obj")))
-        return (
-            F.when((until != "") & (token != until), state)
-            .when(word == "SELECT", to(none, none, until="{"))
-            .when(word == "VALUES", to(none, none, until="}"))
-            .when((token == ",") & full, to(sub, waits))
-            .when((token == ";") & (full | (sub.isNotNull() & waits.isNull())), to(sub, none))
-            .when(value & sub.isNotNull() & waits.isNotNull() & ~full, to(sub, waits, True, found=F.concat(state["found"], one)))
-            .when(prop & sub.isNotNull() & waits.isNull(), to(sub, token))
-            .when(node & (sub.isNull() | full), to(token, none))
-            .otherwise(to(none, none))
+    table = F.lit(_next_states())
+
+    def step(was: Column, token: Column) -> Column:
+        kind, text = token["kind"], token["text"]
+        state = F.get(table, was["state"] * 10 + kind)
+        one = F.array(F.struct(was["sub"].alias("sub"), was["prop"].alias("prop"), text.alias("obj")))
+        began = (state == SUBJECT_READ) & (kind == NODE)
+        named = (state == PROPERTY_READ) & (was["state"] == SUBJECT_READ)
+        return F.struct(
+            state.alias("state"),
+            F.when(began, text).otherwise(was["sub"]).alias("sub"),
+            F.when(named, text).otherwise(was["prop"]).alias("prop"),
+            F.when((state == FULL), F.concat(was["found"], one)).otherwise(was["found"]).alias("found"),
         )
 
     tokens = F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))
-    return F.aggregate(tokens, start, step, lambda state: state["found"])
+    kinds = F.transform(tokens, lambda t: F.struct(_kind(t).alias("kind"), t.alias("text")))
+    return F.aggregate(kinds, start, step, lambda state: state["found"])
 
 
 def _plain_quotes(term: Column) -> Column:
@@ -90,7 +131,8 @@ def _plain_quotes(term: Column) -> Column:
     inner = F.substring(quoted, width + 1, F.length(quoted) - 2 * width)
     # A double quote inside gets its backslash, unless it has one.
     escaped = F.regexp_replace(inner, r'(?<!\\)"', r'\\"')
-    return F.when(term.rlike("^'|^\"{3}"), F.concat(F.lit('"'), escaped, F.lit('"'), tag)).otherwise(term)
+    odd = term.startswith("'") | term.startswith('"""')
+    return F.when(odd, F.concat(F.lit('"'), escaped, F.lit('"'), tag)).otherwise(term)
 
 
 def triple_patterns(queries: DataFrame, prefixes: Mapping[str, str] = tables.GENERIC) -> DataFrame:
@@ -108,25 +150,30 @@ def triple_patterns(queries: DataFrame, prefixes: Mapping[str, str] = tables.GEN
         F.inline(_written_triples(body)),
     )
 
-    def full(name: str) -> Column:
-        term = _plain_quotes(F.col(name))
+    def full(term: Column) -> Column:
         at = F.array_position("names", F.substring_index(term, ":", 1))
         local = F.substring(term, F.locate(":", term) + 1, F.length(term))
         iri = F.concat(F.lit("<"), F.try_element_at("namespaces", at.cast("int")), local, F.lit(">"))
         inside = terms.strip_brackets(term)
         return (
-            F.when(term.rlike(r"^[?$]"), F.concat(F.lit("?"), F.substring(term, F.lit(2), F.length(term))))
+            F.when(term.startswith("?"), term)
+            .when(term.startswith("$"), F.concat(F.lit("?"), F.substring(term, F.lit(2), F.length(term))))
             .when(term == "a", F.lit(RDF_TYPE))
             .when(term.startswith("<") & ~inside.contains(":"), F.concat(F.lit("<"), "base", inside, F.lit(">")))
             .when(term.startswith("<") | terms.is_literal(term) | (at == 0), term)
             .otherwise(iri)
         )
 
-    def compacted(name: str) -> Column:
-        term = full(name)
-        return F.when(is_variable(term), term).otherwise(terms.compact(term, prefixes))
+    def compacted(term: Column) -> Column:
+        return F.when(is_variable(term), term).otherwise(terms.compact_column(term, prefixes))
 
-    return read.select("query_id", *[compacted(c).alias(c) for c in ("sub", "prop", "obj")])
+    # A step at a time and as generators of one row: a filter on a term would be pushed down, and
+    # everything that mentions a term several times would work it out as often.
+    ends = ("sub", "prop", "obj")
+    for step in (_plain_quotes, full, compacted):
+        found = F.inline(F.array(F.struct(*[step(F.col(c)).alias(c) for c in ends])))
+        read = read.select(*[c for c in read.columns if c not in ends], found)
+    return read.select("query_id", *ends)
 
 
 def count_queries(queries: DataFrame) -> DataFrame:
