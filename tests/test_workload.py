@@ -281,3 +281,12 @@ def test_filters_leave_terms_alone(spark):
     df = spark.createDataFrame([(1, "SELECT * WHERE { ?a e:p ?b }")], "query_id int, query string")
     plan = w.property_freq(w.triple_patterns(df, {"e": "http://e/"}))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_position(") <= 6
+
+
+def test_queries_are_dealt_over_tasks(spark):
+    """A log in one piece is parsed by all tasks, in pieces of a bounded number of queries."""
+    log = spark.range(40).coalesce(1).selectExpr("id as query_id", "'SELECT * WHERE { ?a <e:p> ?b }' as query")
+    parsed = w.triple_patterns(log, {}, 5 * w.TASK_QUERIES)
+    assert parsed.rdd.getNumPartitions() == 5 and parsed.count() == 40
+    assert sum(n > 0 for n in parsed.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) > 1
+    assert w.triple_patterns(log, {}, 1).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

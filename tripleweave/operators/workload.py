@@ -34,6 +34,8 @@ PREFIX = r"(?i)PREFIX\s+([\w-]*):\s*<([^>]*)>"
 BASE = r"(?i)BASE\s+<([^>]*)>"
 # Patterns one task groups by query and variable: some hundred megabytes.
 TASK_ROWS = 1_000_000
+# Queries one task parses: some seconds.
+TASK_QUERIES = 50_000
 RDF_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 
 
@@ -135,11 +137,17 @@ def _plain_quotes(term: Column) -> Column:
     return F.when(odd, F.concat(F.lit('"'), escaped, F.lit('"'), tag)).otherwise(term)
 
 
-def triple_patterns(queries: DataFrame, prefixes: Mapping[str, str] = tables.GENERIC) -> DataFrame:
+def triple_patterns(
+    queries: DataFrame, prefixes: Mapping[str, str] = tables.GENERIC, rows: int | None = None
+) -> DataFrame:
     """``query_id, sub, prop, obj`` of every triple in the text of a query, lists written out.
 
-    The query's own ``PREFIX`` and ``BASE`` lines are applied, then terms are compacted.
+    The query's own ``PREFIX`` and ``BASE`` lines are applied, then terms are compacted. With ``rows``, about
+    how many queries there are, they are dealt over tasks first: a small file is one task's work otherwise.
     """
+    if rows is not None:
+        tasks = max(queries.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_QUERIES))
+        queries = queries.repartition(tasks)
     text = F.col("query")
     body = F.regexp_extract(text, r"(?s)\{(.*)\}", 1)
     read = queries.select(

@@ -182,8 +182,9 @@ def triple_pattern_lists(spark, sf):
         "PREFIX k: <http://example.org/kind/> SELECT * WHERE { { ?c k:name '%s' ; k:in ?n , k:%d . } ?n k:seg \"%s\" }",
         "c_name", "c_nationkey", "c_mktsegment",
     )
-    queries = table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"), text_.alias("query"))
-    return w.triple_patterns(queries, NAMES)
+    customers = table(spark, sf, "customer")
+    queries = customers.select(F.col("c_custkey").alias("query_id"), text_.alias("query"))
+    return w.triple_patterns(queries, NAMES, customers.count())
 
 
 def _logged(spark, sf):
