@@ -214,3 +214,20 @@ def test_long_numbers_compare_exactly(frame):
 def test_prefix_table_from_file(spark, tmp_path):
     (tmp_path / "p.txt").write_text("ub\thttp://x/ub.owl#\nrdf\thttp://x/rdf#")
     assert prefixes.load(spark, str(tmp_path / "p.txt")) == {"ub": "http://x/ub.owl#", "rdf": "http://x/rdf#"}
+
+
+def test_few_namespaces_are_compared_as_the_pattern_finds_them(spark, monkeypatch):
+    table = {"a": "http://x/", "b": "http://x/y/", "c": "http://x/y", "d": "urn:"}
+    rows = ["<http://x/y/z>", "<http://x/yz>", "<http://x/q>", "http://x/y/z", "<urn:1", "<<urn:1>", "urn:", "<http://X/y>", "", "<", "<>", None, '"http://x/y"', "?v"]
+    df = column(spark, rows)
+
+    def compacted(names):
+        return df.select(terms.compact_column(F.col("t"), names).alias("x"))
+
+    for names in (table, table | {"all": ""}, {"one": "http://x/"}):
+        few = compacted(names)
+        monkeypatch.setattr(terms, "COMPARED", 0)
+        assert values(few) == values(compacted(names))
+        monkeypatch.undo()
+        plan = few._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract" not in plan and "lambda" not in plan

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 LITERAL = r'(?s)^"(.*)"(?:@[A-Za-z0-9-]+|\^\^.+)?$'
 LANG_TAG = r'"@([A-Za-z0-9-]+)$'
+# Namespaces that are compared one by one, longest first; more are found by one pattern.
+COMPARED = 16
 NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
 
 
@@ -74,6 +76,13 @@ def compact_column(term: Column, prefixes: Mapping[str, str]) -> Column:
     if not prefixes:
         return F.when(is_literal(term), term).otherwise(bare)
     by_namespace = {ns: name for name, ns in prefixes.items()}
+    if len(by_namespace) <= COMPARED:
+        opened = F.when(term.startswith("<"), F.substring(term, F.lit(2), F.length(term))).otherwise(term)
+        chain = F.when(is_literal(term), term)
+        for namespace in sorted(by_namespace, key=len, reverse=True):
+            name = F.concat(F.lit(f"{by_namespace[namespace]}__"), _after(bare, F.lit(namespace)))
+            chain = chain.when(opened.startswith(namespace), name)
+        return chain.otherwise(bare)
     ns = F.regexp_extract(term, f"^<?({_alternatives(list(by_namespace))})", 1)
     short = let(ns, lambda n: F.concat(_lookup(by_namespace, n), F.lit("__"), _after(bare, n)))
     return F.when(is_literal(term), term).otherwise(F.coalesce(short, bare))
