@@ -146,6 +146,12 @@ def test_store_round_trip(store, spark):
     assert store.db_stats().first().num_triples == len(TRIPLES)
 
 
+def test_store_in_the_order_rows_come(source, tmp_path):
+    st = Store.build(source, str(tmp_path / "as-it-comes"), by_subject=False)
+    assert sorted(tuple(r) for r in st.frame().collect()) == sorted(TRIPLES)
+    assert sorted(tuple(r) for r in st.scan("q").collect()) == sorted((s, o) for s, p, o in TRIPLES if p == "q")
+
+
 @pytest.mark.parametrize("mode", ["exact", "bloom"])
 def test_reductions_never_change_answers(source, tmp_path, spark, mode):
     st = Store.build(source, str(tmp_path / mode))
@@ -183,6 +189,26 @@ def test_reductions_never_change_answers(source, tmp_path, spark, mode):
     assert st.db_stats().first().num_reduced_tables == 2
 
 
+@pytest.mark.parametrize("mode", ["exact", "bloom"])
+def test_patterns_are_tested_once_per_set_of_items(source, store, spark, mode):
+    # Of the 70 others each is a word apart; the last patterns ask nothing of what only r asks for.
+    others = [f"x{i}_TRPS" for i in range(70)]
+    catalog = red.catalog_of(spark, "p", [*PATTERNS, ["p_TRPS", "q_TRPS", *others]]).unionByName(red.catalog_of(spark, "r", [["r_TRPS", "t_TRPO"]]))
+    names, filters = red.asked_names(catalog), store.filters() if mode == "bloom" else None
+    found = red.occurrences(source, catalog, names, filters)
+    assert sorted((r["sub"], r.prop, r.obj) for r in found.collect()) == sorted(t for t in TRIPLES if t[1] in "pr")
+    counted = red.signed(red.have_counts(found), catalog, names)
+    rows = [(r.prop, tuple(r.sig), r["rows"]) for r in counted.collect()]
+    # q, r's objects, p's objects, and r's subjects of the objects: at most that many sets, however many rows.
+    assert len([r for r in rows if r[0] == "p"]) <= 16 and len([r for r in rows if r[0] == "r"]) <= 2
+    each, classes = {}, {}
+    for r in red.signatures(source, catalog, filters).collect():
+        each[r.prop, tuple(r.sig)] = each.get((r.prop, tuple(r.sig)), 0) + 1
+    for r in red.class_counts(counted).collect():
+        classes[r.prop, tuple(r.sig)] = r["rows"]
+    assert classes == each and sum(each.values()) == sum(t[1] in "pr" for t in TRIPLES)
+
+
 def test_compact_table_splits_hot_subjects(source):
     pairs = source.where("prop = 'p'").select("sub", "obj")
     want = {}
