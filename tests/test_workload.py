@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -290,3 +291,19 @@ def test_queries_are_dealt_over_tasks(spark):
     assert parsed.rdd.getNumPartitions() == 5 and parsed.count() == 40
     assert sum(n > 0 for n in parsed.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) > 1
     assert w.triple_patterns(log, {}, 1).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("most", [500, 3])
+def test_item_sets_are_mined_by_bits(frame, most, monkeypatch):
+    """The item sets of the transactions, over more items than a word has bits, and by sets where the log names too many properties."""
+    monkeypatch.setattr(w, "MASKED_PROPS", most)
+    pick = random.Random(3)
+    terms = ["?a", "?b", "$c", "'x'", "<i>"]
+    rows = [(q, pick.choice(terms), pick.choice([f"p{pick.randrange(40)}", "?p", "p0", None]), pick.choice(terms)) for q in range(400) for _ in range(4)]
+    rows += [(200, "?a", "p1", "?a"), (201, "?a", "p1", "?b"), (201, "?b", "p1", "?c"), (202, "?a", "p2", "?b"), (202, "?a", "p2", "?b"), (203, None, "p2", "?a")]
+    patterns = frame(rows, "query_id int, sub string, prop string, obj string")
+    want = {tuple(r["items"]): r.n for r in w.item_sets(w.transactions(w.join_patterns(patterns))).collect()}
+    found = w.mined_item_sets(patterns, 1600).collect()
+    assert len({i for r in found for i in r["items"]}) > 63 and len(found) == len(want)
+    assert {tuple(r["items"]): r.n for r in found} == want
+    assert w.mined_item_sets(patterns.where("false")).count() == 0

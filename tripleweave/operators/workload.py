@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tripleweave.functions import prefixes as tables
 from tripleweave.functions import terms
-from tripleweave.operators.reductions import JOIN, OBJECT, SUBJECT, item_prop, small
+from tripleweave.operators.reductions import JOIN, OBJECT, SUBJECT, WORD_BITS, item_prop, small
 from tripleweave.sources.scratch import staged
 
 # The spelling of terms in query text.
@@ -34,6 +34,8 @@ PREFIX = r"(?i)PREFIX\s+([\w-]*):\s*<([^>]*)>"
 BASE = r"(?i)BASE\s+<([^>]*)>"
 # Patterns one task groups by query and variable: some hundred megabytes.
 TASK_ROWS = 1_000_000
+# Properties of a log whose items are bits, 63 to a column.
+MASKED_PROPS = 500
 # Queries one task parses: some seconds.
 TASK_QUERIES = 50_000
 RDF_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
@@ -256,14 +258,47 @@ def item_sets(txns: DataFrame) -> DataFrame:
     return txns.where(F.col("items").isNotNull()).groupBy("items").agg(F.count(F.lit(1)).alias("n"))
 
 
+def mined_item_sets(patterns: DataFrame, rows: int | None = None) -> DataFrame:
+    """:func:`item_sets` of the :func:`mined_transactions` of a workload, written once for all that read them.
+
+    An item is a bit as long as the log names at most ``MASKED_PROPS`` properties, which come to the driver: a group is then a few
+    words or-ed together and not a set of names. Any other log is mined by sets.
+    """
+    spark = patterns.sparkSession
+    named = patterns.where(~is_variable(F.col("prop"))).select("prop").distinct().limit(MASKED_PROPS + 1).collect()
+    if len(named) > MASKED_PROPS:
+        return staged(item_sets(mined_transactions(patterns, rows)), "item_sets")
+    ends = {SUBJECT: "sub", OBJECT: "obj"}
+    items = sorted((f"{r['prop']}_{side}", r["prop"], side) for r in named for side in ends)
+    words = range(max(1, -(-len(items) // WORD_BITS)))
+    at = {(prop, side): divmod(i, WORD_BITS) for i, (_, prop, side) in enumerate(items)}
+    bits = [(r["prop"], *[1 << at[r["prop"], s][1] if at[r["prop"], s][0] == j else 0 for s in ends for j in words]) for r in named]
+    index = spark.createDataFrame(bits, "prop string, " + ", ".join(f"{s}{j} bigint" for s in ends for j in words))
+
+    tasks = [] if rows is None else [max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))]
+    dealt = patterns.repartition(*tasks, "query_id").join(F.broadcast(index), "prop")
+    each = [F.struct(F.col(c).alias("var"), *[F.col(f"{s}{j}").alias(f"w{j}") for j in words]) for s, c in ends.items()]
+    uses = dealt.select("query_id", F.inline(F.array(*each))).where(is_variable(F.col("var")))
+    found = uses.groupBy("query_id", "var").agg(F.count(F.lit(1)).alias("uses"), *[F.bit_or(f"w{j}").alias(f"w{j}") for j in words])
+    sets = found.where(F.col("uses") > 1).groupBy(*[f"w{j}" for j in words]).agg(F.count(F.lit(1)).alias("n"))
+    has = [F.when(F.col(f"w{i // WORD_BITS}").bitwiseAND(F.lit(1 << i % WORD_BITS)) != 0, F.lit(m[0])) for i, m in enumerate(items)]
+    none = F.array().cast("array<string>")
+    return staged(sets.select((F.array_compact(F.array(*has)) if has else none).alias("items"), "n"), "item_sets")
+
+
 def frequent(txns: DataFrame, min_support: float = 0.001) -> DataFrame:
-    """``items, freq, size``: itemsets of two or more items in at least that share of transactions.
+    """:func:`frequent_of` the distinct transactions, counted first."""
+    return frequent_of(item_sets(txns), min_support)
+
+
+def frequent_of(sets: DataFrame, min_support: float = 0.001) -> DataFrame:
+    """``items, freq, size``: itemsets of two or more items in at least that share of transactions, given as ``items, n``.
 
-    Distinct transactions are counted first. A round extends each itemset found in them by an
+    A round extends each itemset found in them by an
     item before its first; what is shuffled are counted itemsets, and only places of frequent
     ones go on. Rounds and results are written, since the next round and several steps read them.
     """
-    places = staged(item_sets(txns).select(F.array().cast("array<string>").alias("items"), F.col("items").alias("rest"), "n"), "sets")
+    places = staged(sets.select(F.array().cast("array<string>").alias("items"), F.col("items").alias("rest"), "n"), "sets")
     least = math.ceil(min_support * (places.agg(F.sum("n")).first()[0] or 0))
     levels = []
     while True:
